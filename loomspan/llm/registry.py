@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import leakage, mixing, repeated_lines, splitting
+from loomspan.llm import leakage, mixing, neighbours, repeated_lines, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,17 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+# --- 2: nearest vectors --------------------------------------------------------------------------
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.neighbour_pairs(neighbours.nearest(_table(spark, sf, "chunks")))
+
+
+def p2_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf, "chunks"))
+
+
 # --- 4: repeated lines ---------------------------------------------------------------------------
 
 
@@ -106,7 +117,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = "p4_found p4_cleaned p6_found p6_chunk_pieces p6_article_pieces p7_found p7_proximity p8_found p8_mix p8_shares"
+    names = "p2_found p2_nearest p4_found p4_cleaned p6_found p6_chunk_pieces p6_article_pieces p7_found p7_proximity p8_found p8_mix p8_shares"
     return {n: globals()[n] for n in names.split()}
 
 
