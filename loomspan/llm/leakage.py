@@ -92,41 +92,59 @@ def _anchors(counts: np.ndarray, width: int) -> list[int]:
     return out
 
 
-def phrase_matches(seg: _Segment, item: np.ndarray, min_words: int) -> Iterator[tuple[int, int, int]]:
-    """(document number, item's first word, words) of the longest exact run in each document.
-
-    Postings of the rarest terms are intersected with those of the other terms, moved by the words' distance
-    in the item; what is left is followed to both sides as far as the words agree.
+class _Items:
+    """All test items behind one another, a gap after each, and their anchors."""
+
+    def __init__(self, items: list[np.ndarray], min_words: int) -> None:
+        self.min_words = min_words
+        self.starts = np.cumsum([0, *(len(q) + 1 for q in items)])
+        self.words = np.concatenate([x for q in items for x in (q, np.zeros(1, np.int64))]) if items else np.empty(0, np.int64)
+        self.gap = np.zeros(len(self.words), bool)
+        self.gap[self.starts[1:] - 1] = True
+        self.item_of = np.repeat(np.arange(len(items)), np.diff(self.starts))
+        self.anchors: np.ndarray | None = None
+
+    def anchor(self, counts: np.ndarray) -> np.ndarray:
+        """Anchors of all items, chosen by the counts first seen: any covering choice finds every run."""
+        if self.anchors is None:
+            spans = zip(self.starts[:-1].tolist(), (self.starts[1:] - 1).tolist(), strict=True)
+            self.anchors = np.array([a + p for a, b in spans if b - a >= self.min_words for p in _anchors(counts[a:b], self.min_words)], np.int64)
+        return self.anchors
+
+
+def phrase_matches(seg: _Segment, items: _Items) -> Iterator[tuple[int, int, int, int]]:
+    """(document number, item number, item's first word, words) of the longest exact run of each document and item.
+
+    Postings of the rarest terms are intersected with those of the next words of the item, moved by the
+    distance in the item; what is left is followed to both sides as far as the words agree.
     """
-    terms = seg.local(item)
-    n, width = len(terms), min_words
-    if n < width:
-        return
+    terms = seg.local(items.words)
+    terms[items.gap] = -2
     counts = np.where(terms >= 0, seg.term_starts[np.maximum(terms, 0) + 1] - seg.term_starts[np.maximum(terms, 0)], 0)
-    best: dict[int, tuple[int, int]] = {}
-    for place in _anchors(counts, width):
-        if terms[place] < 0:
-            continue
-        at = seg.postings(terms[place]).astype(np.int64)
-        doc = seg.doc_of[at]
-        left, right = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
-        for run, step in ((left, -1), (right, 1)):
-            live = np.arange(len(at))
-            k = 1
-            while len(live) and 0 <= place + step * k < n and k < n:
-                to = at[live] + step * k
-                ok = (to >= seg.doc_starts[doc[live]]) & (to < seg.doc_starts[doc[live] + 1])
-                ok[ok] = seg.tokens[to[ok]] == terms[place + step * k]
-                live = live[ok]
-                run[live] = k
-                k += 1
-        whole = left + right + 1
-        for j in np.flatnonzero(whole >= width):
-            d, w = int(doc[j]), int(whole[j])
-            if w > best.get(d, (0, 0))[1]:
-                best[d] = (int(place - left[j]), w)
-    for d, (start, w) in best.items():
-        yield d, start, w
+    places = items.anchor(counts)
+    sizes = counts[places]
+    place = np.repeat(places, sizes)
+    first = seg.term_starts[np.maximum(terms[places], 0)].astype(np.int64)
+    at = seg.positions[np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(len(place))].astype(np.int64)
+    doc = seg.doc_of[at]
+    left, right = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for run, step in ((left, -1), (right, 1)):
+        live, k = np.arange(len(at)), 0
+        while len(live):
+            k += 1
+            to, word = at[live] + step * k, place[live] + step * k
+            ok = (to >= 0) & (to < len(seg.tokens)) & (word >= 0)  # after the last word comes a gap
+            live, to, word = live[ok], to[ok], word[ok]
+            live = live[(seg.tokens[to] == terms[word]) & (seg.doc_of[to] == doc[live])]
+            run[live] = k
+    whole = left + right + 1
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for j in np.flatnonzero(whole >= items.min_words):
+        item = int(items.item_of[place[j]])
+        found = (int(whole[j]), -int(place[j] - left[j] - items.starts[item]))
+        best[int(doc[j]), item] = max(found, best.get((int(doc[j]), item), found))
+    for (d, item), (w, start) in best.items():
+        yield d, item, -start, w
 
 
 def proximity_matches(seg: _Segment, item: np.ndarray, min_words: int, slop: int) -> Iterator[tuple[int, int, int]]:
@@ -140,23 +158,35 @@ def proximity_matches(seg: _Segment, item: np.ndarray, min_words: int, slop: int
     n = len(terms)
     if n < min_words:
         return
-    pos = [seg.postings(t) if t >= 0 else np.empty(0, np.int32) for t in terms]
-    place = np.repeat(np.arange(n), [len(p) for p in pos])
-    at = np.concatenate(pos).astype(np.int64) if len(place) else np.empty(0, np.int64)
-    if len(at) < min_words:
-        return
-    # a passage lies in one band of slop + 1 diagonals or in two neighbours: bands with too few words end here
-    doc = seg.doc_of[at].astype(np.int64)
-    band = (at - place + n) // (slop + 1)
-    key = doc * ((len(seg.tokens) + 2 * n) // (slop + 1) + 2) + band
-    keys, back, count = np.unique(key, return_inverse=True, return_counts=True)
-    follows = np.append(keys[1:] == keys[:-1] + 1, False)
-    pair = count + np.where(follows, np.append(count[1:], 0), 0)
-    rich = pair >= min_words
-    rich |= np.append(False, (rich & follows)[:-1])
-    keep = rich[back]
-    at, place, doc = at[keep], place[keep], doc[keep]
     span = min_words + slop
+    counts = np.array([seg.term_starts[t + 1] - seg.term_starts[t] if t >= 0 else 0 for t in terms])
+    # the most frequent words are left out of the search for candidates, at most half of min_words in any window
+    common = np.zeros(n + 2 * span, bool)
+    for p in np.argsort(-counts, kind="stable"):
+        common[span + p] = True
+        if np.convolve(common[p + 1 : p + 2 * span], np.ones(span, int), "valid").max() > min_words // 2:
+            common[span + p] = False
+    rare = ~common[span : span + n]
+
+    def pairs(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position, place in the item and band of all postings of some words of the item."""
+        at = [seg.postings(t) for t in terms[chosen]]
+        place = np.repeat(np.flatnonzero(chosen), [len(x) for x in at])
+        at = np.concatenate([np.empty(0, np.int64), *at]).astype(np.int64)
+        band = (at - place + n) // (slop + 1)
+        return at, place, seg.doc_of[at].astype(np.int64) * ((len(seg.tokens) + 2 * n) // (slop + 1) + 2) + band
+
+    # a passage lies in one band of slop + 1 diagonals or in two neighbours: bands with too few rare words end here
+    keys, count = np.unique(pairs(rare & (terms >= 0))[2], return_counts=True)
+    follows = np.append(keys[1:] == keys[:-1] + 1, False)[: len(keys)]
+    rich = count + np.where(follows, np.append(count[1:], 0)[: len(keys)], 0) >= min_words - min_words // 2
+    keys = np.unique(np.concatenate([keys[rich], keys[rich] + 1]))
+    if not len(keys):
+        return
+    at, place, key = pairs(terms >= 0)
+    keep = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+    at, place = at[keep], place[keep]
+    doc = seg.doc_of[at]
     order = np.lexsort((place, at))
     at, place, doc = at[order], place[order], doc[order]
     last = np.searchsorted(at, at + span, side="left")
@@ -190,15 +220,18 @@ def search_index(index: DataFrame, items: DataFrame, item_id: str = "item_id", i
     ids = WordIds()
     queries = [(r.i, np.fromiter((ids[w] for w in words(r.t)), np.uint64).view(np.int64)) for r in held.distinct().collect()]
     queries = [(i, q) for i, q in queries if len(q) >= min_words]
+    item_ids = [i for i, _ in queries]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = _Items([q for _, q in queries], min_words)
         for batch in batches:
             out = []
             for r in range(batch.num_rows):
                 seg = _Segment(*(batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in ("doc_ids", "doc_starts", "terms", "term_starts", "positions")))
-                for i, q in queries:
-                    found = phrase_matches(seg, q, min_words) if slop is None else proximity_matches(seg, q, min_words, slop)
-                    out += [(int(seg.doc_ids[d]), i, start, w) for d, start, w in found]
+                if slop is None:
+                    out += [(int(seg.doc_ids[d]), item_ids[i], start, w) for d, i, start, w in phrase_matches(seg, flat)]
+                else:
+                    out += [(int(seg.doc_ids[d]), i, start, w) for i, q in queries for d, start, w in proximity_matches(seg, q, min_words, slop)]
             columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "item_start", "n_words"])
 

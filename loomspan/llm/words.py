@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 
 import numpy as np
 import xxhash
 
-_MARKS = re.compile("[" + "".join(c for c in map(chr, range(0x300, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "M") + "]+")
+# the class stays in the basic plane, as wider classes are matched by a linear search; far marks are looked up
+_MARKS = re.compile("[" + "".join(c for c in map(chr, range(0x300, 0x10000)) if unicodedata.category(c)[0] == "M") + "]+")
+_FAR = re.compile("[\U00010000-\U0010ffff]")
 _ASCII_RUN = re.compile(r"[a-z0-9]+")
 _RUN = re.compile(r"[^\W_]+")
 
 
 def fold(text: str) -> str:
     """Lower case, NFKD, combining marks removed (and lower case again: NFKD may give capitals)."""
-    return _MARKS.sub("", unicodedata.normalize("NFKD", text.lower())).lower()
+    out = _MARKS.sub("", unicodedata.normalize("NFKD", text.lower()))
+    return _FAR.sub(lambda m: "" if unicodedata.category(m[0])[0] == "M" else m[0], out).lower()
 
 
 def words(text: str | None) -> list[str]:
@@ -40,7 +42,13 @@ class WordIds(dict):
         return value
 
     def of(self, text: str | None) -> np.ndarray:
-        found = words(text)
+        return self._ids(words(text))
+
+    def of_folded(self, text: str) -> np.ndarray:
+        """The same for a text (or a line of one) that has been folded already."""
+        return self._ids((_ASCII_RUN if text.isascii() else _RUN).findall(text))
+
+    def _ids(self, found: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, found), dtype=np.uint64, count=len(found))
 
 
