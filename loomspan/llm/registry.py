@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import leakage, mixing, neighbours, repeated_lines, splitting
+from loomspan.llm import batches, leakage, mixing, neighbours, repeated_lines, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,13 @@ def p2_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf, "chunks"))
 
 
+# --- 3: new batches against history --------------------------------------------------------------
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return batches.repeats(_table(spark, sf, "corpus"), _table(spark, sf, "crawl_batches"))
+
+
 # --- 4: repeated lines ---------------------------------------------------------------------------
 
 
@@ -117,7 +124,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = "p2_found p2_nearest p4_found p4_cleaned p6_found p6_chunk_pieces p6_article_pieces p7_found p7_proximity p8_found p8_mix p8_shares"
+    names = "p2_found p2_nearest p3_found p4_found p4_cleaned p6_found p6_chunk_pieces p6_article_pieces p7_found p7_proximity p8_found p8_mix p8_shares"
     return {n: globals()[n] for n in names.split()}
 
 
