@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.functions.partitions import spread
+from loomspan.llm.pages import is_furniture
 
 N, TABLE_BITS, WINDOW = 4, 18, 28
 BACKGROUND = 0.2
 #: Rows of the corpus at most (about) whose lines the prose model is fitted on.
-FIT_ROWS = 3_000
+FIT_ROWS = 1_500
 #: Mean log-likelihood ratios from which a window is filler and a line a notice.
 FILLER_RATIO, NOTICE_RATIO = 1.2, 1.0
 #: Share of notice among notice and article text from which a row is excluded.
@@ -198,7 +199,7 @@ def classify(title: str | None, content: str | None, models: Models) -> str | No
         notice[k] = bool(colon) and models.whole(head) >= NOTICE_RATIO
     if not notice.any():
         return None
-    article = sum(len(x) for x, is_notice in zip(lines, notice, strict=True) if not is_notice and len(x) >= ARTICLE_LINE and _CLOSED.search(x))
+    article = sum(len(x) for x, is_notice in zip(lines, notice, strict=True) if not is_notice and len(x) >= ARTICLE_LINE and _CLOSED.search(x) and not is_furniture(x))
     said = sum(len(x) for x, is_notice in zip(lines, notice, strict=True) if is_notice)
     return "notice" if said >= COVERAGE * (said + article) else None
 
