@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import batches, leakage, mixing, neighbours, repeated_lines, splitting
+from loomspan.llm import batches, leakage, mixing, neighbours, pages, repeated_lines, residue, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,25 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_KEYS = ("document_id", "crawl_batch_id")
+
+# --- 1: page bodies ------------------------------------------------------------------------------
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = _table(spark, sf, "corpus")
+    models = residue.fit(corpus)
+    return pages.furniture_lines(corpus, _KEYS, unless=lambda t, c: residue.classify(t, c, models) is not None).distinct()
+
+
+def p1_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.bodies(_table(spark, sf, "corpus"), _KEYS, "content", "title").distinct()
+
+
+def p1_chunk_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.bodies(_table(spark, sf, "chunks"), ("chunk_id",), "content", "title").distinct()
+
+
 # --- 2: nearest vectors --------------------------------------------------------------------------
 
 
@@ -58,6 +77,17 @@ WHERE regexp_matches(k.line_key, '\\p{{L}}')
 GROUP BY k.source_name, k.line_key, t.n HAVING count(*) >= 5 AND count(*) >= 0.05 * t.n
 """
 
+# --- 5: template residue -------------------------------------------------------------------------
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue(_table(spark, sf, "corpus")).select(*_KEYS).distinct()
+
+
+def p5_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue(_table(spark, sf, "corpus"))
+
+
 # --- 6: splitting --------------------------------------------------------------------------------
 
 
@@ -124,7 +154,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = "p2_found p2_nearest p3_found p4_found p4_cleaned p6_found p6_chunk_pieces p6_article_pieces p7_found p7_proximity p8_found p8_mix p8_shares"
+    names = "p1_found p1_bodies p1_chunk_bodies p5_found p5_kinds p2_found p2_nearest p3_found p4_found p4_cleaned p6_found p6_chunk_pieces p6_article_pieces p7_found p7_proximity p8_found p8_mix p8_shares"
     return {n: globals()[n] for n in names.split()}
 
 

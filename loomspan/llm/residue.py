@@ -84,16 +84,20 @@ verifying you are human
 sahkan anda bukan robot
 please complete the captcha
 """.strip().split("\n")
+DEFAULT_TITLES = """
+untitled | untitled document | untitled page | new page | page title | title here | your title here | insert title here | enter title here | default title
+tajuk di sini | tajuk halaman | tanpa tajuk | tiada tajuk | masukkan tajuk | judul di sini | tanpa judul | undefined | null | none | nan | [object object] | todo | tbd
+""".replace("\n", "|").split("|")
 # Fixed values end.
 
 #: Unfilled placeholders: a name between the marks of common template languages.
 _PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]*\w[^{}\n]*\}\}|\{%[^{}\n]*\w[^{}\n]*%\}|<%=?[^<>\n]*\w[^<>\n]*%>|\$\{[^{}\n]*\w[^{}\n]*\}|\{\$\w[\w.]*\}"
-    r"|\[\[\s*[^\W\d][\w.]*\s*\]\](?!\()|%[^\W\d]\w*_?\w+%|@@[^\W\d]\w*@@|##[^\W\d]\w*##|__[A-Z][A-Z_]*__"
+    r"|\[\[\s*[^\W\d][\w.]*\s*\]\](?!\()|%[^\W\d][\w.]+%|@@[^\W\d][\w.]*@@|##[^\W\d][\w.]*##|__[A-Z][A-Z_]*__"
     r"|\[(?:masukkan|isi|tulis|sila|insert|enter|add|your|type)\b[^\]\[\n]{2,40}\](?!\()",
     re.IGNORECASE,
 )
-_MARK = re.compile(r"\{[{%$]|<%|\$\{|\[\[|@@|##\w|__[A-Z]|%\w+%|\[\w+ \w", re.IGNORECASE)
+_MARK = re.compile(r"\{[{%$]|<%|\$\{|\[\[|@@|##\w|__[A-Z]|%[\w.]+%|\[\w+ \w", re.IGNORECASE)
 _DIGIT = re.compile(r"[0-9]+")
 _CLOSED = re.compile(r"[.!?؟。！？…][\"'”’»)\]*_\s]*$")
 #: A line of an article: long, and closed like a sentence.
@@ -165,9 +169,17 @@ def has_placeholder(text: str | None) -> bool:
     return bool(text) and _MARK.search(text) is not None and _PLACEHOLDER.search(text) is not None
 
 
+_DEFAULTS = {x.strip() for x in DEFAULT_TITLES if x.strip()}
+
+
+def is_default_title(title: str | None) -> bool:
+    """Whether a title, without the name of a site behind it, is what a template has before it is filled."""
+    return bool(title) and re.split(r"\s+[-|–—]\s+", title.strip())[0].strip().lower() in _DEFAULTS
+
+
 def classify(title: str | None, content: str | None, models: Models) -> str | None:
     """``placeholder``, ``filler``, ``notice`` or None."""
-    if has_placeholder(title) or has_placeholder(content):
+    if has_placeholder(title) or is_default_title(title) or has_placeholder(content):
         return "placeholder"
     if title and models.windows(title, models.filler) >= FILLER_RATIO:
         return "filler"
