@@ -104,22 +104,31 @@ _CLOSED = re.compile(r"[.!?؟。！？…][\"'”’»)\]*_\s]*$")
 ARTICLE_LINE = 60
 
 
-def _grams(text: str) -> np.ndarray:
-    """Table places of the character n-grams of a text (of which digits are one symbol)."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = len(c) - N + 1
+#: Characters around a line that count as markup.
+_EDGES = " \t\r#*_>"
+
+
+def _hashed(codes: np.ndarray) -> np.ndarray:
+    """Table places of the runs of N code points."""
+    n = len(codes) - N + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    h = c[:n].copy()
+    h = codes[:n].copy()
     for k in range(1, N):
-        h = h * np.uint32(0x01000193) + c[k : n + k]
+        h *= np.uint32(0x01000193)
+        h += codes[k : n + k]
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
     return (h >> np.uint32(32 - TABLE_BITS)).astype(np.int64)
 
 
+def _grams(text: str) -> np.ndarray:
+    """Table places of the character n-grams of a text (of which digits are one symbol)."""
+    return _hashed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+
+
 def _plain(line: str) -> str:
-    return " " + _DIGIT.sub("0", line.strip(" \t\r#*_>").lower()) + " "
+    return f" {_DIGIT.sub('0', line.lower()).strip(_EDGES)} "
 
 
 class Models:
@@ -186,14 +195,18 @@ def classify(title: str | None, content: str | None, models: Models) -> str | No
     if not content:
         return None
     lines = content.split("\n")
-    plain = [_plain(x) for x in lines]
-    grams = [_grams(x) for x in plain]
-    sizes = np.array([len(g) for g in grams])
-    if not sizes.sum():
+    text = "\n".join(f" {x.strip(_EDGES)} " for x in _DIGIT.sub("0", content.lower()).split("\n"))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) < N:
+        return None
+    ends_line = codes == 10
+    number = np.cumsum(ends_line)
+    inside = (number[N - 1 :] == number[: len(codes) - N + 1]) & ~ends_line[: len(codes) - N + 1]
+    flat, line_of = _hashed(codes)[inside], number[: len(codes) - N + 1][inside]
+    sizes = np.bincount(line_of, minlength=len(lines))
+    if not len(flat):
         return None
-    flat = np.concatenate(grams)
     ends = np.cumsum(sizes)
-    line_of = np.repeat(np.arange(len(lines)), sizes)
     s = np.concatenate([[0], np.cumsum(models.filler[flat], dtype=np.float64)])
     if len(flat) >= WINDOW:
         mean = (s[WINDOW:] - s[:-WINDOW]) / WINDOW
@@ -211,7 +224,7 @@ def classify(title: str | None, content: str | None, models: Models) -> str | No
         notice[k] = bool(colon) and models.whole(head) >= NOTICE_RATIO
     if not notice.any():
         return None
-    article = sum(len(x) for x, is_notice in zip(lines, notice, strict=True) if not is_notice and len(x) >= ARTICLE_LINE and _CLOSED.search(x) and not is_furniture(x))
+    article = sum(len(x) for x, is_notice in zip(lines, notice, strict=True) if not is_notice and len(x) >= ARTICLE_LINE and _CLOSED.search(x[-16:]) and not is_furniture(x))
     said = sum(len(x) for x, is_notice in zip(lines, notice, strict=True) if is_notice)
     return "notice" if said >= COVERAGE * (said + article) else None
 
