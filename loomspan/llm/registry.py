@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm import batches, leakage, mixing, neighbours, pages, repeated_lines, residue, splitting
+from loomspan.llm import batches, leakage, mixing, neighbours, pages, repeated_lines, residue, sentences, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -153,8 +153,19 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.report_shares(*_mixed(spark, sf))
 
 
+# --- 9: sentences --------------------------------------------------------------------------------
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentences(_table(spark, sf, "documents"), with_text=False).select("doc_id", "start_pos", "end_pos").distinct()
+
+
+def p9_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return sentences.sentences(_table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    names = "p1_found p1_bodies p1_chunk_bodies p5_found p5_kinds p2_found p2_nearest p3_found p4_found p4_cleaned p6_found p6_chunk_pieces p6_article_pieces p7_found p7_proximity p8_found p8_mix p8_shares"
+    names = "p1_found p1_bodies p1_chunk_bodies p5_found p5_kinds p2_found p2_nearest p3_found p4_found p4_cleaned p6_found p6_chunk_pieces p6_article_pieces p7_found p7_proximity p8_found p8_mix p8_shares p9_found p9_sentences"
     return {n: globals()[n] for n in names.split()}
 
 
