@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_DOCS, MIN_SHARE = 5, 0.05
-_SPACE = r"[\s\x1c-\x1f\u0085   -     　]+"
+_SPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
 
 def line_key(line: Column) -> Column:
