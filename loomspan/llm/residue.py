@@ -246,7 +246,7 @@ def residue(df: DataFrame, models: Models | None = None, keys: tuple[str, ...] =
     models = models or fit(df, keys[0], content)
     kept = [f"k{i}" for i in range(len(keys))]
     rows = spread(df.select(*[F.col(k).alias(a) for k, a in zip(keys, kept, strict=True)], F.col(title).alias("t"), F.col(content).alias("c")))
-    schema = rows.select(*kept, F.lit("").alias("kind")).schema
+    schema = rows.select(*kept, F.lit(None).cast("string").alias("kind")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
