@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomspan.plans import knowledge, store
+
+_ALL = (knowledge.plans, store.plans)
+
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    raise NotImplementedError
+    return knowledge.hybrid(spark, sf)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q for p in _ALL for name, q in p.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: s for p in _ALL for name, s in p.sql.items()}
