@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomspan.functions.partitions import spread
 from loomspan.llm import batches, leakage, mixing, neighbours, pages, repeated_lines, residue, sentences, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,7 +104,7 @@ def p6_chunk_pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_article_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    return splitting.split_oversized(_table(spark, sf, "corpus").dropDuplicates(["document_id", "crawl_batch_id", "content"]), ["document_id", "crawl_batch_id"], "content")
+    return splitting.split_oversized(spread(_table(spark, sf, "corpus")).dropDuplicates(["document_id", "crawl_batch_id", "content"]), ["document_id", "crawl_batch_id"], "content")
 
 
 P6_FOUND_SQL = "SELECT DISTINCT chunk_id FROM chunks WHERE length(content) > 1200 AND chunk_id IS NOT NULL"
@@ -126,7 +127,7 @@ def p7_proximity(spark: SparkSession, sf: str) -> DataFrame:
 
 def _listed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     targets = _table(spark, sf, "mix_targets")
-    documents = _table(spark, sf, "documents").join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    documents = spread(_table(spark, sf, "documents")).join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
     return documents, targets
 
 
