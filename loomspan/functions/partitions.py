@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+_NARROW = {"Project", "Filter", "Relation", "LogicalRelation", "RelationV2", "LogicalRDD", "LocalRelation"}
+
+
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Rows spread over the cores when the scan yields fewer partitions than there are cores.
+    """Rows of a scan spread over the cores when it has fewer partitions than there are cores.
 
-    Small inputs in one file would otherwise run a Python stage in a single task. A scan
-    with enough partitions (any large table) is returned as it is, without a shuffle.
+    Small inputs in one file would otherwise run a Python stage in a single task. A scan with enough
+    partitions (any large table) is returned as it is, without a shuffle; so is anything but a filtered
+    scan, because its partitions can't be counted without running it.
     """
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    if any(line.lstrip(" +-:").split(" ")[0].split("(")[0] not in _NARROW for line in lines if line.lstrip(" :").startswith(("+-", ":-")) or line[:1].isalpha()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import text
-from loomspan.functions.partitions import spread
 from loomspan.functions.shared import written
 
 
@@ -38,7 +37,7 @@ def relevant(df: DataFrame, haystack: Column, words: Column, forms: Column | Non
 
     ``forms``: the words' :func:`~loomspan.functions.text.keyword_forms`, where they have been made before.
     """
-    spoken = spread(df).withColumn("_h", text.searchable_arrow(text.normalize_text(haystack)))
+    spoken = df.withColumn("_h", text.searchable_arrow(text.normalize_text(haystack)))
     return spoken.withColumn("matches", text.matched_keywords(F.col("_h"), words, forms)).where(text.is_relevant(F.col("matches"), words)).drop("_h")
 
 
