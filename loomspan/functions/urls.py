@@ -69,7 +69,7 @@ def matches_any(url: Column, patterns: Column) -> Column:
 
 
 def sitemap_locs(xml: Column) -> Column:
-    return F.transform(F.regexp_extract_all(xml, F.lit(r"(?i)<loc>\s*([^<]+)\s*</loc>"), 1), F.trim)
+    return F.transform(F.regexp_extract_all(xml, F.lit(r"(?i)<loc>\s*([^<]+)\s*</loc>"), 1), lambda x: F.trim(x))
 
 
 def links(html: Column, base: Column) -> Column:
