@@ -251,18 +251,19 @@ def repeats(corpus: DataFrame, batches: DataFrame) -> DataFrame:
 
 
 class History:
-    """Accepted records in a folder: sorted runs in key ranges, one part for each batch until :meth:`compact`.
+    """Accepted records in a folder: sorted runs in key ranges, one part for each batch until they are compacted,
+    which happens by itself beyond ``most_parts``.
 
     ``take`` reads only the key ranges that the batch's keys fall into, of them only the columns of the runs, and
     the word runs of the few records that look near; the history's texts are never read.
     """
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder, self.parts, self.seq = spark, folder, [], 0
+    def __init__(self, spark: SparkSession, folder: str, most_parts: int = 16) -> None:
+        self.spark, self.folder, self.parts, self.seq, self.most_parts = spark, folder, [], 0, most_parts
 
     def _read(self, name: str) -> DataFrame | None:
-        paths = [f"{self.folder}/{name}-{p}" for p in self.parts]
-        return self.spark.read.parquet(*paths) if paths else None
+        parts = [self.spark.read.parquet(f"{self.folder}/{name}-{p}") for p in self.parts]
+        return reduce(DataFrame.unionByName, parts) if parts else None
 
     def take(self, batch: DataFrame) -> DataFrame:
         """The batch's cases as in :func:`repeats`; its other rows become history."""
@@ -292,6 +293,8 @@ class History:
         kept.drop("keys", "sketch").write.parquet(f"{self.folder}/records-{self.seq}")
         keyed.join(kept.select("node").distinct(), "node", "left_semi").repartition("range").sortWithinPartitions("range", "pass", "key").write.partitionBy("range").parquet(f"{self.folder}/keys-{self.seq}")
         self.parts.append(str(self.seq))
+        if len(self.parts) > self.most_parts:
+            self.compact()
         return cases
 
     def compact(self) -> None:

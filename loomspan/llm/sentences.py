@@ -38,6 +38,7 @@ _TOKEN = re.compile(
 )
 _MARK = re.compile(r"(?:^|\n)[^\S\n]*[(（]?(?:[0-9٠-٩۰-۹๐-๙]{1,3}|[A-Za-z]|[ivx]{2,4})$")
 _WORD = re.compile(r"[^\W_](?:[^\W_]|\.(?=[^\W_]))*$")
+_INITIAL = re.compile(r"[A-Za-z]\.\s")
 _DOTS = set(".…")
 _CLOSERS = "\"”“»」』)]）】］'’*_"
 _QUOTES = "\"“”„«»「」『』"
@@ -91,7 +92,7 @@ def _closing(text: str, begin: int, at: int, stop: int, end: int, cased: bool) -
                 next_word = re.match(r"\w+", text[stop : min(end, stop + 60)].lstrip())
                 titled = bool(next_word) and next_word[0][0].isupper() and (word not in ("p.m", "a.m") or not next_word[0].isupper() or len(next_word[0]) == 1)
                 return _TERMINAL if titled or (after and not after.islower() and not after.isupper()) else _HARD
-            if len(word) == 1 and word.isalpha():
+            if len(word) == 1 and word.isalpha() and not text[at - 1].islower():
                 return _HARD  # an initial, an abbreviated title or a list mark
             if all(len(x) == 1 for x in word.split(".")) and "." in word:
                 return _HARD
@@ -126,7 +127,9 @@ def _candidates(text: str, begin: int, end: int) -> list[tuple[int, float, tuple
         elif c in _SHUT:
             depth = max(0, depth - 1)
         elif c.isspace():
-            out.append((at, _TERMINAL - 1.0, (quote, depth)))  # a Thai space, or a list mark that opens an item
+            # a Thai space, or a list mark that opens an item; a letter and a full stop may be initials, broken over lines
+            if c != "\n" or not _INITIAL.match(text, m.end()) or _ends(text, begin, at, end, cased):
+                out.append((at, _TERMINAL - 1.0, (quote, depth)))
         else:
             stop = marks_end = m.end()
             closed = False
@@ -158,6 +161,14 @@ def _candidates(text: str, begin: int, end: int) -> list[tuple[int, float, tuple
     return out
 
 
+def _ends(text: str, begin: int, at: int, end: int, cased: bool) -> bool:
+    """Whether a sentence may end right before the whitespace at ``at``."""
+    k = at - 1
+    while k > begin and (text[k].isspace() or text[k] in _CLOSERS):
+        k -= 1
+    return text[k] in ".!?؟۔。！？" and _closing(text, begin, k, k + 1, end, cased) > _HARD
+
+
 def _after_quote(text: str, stop: int, end: int, cased: bool) -> float:
     after = _first(text, stop, end)
     if not after:
