@@ -1,8 +1,9 @@
 """Problem 5: template residue, filler and notices in the place of articles.
 
-Character n-gram models of filler, notices and natural prose give a log-likelihood ratio for every n-gram;
-residue is where windows of a line have a high mean ratio. Filler and unfilled placeholders exclude a row
-wherever they stand; a notice excludes it by coverage, if it stands instead of an article.
+Character n-gram models of filler, placeholders, default titles, notices and natural prose give a
+log-likelihood ratio for every n-gram; residue is where windows have a high mean ratio. Where a window
+looks like a placeholder or default title, an exact pattern has the last word. Filler and placeholders exclude
+a row wherever they stand; a notice excludes it by coverage, if it stands instead of an article.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from loomspan.functions.partitions import spread
 from loomspan.llm.pages import is_furniture
 
 N, TABLE_BITS, WINDOW = 4, 18, 28
+#: Placeholders are short and told by their marks: their model sees letters and digits as one symbol each.
+MARK_WINDOW, MARK_RATIO = 4, 0.25
 BACKGROUND = 0.2
 #: Rows of the corpus at most (about) whose lines the prose model is fitted on.
 FIT_ROWS = 1_500
@@ -38,6 +41,7 @@ teks contoh bahagian pertama untuk ujian paparan teks contoh ayat kedua untuk pe
 isi artikel akan diletakkan di sini sila masukkan kandungan di sini masukkan teks di sini tulis isi artikel di sini
 your text goes here insert content here insert text here sample paragraph for layout sample text for layout placeholder text
 contoh teks untuk tata letak masukkan konten di sini isi artikel akan ditempatkan di sini teks pengganti
+masukkan tajuk masukkan nama isi tajuk di sini insert title enter title your title here page title untitled document untitled page default title
 """.strip().split("\n")
 NOTICES = """
 404 not found
@@ -84,6 +88,10 @@ verifying you are human
 sahkan anda bukan robot
 please complete the captcha
 """.strip().split("\n")
+PLACEHOLDERS = """
+{{ nama }} | {{tajuk}} | {{ page.title }} | {{{ isi }}} | {% block isi %} | {%if x%} | <%= tarikh %> | <%= post.id %> | <% isi %> | ${nama} | ${page.title} | {$nama} | {$bil_paparan}
+[[nama]] | [[ tajuk ]] | [[nama_penulis]] | %nama% | %nama_penulis% | @@nama@@ | @@page.title@@ | ##nama## | ##PAGE.TITLE## | __NAMA__ | __NAMA_PENULIS__ | [Masukkan tajuk] | [Insert title here] | [Isi nama di sini]
+"""
 DEFAULT_TITLES = """
 untitled | untitled document | untitled page | new page | page title | title here | your title here | insert title here | enter title here | default title
 tajuk di sini | tajuk halaman | tanpa tajuk | tiada tajuk | masukkan tajuk | judul di sini | tanpa judul | undefined | null | none | nan | [object object] | todo | tbd
@@ -97,7 +105,6 @@ _PLACEHOLDER = re.compile(
     r"|\[(?:masukkan|isi|tulis|sila|insert|enter|add|your|type)\b[^\]\[\n]{2,40}\](?!\()",
     re.IGNORECASE,
 )
-_MARK = re.compile(r"\{[{%$]|<%|\$\{|\[\[|@@|##\w|__[A-Z]|%[\w.]+%|\[\w+ \w", re.IGNORECASE)
 _DIGIT = re.compile(r"[0-9]+")
 _CLOSED = re.compile(r"[.!?؟。！？…][\"'”’»)\]*_\s]*$")
 #: A line of an article: long, and closed like a sentence.
@@ -127,6 +134,22 @@ def _grams(text: str) -> np.ndarray:
     return _hashed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
 
 
+def _shapes() -> np.ndarray:
+    table = np.arange(1 << 16, dtype=np.uint32)
+    for k in range(1 << 16):
+        c = chr(k)
+        table[k] = 97 if c.isalpha() else 48 if c.isdigit() else 32 if c.isspace() and c != "\n" else k
+    return table
+
+
+_SHAPE = _shapes()
+
+
+def _shape_grams(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return _hashed(_SHAPE[np.minimum(codes, 0xFFFF)])
+
+
 def _plain(line: str) -> str:
     return f" {_DIGIT.sub('0', line.lower()).strip(_EDGES)} "
 
@@ -136,61 +159,87 @@ class Models:
 
     def __init__(self, prose: Iterable[str]) -> None:
         draw = random.Random(1)
-        filler = [_plain(x) for x in FILLER]
         latin = " ".join(FILLER[:3]).split()
-        filler += [_plain(" ".join(draw.choice(latin) for _ in range(12))) for _ in range(400)]  # words in any order
+        lorem = [_plain(x) for x in FILLER[:3]] + [_plain(" ".join(draw.choice(latin) for _ in range(12))) for _ in range(400)]  # words in any order
+        told = [_plain(x) for x in FILLER[3:]]  # a model of its own: the large one would outweigh it
         notices = [_plain(x) for x in NOTICES]
-        lines = [_plain(x) for x in prose]
-        held = [(x, _grams(x)) for x in lines]
-        self.filler, self.notice = (self._ratio(x, [g for _, g in held]) for x in (filler, notices))
-        # once more without the lines that look like residue themselves
-        clean = [g for _, g in held if len(g) and self.filler[g].mean() < FILLER_RATIO / 2 and self.notice[g].mean() < NOTICE_RATIO / 2]
-        self.filler, self.notice = (self._ratio(x, clean) for x in (filler, notices))
+        prose = list(prose)
+        held = [_grams(_plain(x)) for x in prose]
+        for _ in range(2):  # once more without the lines that look like residue themselves
+            self.fillers = [self._ratio(lorem, held), self._ratio(told, held)]
+            self.notice = self._ratio(notices, held)
+            held = [g for g in held if len(g) and max(f[g].mean() for f in self.fillers) < FILLER_RATIO / 4 and self.notice[g].mean() < NOTICE_RATIO / 2]
+        self.titles = self._ratio([_plain(x) for x in DEFAULT_TITLES if x.strip()], held)
+        marks = [x.strip() for line in PLACEHOLDERS.strip().split("\n") for x in line.split(" | ")]
+        plain = [_shape_grams(f" {x} ") for x in prose if not _PLACEHOLDER.search(x)]
+        self.marks = self._table([_shape_grams(f" {x} ") for x in marks], plain)
+
+    def _ratio(self, residue: list[str], prose: list[np.ndarray]) -> np.ndarray:
+        return self._table([_grams(x) for x in residue], prose)
 
     @staticmethod
-    def _ratio(residue: list[str], prose: list[np.ndarray]) -> np.ndarray:
+    def _table(residue: list[np.ndarray], prose: list[np.ndarray]) -> np.ndarray:
         size = 1 << TABLE_BITS
 
         def counts(grams: list[np.ndarray]) -> np.ndarray:
             return np.bincount(np.concatenate([*grams, np.empty(0, np.int64)]), minlength=size)
 
-        a, b = counts([_grams(x) for x in residue]), counts(prose) + 0.1
+        a, b = counts(residue), counts(prose) + 0.1
         b = b / b.sum()
         # the small model is smoothed by the large one: n-grams it has not seen speak for prose
         a = (1 - BACKGROUND) * a / a.sum() + BACKGROUND * b
         return np.clip(np.log(a) - np.log(b), -4, 4).astype(np.float32)
 
-    def windows(self, line: str, ratios: np.ndarray) -> float:
-        """The highest mean ratio of the windows of a line."""
+    def windows(self, line: str) -> float:
+        """The highest mean ratio of filler in the windows of a line."""
         g = _grams(_plain(line))
         if len(g) < 8:
             return -4.0
-        s = np.concatenate([[0], np.cumsum(ratios[g], dtype=np.float64)])
         w = min(WINDOW, len(g))
-        return float((s[w:] - s[:-w]).max() / w)
+        sums = [np.concatenate([[0], np.cumsum(f[g], dtype=np.float64)]) for f in self.fillers]
+        return max(float((s[w:] - s[:-w]).max() / w) for s in sums)
 
     def whole(self, line: str) -> float:
         g = _grams(_plain(line))
         return float(self.notice[g].mean()) if len(g) >= 5 else -4.0
 
 
-def has_placeholder(text: str | None) -> bool:
-    return bool(text) and _MARK.search(text) is not None and _PLACEHOLDER.search(text) is not None
+def has_placeholder(text: str | None, models: Models) -> bool:
+    """Whether marks in a window look like a placeholder, and are one."""
+    if not text:
+        return False
+    ratios = models.marks[_shape_grams(f" {text} ")]
+    if len(ratios) < MARK_WINDOW:
+        return False
+    s = np.concatenate([[0], np.cumsum(ratios, dtype=np.float64)])
+    near = np.flatnonzero(s[MARK_WINDOW:] - s[:-MARK_WINDOW] >= MARK_RATIO * MARK_WINDOW)
+    done = 0
+    for k in near.tolist():
+        if k < done:
+            continue
+        low, done = max(0, k - 60), k + 60
+        if _PLACEHOLDER.search(text, low, min(len(text), k + 120)):
+            return True
+    return False
 
 
 _DEFAULTS = {x.strip() for x in DEFAULT_TITLES if x.strip()}
 
 
-def is_default_title(title: str | None) -> bool:
-    """Whether a title, without the name of a site behind it, is what a template has before it is filled."""
-    return bool(title) and re.split(r"\s+[-|–—]\s+", title.strip())[0].strip().lower() in _DEFAULTS
+def is_default_title(title: str | None, models: Models) -> bool:
+    """Whether a title, without the name of a site behind it, looks like filler and is what a template has before it is filled."""
+    if not title:
+        return False
+    name = re.split(r"\s+[-|–—]\s+", title.strip())[0].strip()
+    g = _grams(_plain(name))
+    return len(g) > 0 and float(models.titles[g].mean()) >= FILLER_RATIO and name.lower() in _DEFAULTS
 
 
 def classify(title: str | None, content: str | None, models: Models) -> str | None:
     """``placeholder``, ``filler``, ``notice`` or None."""
-    if has_placeholder(title) or is_default_title(title) or has_placeholder(content):
+    if has_placeholder(title, models) or is_default_title(title, models) or has_placeholder(content, models):
         return "placeholder"
-    if title and models.windows(title, models.filler) >= FILLER_RATIO:
+    if title and models.windows(title) >= FILLER_RATIO:
         return "filler"
     if not content:
         return None
@@ -207,15 +256,15 @@ def classify(title: str | None, content: str | None, models: Models) -> str | No
     if not len(flat):
         return None
     ends = np.cumsum(sizes)
-    s = np.concatenate([[0], np.cumsum(models.filler[flat], dtype=np.float64)])
-    if len(flat) >= WINDOW:
-        mean = (s[WINDOW:] - s[:-WINDOW]) / WINDOW
-        if ((mean >= FILLER_RATIO) & (line_of[: len(mean)] == line_of[WINDOW - 1 :])).any():
-            return "filler"
     short = (sizes >= 12) & (sizes < WINDOW)
-    whole = (s[ends] - s[ends - sizes]) / np.maximum(sizes, 1)
-    if (short & (whole >= FILLER_RATIO)).any():
-        return "filler"
+    for filler in models.fillers:
+        s = np.concatenate([[0], np.cumsum(filler[flat], dtype=np.float64)])
+        if len(flat) >= WINDOW:
+            mean = (s[WINDOW:] - s[:-WINDOW]) / WINDOW
+            if ((mean >= FILLER_RATIO) & (line_of[: len(mean)] == line_of[WINDOW - 1 :])).any():
+                return "filler"
+        if (short & ((s[ends] - s[ends - sizes]) >= FILLER_RATIO * np.maximum(sizes, 1))).any():
+            return "filler"
     s = np.concatenate([[0], np.cumsum(models.notice[flat], dtype=np.float64)])
     score = (s[ends] - s[ends - sizes]) / np.maximum(sizes, 1)
     notice = (sizes >= 5) & (score >= NOTICE_RATIO)

@@ -233,7 +233,7 @@ def test_residue():
     kind = lambda t, c: residue.classify(t, c, m)
     body = "\n".join(PROSE[:6])
     assert kind("Tajuk", body) is None and kind(None, None) is None and kind("", "") is None
-    for p in ("{{ tajuk }}", "<%= tarikh %>", "${page.heading}", "%pautan%", "[[nama]]", "{% block x %}", "@@a.b@@", "##PAGE.HEADING##", "[Masukkan tajuk]"):
+    for p in ("{{ tajuk }}", "<%= tarikh %>", "${page.heading}", "%pautan%", "[[nama]]", "{% block x %}", "@@page.isi@@", "##PAGE.HEADING##", "[Masukkan tajuk]"):
         assert kind("x", body.replace("harus", p, 1)) == "placeholder", p
         assert kind(p, body) == "placeholder"
     for ok in ("[Khas] Hukum", "100% halal dan 50% susu", "Medan {…} kosong", "siri {2}", "[pautan](https://a.example)"):
