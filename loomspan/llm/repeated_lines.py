@@ -56,7 +56,7 @@ def crossed(counts: DataFrame, totals: DataFrame, min_docs: int = MIN_DOCS, min_
     the proven bound for broadcasting this table.
     """
     totals = totals.groupBy("source_name").agg(F.count("*").alias("n_source_docs"))
-    return counts.where(F.col("n_docs") >= min_docs).join(F.broadcast(totals), "source_name").where(F.col("n_docs") >= F.ceil(F.round(F.col("n_source_docs") * min_share, 6)))
+    return counts.where(F.col("n_docs") >= min_docs).join(totals, "source_name").where(F.col("n_docs") >= F.ceil(F.round(F.col("n_source_docs") * min_share, 6)))
 
 
 def spell_out(df: DataFrame, lines: DataFrame) -> DataFrame:
