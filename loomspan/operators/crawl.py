@@ -83,3 +83,28 @@ def turns(events: DataFrame, group: str, order: list[str], flag: Column, value:
     """The last earlier ``value`` of a row with ``flag`` in its group."""
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return F.last(F.when(flag, value), ignorenulls=True).over(w)
+
+
+def batch_totals(corpus: DataFrame) -> DataFrame:
+    """Per batch: documents, characters, the first title (by document_id) and the crawlers joined by ``+``."""
+    rows = corpus.where(F.col("crawl_batch_id").isNotNull()).select("crawl_batch_id", "document_id", "title", "crawler", F.length("content").alias("n")).distinct()
+    out = rows.groupBy("crawl_batch_id").agg(F.count_distinct("document_id").alias("n_documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("characters"), F.min_by("title", F.struct("document_id", "title")).alias("first_title"), F.array_join(F.array_sort(F.collect_set("crawler")), "+").alias("crawlers"))
+    return out
+
+
+def expanded_sitemaps(pages: DataFrame, seed: str, depth: int = 3) -> DataFrame:
+    """URLs listed under a sitemap: nested ``.xml`` sitemaps of the same host are followed up to ``depth``.
+
+    ``pages``: url, body. One join a level, of the level's sitemaps only.
+    """
+    home = urls.host(F.lit(seed))
+    locs = pages.select(F.col("url").alias("_at"), F.explode(urls.sitemap_locs(F.col("body"))).alias("url")).where(urls.host(F.col("url")) == home)
+    level = pages.sparkSession.createDataFrame([(seed,)], "_at string")
+    seen, found = level, None
+    for _ in range(depth + 1):
+        listed = locs.join(level, "_at", "left_semi").select("url").distinct()
+        leaves = listed.where(~F.col("url").endswith(".xml"))
+        found = leaves if found is None else found.unionByName(leaves)
+        level = listed.where(F.col("url").endswith(".xml")).select(F.col("url").alias("_at")).join(seen, "_at", "left_anti")
+        seen = seen.unionByName(level)
+    return found.distinct()

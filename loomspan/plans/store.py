@@ -362,6 +362,14 @@ def url_filters(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.allowed(a, table(spark, sf, "crawl_sources"))
 
 
+@plans.add("""WITH r AS (SELECT DISTINCT crawl_batch_id, document_id, title, crawler, length(content) AS n FROM corpus WHERE crawl_batch_id IS NOT NULL)
+SELECT crawl_batch_id, count(DISTINCT document_id) AS n_documents, coalesce(sum(n), 0)::BIGINT AS characters, (SELECT title FROM r f WHERE f.crawl_batch_id = r.crawl_batch_id AND title IS NOT NULL ORDER BY document_id, title LIMIT 1) AS first_title, array_to_string(list_sort(list(DISTINCT crawler) FILTER (crawler IS NOT NULL)), '+') AS crawlers FROM r GROUP BY crawl_batch_id""")
+def batch_totals(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "corpus")
+    first = c.where("crawl_batch_id IS NOT NULL AND title IS NOT NULL").groupBy("crawl_batch_id").agg(F.min(F.struct("document_id", "title"))["title"].alias("first_title"))
+    return crawl.batch_totals(c).drop("first_title").join(first, "crawl_batch_id", "left")
+
+
 # --- feedback, events ----------------------------------------------------------------------------
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import text
+from loomspan.functions.shared import written
 from loomspan.sources.schemas import schema
 
 SHARD_ROWS = 5000
@@ -35,6 +36,7 @@ def shard_numbers(df: DataFrame, order: list[str], rows: int = SHARD_ROWS) -> Da
     Row numbers come from range-partitioned counts, so no single task sees all rows.
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    placed = written(placed, "placed")  # ranges are sampled: they must not be drawn anew for the counts
     sizes = placed.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("first"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     starts = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).select("_p", "first", "before")

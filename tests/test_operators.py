@@ -137,3 +137,20 @@ def test_empty_tables(spark):
     edges = spark.createDataFrame([], schemas.schema("graph_edges"))
     assert crawl.latest_runs(runs).count() == crawl.progress(runs).count() == crawl.completeness(attempts).count() == 0
     assert graph.graph_nodes(edges, "edge_id").count() == graph.graph_links(edges).count() == 0
+
+
+def test_sitemaps(spark):
+    xml = lambda *u: "<urlset>" + "".join(f"<loc>{x}</loc>" for x in u) + "</urlset>"
+    pages = spark.createDataFrame([("https://a.example/s.xml", xml("https://a.example/1", "https://a.example/t.xml", "https://b.example/9")), ("https://a.example/t.xml", xml("https://a.example/2", "https://a.example/s.xml"))], "url string, body string")
+    assert sorted(r.url for r in crawl.expanded_sitemaps(pages, "https://a.example/s.xml").collect()) == ["https://a.example/1", "https://a.example/2"]
+
+
+def test_views_and_payloads(spark, sf, tmp_path):
+    from loomspan.sources import views
+
+    assert "corpus" in views.register(spark, sf)
+    assert spark.sql("SELECT count(*) AS n FROM corpus WHERE source_name = :s", args={"s": "none"}).first()["n"] == 0
+    (tmp_path / "p.json").write_text(json.dumps({"ok": True, "documents": [{"url": "u", "title": "t", "content": "c", "depth": "x", "status_code": 200}], "errors": [{"url": "v", "error": "e"}]}))
+    spark.dataSource.register(views.CrawlPayloads)
+    got = spark.read.format("crawl_payloads").option("paths", str(tmp_path / "p.json")).load().collect()
+    assert sorted((r.url, r.depth, r.error) for r in got) == [("u", 0, None), ("v", 0, "e")]
