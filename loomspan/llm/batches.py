@@ -279,10 +279,14 @@ class History:
         else:
             touched = [r[0] for r in keyed.select("range").distinct().collect()]  # at most RANGES
             near_old = old_keys.where(F.col("range").isin(touched)).join(keyed.select("pass", "key").distinct(), ["pass", "key"], "left_semi").withColumn("fresh", F.lit(False))
-            known = old_rows.select("node", "document_id", "crawl_batch_id", "content_hash", "seq").withColumn("has_content", F.lit(True))
+            pairs = written(candidates(near_old.unionByName(keyed, allowMissingColumns=True)), "pairs")
+            # of the history's records only those that share a hash with the batch or look near to it
+            wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(rows.select("node")).distinct()
+            hashes = rows.where(F.col("content_hash").isNotNull()).select("content_hash").distinct()
+            slim = old_rows.select("node", "document_id", "crawl_batch_id", "content_hash", "seq").withColumn("has_content", F.lit(True))
+            known = written(slim.join(wanted, "node", "left_semi").unionByName(slim.join(hashes, "content_hash", "left_semi").select(*slim.columns)).distinct(), "known")
             mine = rows.select(*known.columns)
             first = known.unionByName(mine).groupBy("node").agg(F.min(F.struct("seq", "document_id", "crawl_batch_id")).alias("first"))
-            pairs = candidates(near_old.unionByName(keyed, allowMissingColumns=True))
             links = verified(pairs, old_rows.select("node", "runs").unionByName(rows.select("node", "runs")).where(F.octet_length("runs") > 0))
             links = _directed(links.unionByName(_hash_links(known.unionByName(mine))), first)
             order = first.select(F.col("node").alias("earlier"), "first")
