@@ -91,8 +91,6 @@ def graph_memory_search(spark: SparkSession, sf: str) -> DataFrame:
     return hit.orderBy("source_id", "relation", "target_id").limit(10)
 
 
-_SPLIT = "crawl_batch_id < (SELECT median FROM (SELECT quantile_disc(crawl_batch_id, 0.5) AS median FROM graph_edges))"
-
 
 @plans.add("""WITH half AS (SELECT *, crawl_batch_id < '8' AS old FROM graph_edges WHERE edge_id IS NOT NULL),
 l AS (SELECT DISTINCT old, source_id AS source, target_id AS target, coalesce(relation, '') AS relation FROM half WHERE coalesce(source_id, '') <> '' AND coalesce(target_id, '') <> '' AND crawl_batch_id IS NOT NULL),

@@ -8,10 +8,6 @@ from loomspan.sources import files, schemas
 from loomspan.streaming import ingest
 
 
-def table(spark, name, rows):
-    return schemas.conform(spark.createDataFrame(rows, schemas.TABLES[name]) if rows and not isinstance(rows[0], dict) else spark.createDataFrame([json.loads(json.dumps(r)) for r in rows], schemas.schema(name)), name)
-
-
 def merge_state(spark):
     ts = "2024-01-0{}T00:00:00"
     c = lambda d, h, n: {"document_id": d, "content_hash": h, "created_at": ts.format(n), "updated_at": ts.format(n)}
