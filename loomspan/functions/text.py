@@ -23,7 +23,7 @@ PREFIXES = "memper diper meng meny men mem ber ter per peng peny pen pem di ke s
 STOPWORDS = (
     "dan di ke yang adalah pada untuk atau saya apa apakah bagaimana ada tidak bila itu ini dengan oleh dari darihal tentang mengenai bagi seperti ia mereka kita "
     "kami kamu dia dalam sebagai akan telah sudah belum sedang boleh harus wajib hukum hukumnya status mengikut menurut keputusan fatwa kebangsaan malaysia pejabat "
-    "mufti bagaimanakah siapa siapakah jawab ringkas sertakan asas rujukan sumber rasmi katalog mursyid berdasarkan"
+    "mufti bagaimanakah siapa siapakah jawab ringkas sertakan asas rujukan sumber rasmi katalog berdasarkan"
 ).split()
 NOISE_MARKERS = ("cookie", "privacy policy", "javascript", "enable cookies")
 RULINGS = "HARUS HARAM WAJIB SUNAT MAKRUH SAH BATAL".split()
