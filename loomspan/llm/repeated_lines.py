@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.functions.partitions import spread
+
 MIN_DOCS, MIN_SHARE = 5, 0.05
 _SPACE = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
@@ -72,6 +74,7 @@ def repeated_lines(df: DataFrame, min_docs: int = MIN_DOCS, min_share: float = M
     see :func:`advance` for later ones. Null contents have no lines but count as documents; rows with a
     null source_name or document_id don't count; a repeated row counts once.
     """
+    df = spread(df)
     return spell_out(df, crossed(line_counts(line_members(df)), doc_members(df), min_docs, min_share))
 
 
