@@ -117,6 +117,21 @@ def test_multi_sequence_is_in_order():
     assert sums == sorted(sums) and len(set(got)) == 9
 
 
+def test_walk_goes_on_until_enough_entries():
+    """Empty cells cost no entries: the walk passes over them, and more rows ask for more entries."""
+    d = [float(i) for i in range(40)]
+    held = lambda i, j: 10 * (i + j >= 12)  # noqa: E731 the 78 nearest pairs are empty
+    got = neighbours.multi_sequence(d, d, 200, held)
+    assert len(got) == 20 and all(i + j >= 12 for i, j in got)
+    assert neighbours.multi_sequence(d[:2], d[:2], 200, held) == []
+    draw = np.random.default_rng(2)
+    x, c1, c2 = draw.normal(size=(50, 8)).astype(np.float32), draw.normal(size=(30, 4)).astype(np.float32), draw.normal(size=(30, 4)).astype(np.float32)
+    sizes = np.where(np.arange(900) % 9 == 0, 20, 0)  # eight of nine cells are empty
+    for by in neighbours._visits(x, c1, c2, 500, sizes, np.arange(30) // 5):
+        assert sum(sizes[c] for cells in by.values() for c in cells) >= 500 and len({g for g in by}) <= 6
+    assert neighbours.entries_wanted(1_788_430) > 3 * neighbours.entries_wanted(178_843) > 3 * 640
+
+
 # --- 3 -------------------------------------------------------------------------------------------
 
 
