@@ -2,8 +2,8 @@
 
 Every text has several sort keys: minima of different hash functions over the three-word runs of its long
 lines. Records are kept in runs sorted by (key number, key, batch). Near texts share most keys, so each
-record is compared only with a window before it in its run and with the run's leaders (records near to no
-leader before them), by a sketch; what passes is checked exactly on the sets of word runs.
+record is compared only with those before it in its runs, with all of them, by a sketch; what passes is
+checked exactly on the sets of word runs.
 
 :func:`repeats` takes all batches at once. :class:`History` keeps the runs of accepted records as tables in
 key ranges and takes one batch after the other; both give the same rows.
@@ -25,7 +25,9 @@ from loomspan.functions.shared import written
 from loomspan.llm.words import WordIds, fold, mix64, shingle_hashes
 
 WIDTH, SIMILARITY = 3, 0.5
-KEYS, LANES, WINDOW = 14, 64, 16
+KEYS, LANES = 14, 64
+#: Comparisons of sketches made at once, and pairs handed on at once.
+AT_ONCE, PAIRS = 4_000_000, 500_000
 #: Lines of at least this many characters give the keys; pages with too few words in such lines give all of theirs.
 LONG_LINE, LONG_WORDS = 150, 40
 #: A pair goes on to the exact check from this share of equal sketch lanes: 3.5 standard deviations below the similarity.
@@ -83,75 +85,75 @@ def key_rows(records: DataFrame) -> DataFrame:
     return out.select(F.pmod(F.shiftright("key", 40), F.lit(RANGES)).cast("int").alias("range"), F.col("pass").cast("int").alias("pass"), "key", "seq", "node", "sketch", "fresh")
 
 
-def _near(a: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return np.flatnonzero((m == a).sum(axis=1) >= SKETCH_SHARE * LANES)
-
-
-def _scan(node: np.ndarray, sketch: np.ndarray, fresh: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of one run (in batch order) that look near and of which one is fresh."""
+def _scan(node: np.ndarray, sketch: np.ndarray, fresh: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs of one run, as arrays of two columns (smaller node first), that look near and of which one is fresh. Every
+    record is compared with all before it: one that is near to what stands for many may be near to one of these only."""
     if not fresh.any():
         return
-    n = len(node)
-    if n <= WINDOW + 1:
-        close = (sketch[:, None, :] == sketch[None, :, :]).sum(axis=2) >= SKETCH_SHARE * LANES
-        for a, b in zip(*np.nonzero(np.triu(close, 1)), strict=True):
-            if node[a] != node[b] and (fresh[a] or fresh[b]):
-                yield int(node[a]), int(node[b])
-        return
-    leaders, room = np.empty(64, np.int64), 0
-    marks = np.empty((64, LANES), np.uint8)
-    for k in range(n):
-        low = max(0, k - WINDOW)
-        hit = _near(sketch[k], marks[:room])
-        before = {*leaders[:room][hit].tolist(), *(low + _near(sketch[k], sketch[low:k])).tolist()}
-        for j in before:
-            if node[j] != node[k] and (fresh[j] or fresh[k]):
-                yield int(node[j]), int(node[k])
-        if not len(hit):
-            if room == len(leaders):
-                leaders, marks = np.append(leaders, np.empty_like(leaders)), np.concatenate([marks, np.empty_like(marks)])
-            leaders[room], marks[room] = k, sketch[k]
-            room += 1
+    lanes, n = np.ascontiguousarray(sketch.T), len(node)
+    step = max(1, AT_ONCE // n)
+    for low in range(0, n, step):
+        high = min(n, low + step)
+        equal = np.zeros((high - low, high), np.uint8)
+        for lane in lanes:
+            equal += lane[low:high, None] == lane[None, :high]
+        b, a = np.nonzero(equal >= SKETCH_SHARE * LANES)
+        b += low
+        keep = (a < b) & (fresh[a] | fresh[b])
+        x, y = node[a[keep]], node[b[keep]]
+        yield np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y]
 
 
 def candidates(keyed: DataFrame) -> DataFrame:
     """(a, b), a < b: nodes that stand near one another in a run and look near by their sketches.
 
-    Ranges are laid out by (range, pass, key); a key's run is read in batch order in one task. The work in a run
-    is linear in its records times window and leaders. Copies are one node, so a hot page makes no long run.
+    Ranges are laid out by (range, pass, key); a key's run is read in batch order in one task. All pairs of a run are
+    compared, so the work grows with the square of its records. Copies are one node, so a hot page makes no long run.
     """
     spread_out = keyed.select("pass", "key", "seq", "node", "sketch", "fresh").repartition("pass", "key").sortWithinPartitions("pass", "key", "seq", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
-        def scan(t: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
+        def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
+            pairs = np.concatenate(parts)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in pairs.T], names=["a", "b"])
+
+        def scan(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
             p, key = t.column("pass").to_numpy(), t.column("key").to_numpy()
             edge = np.flatnonzero((p[1:] != p[:-1]) | (key[1:] != key[:-1])) + 1
             begins, ends = np.append(0, edge), np.append(edge, len(key))
-            rest = None
+            held = None
             if not last:
-                rest = t.slice(int(begins[-1]))
+                held = t.slice(int(begins[-1]))
                 begins, ends = begins[:-1], ends[:-1]
             more = ends - begins > 1
-            pairs: set[tuple[int, int]] = set()
+            parts, met = [], 0
             if more.any():
                 node, fresh = t.column("node").to_numpy(), t.column("fresh").to_numpy(zero_copy_only=False)
                 raw = t.column("sketch").to_pylist()
                 for a, b in zip(begins[more].tolist(), ends[more].tolist(), strict=True):
                     sketch = np.frombuffer(b"".join(raw[a:b]), np.uint8).reshape(-1, LANES)
-                    pairs.update((min(x), max(x)) for x in _scan(node[a:b], sketch, fresh[a:b]))
-            columns = list(zip(*pairs, strict=True)) if pairs else [[], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"]), rest
+                    for pairs in _scan(node[a:b], sketch, fresh[a:b]):
+                        if len(pairs):
+                            parts.append(pairs)
+                            met += len(pairs)
+                        if met >= PAIRS:
+                            yield packed(parts)
+                            parts, met = [], 0
+            if parts:
+                yield packed(parts)
 
         for b in batches:
             if not b.num_rows:
                 continue
             held = pa.concat_tables([held, pa.Table.from_batches([b])]) if held is not None else pa.Table.from_batches([b])
-            out, held = scan(held, last=False)
-            yield out
+            yield from scan(held, last=False)
         if held is not None:
-            yield scan(held, last=True)[0]
+            yield from scan(held, last=True)
 
     return spread_out.mapInArrow(run, "a bigint, b bigint").distinct()
 

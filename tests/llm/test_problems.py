@@ -212,6 +212,41 @@ def test_one_page_in_every_batch(spark):
     assert batches.repeats(empty.limit(0), b).count() == 0
 
 
+def template_family(n=300, seed=5):
+    """Pages of one template, each repeated once in a later batch: a page is like all others, but near to its own repeat only."""
+    draw = np.random.default_rng(seed)
+    shared = [f"templat{i}" for i in range(110)]
+    data = []
+    for i in range(n):
+        own = [f"isi{i}x{k}" for k in range(60)]
+        for seq in (1, 2):
+            w = [*shared, *own]
+            for at in draw.choice(len(w), 7, replace=False):
+                w[at] = f"lain{i}x{seq}x{at}"
+            data.append((f"d{i:04d}" + "r" * (seq - 1), seq, f"h{i}-{seq}", " ".join(w)))
+    return data
+
+
+def test_repeats_in_a_template_family(spark):
+    data = template_family()
+    got = {(r.document_id, r.crawl_batch_id): r.kept_document_id for r in batches.repeats(*tables(spark, data)).collect()}
+    want = {(d, "b2"): d[:-1] for d, s, _, t in data if s == 2 and jaccard(t, next(x[3] for x in data if x[0] == d[:-1])) >= 0.5}
+    assert len(want) > 250 and got.keys() >= want.keys()
+    text = {d: t for d, _, _, t in data}
+    assert all(jaccard(text[d], text[k]) >= 0.5 for (d, _), k in got.items())
+
+
+def test_run_compares_all_pairs():
+    """The last record is near to the second only, which itself looks near to the first."""
+    draw = np.random.default_rng(8)
+    sketch = draw.integers(1, 200, (40, batches.LANES)).astype(np.uint8)
+    sketch[:, :20] = 0  # all look near to the first
+    sketch[39] = 255
+    sketch[39, 24:] = sketch[1, 24:]
+    pairs = {tuple(map(int, p)) for part in batches._scan(np.arange(40), sketch, np.ones(40, bool)) for p in np.reshape(part, (-1, 2))}
+    assert (1, 39) in pairs and all((a, 39) not in pairs for a in range(40) if a != 1)
+
+
 # --- 4 -------------------------------------------------------------------------------------------
 
 
