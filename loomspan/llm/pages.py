@@ -1,8 +1,9 @@
-"""Problem 1: the article of a crawled page among page furniture, by line-block distribution.
+"""Problem 1: the article of a crawled page among page furniture, by line rules.
 
-Markup is stripped, the text lengths of the lines are summed over sliding windows of lines, and the body runs
-from where the sums surge to where they dive for good. Lines inside the body are then looked at one by one:
-advertising, bylines and links to other articles go, and a headline right above the surge comes in.
+Markup is stripped and the body runs from the headline, or where there is none from where the text lengths summed
+over sliding windows of lines surge, to the last line that looks like text. Lines inside the body are then looked
+at one by one: advertising, bylines and links to other articles go. No dive of the sums is located: one long
+sentence far below the article moves its end down, with the plain lines between.
 """
 
 from __future__ import annotations
@@ -149,7 +150,7 @@ def article_lines(content: str, title: str | None = None) -> np.ndarray:
     start = head if head is not None else (surge if surge is not None else first)
     if surge is not None and head is not None and head > surge and not dense[surge:head].any():
         start = head
-    # the dive: after the last dense line only items and notes follow; a list of links or furniture ends the article
+    # the end: after the last dense line only items and notes follow; a list of links or furniture ends the article
     if dense.any():
         end = int(np.flatnonzero(dense)[-1])
         for i in range(end + 1, n):
