@@ -158,7 +158,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return sentences.sentences(_table(spark, sf, "documents"), with_text=False).select("doc_id", "start_pos", "end_pos").distinct()
+    return sentences.sentences(_table(spark, sf, "documents"), with_text=False).select("doc_id", "start_pos", "end_pos")
 
 
 def p9_sentences(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Problem 9: sentences of texts in several languages and scripts, by a semi-Markov dynamic programme.
 
-A block (what stands between blank lines) has candidate ends: terminal marks, list marks at the start of a
-line and, in Thai, spaces. A segmentation is scored span by span: how the span closes (mark, abbreviation,
-quotation with or without an introduction), how the next one opens, whether quotations and brackets are
-balanced inside it, and its length. The best sequence of whole spans is found by dynamic programming.
+In a block (what stands between blank lines) every terminal mark, every list mark at the start of a line and,
+in Thai, every space may end a sentence. A segmentation is scored span by span: how the span closes (mark,
+abbreviation, quotation with or without an introduction), how the next one opens, whether quotations and brackets
+are balanced inside it, and its length. The best sequence of whole spans is found by dynamic programming.
 """
 
 from __future__ import annotations
@@ -31,28 +31,30 @@ _DOMAINS = set("example com org net edu gov my id sg uk info html htm php www".s
 
 _BLANK = re.compile(r"\s*\n[^\S\n]*\n\s*")
 _TOKEN = re.compile(
-    r"[\"“”„«»「」『』()\[\]（）【】［］]"
-    r"|[.!?؟۔。！？…]+"
+    r"[.!?؟۔。！？…]+"
     r"|\n[^\S\n]*(?=(?:[-*•–+]|\(?(?:[0-9٠-٩۰-۹๐-๙]{1,3}|[A-Za-z]|[ivx]{2,4})[.)]|（?[0-9一二三四五六七八九十]{1,3}[）、.])\s)"
     r"|(?<=[ก-๎)])\s+(?=[ก-๎])|(?<=[ก-๎])\s+(?=[A-Z])"
 )
 _MARK = re.compile(r"(?:^|\n)[^\S\n]*[(（]?(?:[0-9٠-٩۰-۹๐-๙]{1,3}|[A-Za-z]|[ivx]{2,4})$")
-_WORD = re.compile(r"[^\W_](?:[^\W_]|\.(?=[^\W_]))*$")
+_SIGN = re.compile(r"[\"“”„«»「」『』()\[\]（）【】［］]")
 _INITIAL = re.compile(r"[A-Za-z]\.\s")
 _DOTS = set(".…")
 _CLOSERS = "\"”“»」』)]）】］'’*_"
 _QUOTES = "\"“”„«»「」『』"
 _OPEN, _SHUT = "([（【［", ")]）】］"
-_TERMINAL, _HARD = 3.0, -8.0
-#: Cost of a span whose quotations or brackets aren't balanced.
-_UNBALANCED = 12.0
-#: Candidates that a span may run over.
-_REACH = 48
+#: What closing marks, and words that can't close or open a sentence, add to a span's score.
+_TERMINAL, _AGAINST = 3.0, -8.0
+#: A short word that may close a sentence: with a clear opening behind it the length of the spans decides.
+_MAY_CLOSE = 1.0
+#: A cut inside a balanced quotation or pair of brackets.
+_UNBALANCED = -12.0
+#: The most that the length of a span costs.
+_LONGEST_COST = 0.8
 
 
 def _length(n: int) -> float:
-    """Cost of a span of n characters, at most 0.8: lengths far from a usual sentence are less likely."""
-    return min(0.8, 0.1 * (math.log(max(n, 1) / 90.0) / 0.9) ** 2)
+    """Cost of a span of n characters: lengths far from a usual sentence are less likely."""
+    return min(_LONGEST_COST, 0.1 * (math.log(max(n, 1) / 90.0) / 0.9) ** 2)
 
 
 def _first(text: str, at: int, end: int) -> str:
@@ -62,102 +64,149 @@ def _first(text: str, at: int, end: int) -> str:
     return text[at] if at < end else ""
 
 
-def _closing(text: str, begin: int, at: int, stop: int, end: int, cased: bool) -> float:
-    """How well a sentence ends with the marks ``text[at:stop]`` (closers left out of them) before ``end``."""
+def _run(text: str, at: int, end: int) -> str:
+    """The letters, digits and underscores from ``at``."""
+    stop = at
+    while stop < end and (text[stop].isalnum() or text[stop] == "_"):
+        stop += 1
+    return text[at:stop]
+
+
+def _last_word(text: str, begin: int, at: int) -> str:
+    """The letters and digits before ``at``, full stops between them included."""
+    low = at
+    while low > begin and (text[low - 1].isalnum() or (text[low - 1] == "." and low < at and low - 1 > begin and text[low - 2].isalnum())):
+        low -= 1
+    return text[low:at]
+
+
+def _opening(after: str, cased: bool) -> float:
+    """How well a span opens with the character ``after``."""
+    return _AGAINST if (after.islower() and cased) or after in ",;:،؛，；：" else 0.0
+
+
+def _closing(text: str, begin: int, at: int, stop: int, end: int) -> float:
+    """How well a span closes with the marks ``text[at:stop]`` (closers left out of them) before ``end``."""
     marks = text[at:stop]
     after = _first(text, stop, end)
     if not after:
         return _TERMINAL
-    only_dots = not (set(marks) - _DOTS)
-    if only_dots and (len(marks) > 1 or marks == "…"):
-        return _HARD  # an ellipsis
+    dots = not (set(marks) - _DOTS)
+    if dots and (len(marks) > 1 or marks == "…"):
+        return _AGAINST  # an ellipsis
     spaced = text[stop].isspace()
-    if marks == ".":
+    if marks != ".":
+        return _TERMINAL if spaced or not dots else _TERMINAL - 1.0
+    if not spaced:
         before = text[at - 1] if at > begin else ""
-        if not spaced:
-            if not (before.isalpha() or before in _CLOSERS or before.isdigit()) or not after.isalpha() or after.islower():
-                return _HARD  # a decimal, a version, an address
-            word = re.match(r"\w+", text[stop : min(end, stop + 40)].lstrip(_CLOSERS))
-            if word and word[0].lower() in _DOMAINS:
-                return _HARD
-        m = _WORD.search(text, max(begin, at - 24), at)
-        if m:
-            word = m[0].lower()
-            tail = word.rsplit(".", 1)[-1]
-            if "." in word and word not in _NEVER and word not in _LAST and max(map(len, word.split("."))) > 2:
-                word = tail  # no space stands before the sentence that the abbreviation opens
-            if word in _NEVER:
-                return _HARD
-            if word in _LAST:
-                next_word = re.match(r"\w+", text[stop : min(end, stop + 60)].lstrip())
-                titled = bool(next_word) and next_word[0][0].isupper() and (word not in ("p.m", "a.m") or not next_word[0].isupper() or len(next_word[0]) == 1)
-                return _TERMINAL if titled or (after and not after.islower() and not after.isupper()) else _HARD
-            if len(word) == 1 and word.isalpha() and not text[at - 1].islower():
-                return _HARD  # an initial, an abbreviated title or a list mark
-            if all(len(x) == 1 for x in word.split(".")) and "." in word:
-                return _HARD
-            if _MARK.search(text, max(begin - 1, 0, at - 8), at) and (at - len(word) <= begin or "\n" in text[max(begin, at - len(word) - 4) : at]):
-                return _HARD
-        elif not spaced:
-            return _HARD
-    if after and after.islower() and cased:
-        return _HARD
-    if after and after in ",;:،؛，；：":
-        return _HARD
-    return _TERMINAL if spaced or not only_dots else _TERMINAL - 1.0
-
-
-def _candidates(text: str, begin: int, end: int) -> list[tuple[int, float, tuple[int, int]]]:
-    """(place after it, score of closing there, (quotation open, brackets open)) of the possible ends in a block."""
+        if not (before.isalpha() or before in _CLOSERS or before.isdigit()) or not after.isalpha() or after.islower():
+            return _AGAINST  # a decimal, a version, an address
+        low = stop
+        while low < end and text[low] in _CLOSERS:
+            low += 1
+        if _run(text, low, end).lower() in _DOMAINS:
+            return _AGAINST
+    said = _last_word(text, begin, at)
+    if not said:
+        return _TERMINAL if spaced else _AGAINST
+    word = said.lower()
+    parts = word.split(".")
+    if len(parts) > 1 and word not in _NEVER and word not in _LAST and max(map(len, parts)) > 2:
+        word, parts = parts[-1], parts[-1:]  # no space stands before the sentence that the abbreviation opens
+    if word in _NEVER:
+        return _AGAINST
+    if word in _LAST:
+        low = stop
+        while low < end and text[low].isspace():
+            low += 1
+        follows = _run(text, low, end)
+        titled = follows[:1].isupper() and (word not in ("p.m", "a.m") or not follows.isupper() or len(follows) == 1)
+        return _MAY_CLOSE if titled or (not after.islower() and not after.isupper()) else _AGAINST
+    if len(word) == 1 and word.isalpha() and not text[at - 1].islower():
+        return _AGAINST  # an initial, an abbreviated title or a list mark
+    if len(parts) > 1 and all(len(x) == 1 for x in parts):
+        return _AGAINST
+    if _MARK.search(text, max(begin - 1, 0, at - 8), at) and (at - len(word) <= begin or "\n" in text[max(begin, at - len(word) - 4) : at]):
+        return _AGAINST
+    return _TERMINAL if spaced else _TERMINAL - 1.0
+
+
+def _pairs(text: str, begin: int, end: int) -> list[tuple[int, int, bool]]:
+    """(opening, closing, whether a quotation) of the outermost balanced quotations and brackets of a block, in order.
+
+    A mark without a partner in the block opens nothing, so it holds no sentence together.
+    """
+    out: list[tuple[int, int, bool]] = []
+    quote, stack = -1, []
+    for m in _SIGN.finditer(text, begin, end):
+        c, at = m[0], m.start()
+        if c in _QUOTES:
+            if quote < 0:
+                quote = at
+            else:
+                out.append((quote, at, True))
+                quote = -1
+        elif c in _OPEN:
+            stack.append(at)
+        elif stack:
+            out.append((stack.pop(), at, False))
+    out.sort()
+    kept: list[tuple[int, int, bool]] = []
+    for p in out:
+        if not kept or p[1] > kept[-1][1]:
+            kept.append(p)
+    return kept
+
+
+def _candidates(text: str, begin: int, end: int) -> list[tuple[int, float]]:
+    """(place after it, score of a cut there) of every mark in a block that might end a sentence.
+
+    The score adds up how the words before it close, how those behind it open, and what a cut inside a
+    balanced quotation or pair of brackets costs.
+    """
     cased = any(c.isupper() for c in text[begin:end])
-    out: list[tuple[int, float, tuple[int, int]]] = []
-    quote, depth, opened, stop = 0, 0, -1, begin
+    pairs = _pairs(text, begin, end)
+    k, out, stop = 0, [], begin
     for m in _TOKEN.finditer(text, begin, end):
         at = m.start()
         if at < stop:
             continue  # a closer that went with its mark
-        t = m[0]
-        c = t[0]
-        if c in _QUOTES:
-            quote ^= 1
-            if quote:
-                opened = at
-        elif c in _OPEN:
-            depth += 1
-        elif c in _SHUT:
-            depth = max(0, depth - 1)
-        elif c.isspace():
+        c = m[0][0]
+        if c.isspace():
             # a Thai space, or a list mark that opens an item; a letter and a full stop may be initials, broken over lines
-            if c != "\n" or not _INITIAL.match(text, m.end()) or _ends(text, begin, at, end, cased):
-                out.append((at, _TERMINAL - 1.0, (quote, depth)))
+            while k < len(pairs) and pairs[k][1] < at:
+                k += 1
+            held = k < len(pairs) and pairs[k][0] < at
+            score = _TERMINAL - 1.0 if c != "\n" or not _INITIAL.match(text, m.end()) or _ends(text, begin, at, end, cased) else _AGAINST
+            out.append((at, score + held * _UNBALANCED))
+            continue
+        stop = marks_end = m.end()
+        while k < len(pairs) and pairs[k][1] < at:
+            k += 1
+        inside = k < len(pairs) and pairs[k][0] < at
+        while stop < end and text[stop] in _CLOSERS:
+            x = text[stop]
+            if x in _QUOTES and not (inside and pairs[k][2] and pairs[k][1] >= stop):
+                break  # it opens the next one
+            if x in _SHUT and not (inside and pairs[k][1] >= stop):
+                break
+            stop += 1
+        if stop >= end:
+            continue
+        after = _first(text, stop, end)
+        score = _opening(after, cased) if after else 0.0
+        if inside and pairs[k][1] < stop:  # the pair ends with this mark
+            if pairs[k][2]:
+                low = pairs[k][0] - 1
+                while low >= begin and text[low].isspace():
+                    low -= 1
+                # behind an introduction the quotation closes the sentence; else the words that follow belong to it
+                score += _TERMINAL if low >= begin and text[low] in ":：" else _AGAINST
+            else:
+                score += _AGAINST  # marks in brackets end nothing
         else:
-            stop = marks_end = m.end()
-            closed = False
-            while stop < end and text[stop] in _CLOSERS:
-                x = text[stop]
-                if x in _QUOTES:
-                    if not quote:
-                        break  # it opens the next one
-                    quote, closed = 0, True
-                elif x in _SHUT:
-                    if not depth:
-                        break
-                    depth -= 1
-                stop += 1
-            if stop >= end:
-                continue
-            if closed:
-                k = opened - 1
-                while k >= begin and text[k].isspace():
-                    k -= 1
-                if k < begin or text[k] not in ":：":
-                    continue  # the words behind the quotation belong to it
-            elif depth or (stop > marks_end and text[stop - 1] in _SHUT):
-                # marks in brackets end nothing
-                continue
-            score = _closing(text, begin, at, marks_end, end, cased) if not closed else _after_quote(text, stop, end, cased)
-            if score > _HARD:
-                out.append((stop, score, (quote, depth)))
+            score += _closing(text, begin, at, marks_end, end) + inside * _UNBALANCED
+        out.append((stop, score))
     return out
 
 
@@ -166,31 +215,28 @@ def _ends(text: str, begin: int, at: int, end: int, cased: bool) -> bool:
     k = at - 1
     while k > begin and (text[k].isspace() or text[k] in _CLOSERS):
         k -= 1
-    return text[k] in ".!?؟۔。！？" and _closing(text, begin, k, k + 1, end, cased) > _HARD
+    if text[k] not in ".!?؟۔。！？":
+        return False
+    after = _first(text, k + 1, end)
+    return _closing(text, begin, k, k + 1, end) + (_opening(after, cased) if after else 0.0) > 0
 
 
-def _after_quote(text: str, stop: int, end: int, cased: bool) -> float:
-    after = _first(text, stop, end)
-    if not after:
-        return _TERMINAL
-    return _HARD if (after.islower() and cased) or after in ",;:،؛，；：" else _TERMINAL
-
-
-def _best(begin: int, end: int, found: list[tuple[int, float, tuple[int, int]]]) -> list[int]:
-    """Ends of the spans of the best segmentation, without that of the block."""
-    if all(state == (0, 0) for _, _, state in found):
-        return [p for p, _, _ in found]  # each split gains at least 2 and costs at most 1.6: all are taken
-    at = [begin, *(p for p, _, _ in found), end]
-    gain = [0.0, *(s for _, s, _ in found), 0.0]
-    state = [(0, 0), *(s for _, _, s in found), (0, 0)]
-    n = len(at)
-    best, back = [0.0] + [-math.inf] * (n - 1), [0] * n
-    for j in range(1, n):
-        for i in range(max(0, j - _REACH), j):
-            v = best[i] + gain[j] - _length(at[j] - at[i]) - (_UNBALANCED if state[i] != state[j] else 0.0)
-            if v > best[j]:
-                best[j], back[j] = v, i
-    out, j = [], back[n - 1]
+def _best(begin: int, end: int, found: list[tuple[int, float]]) -> list[int]:
+    """Ends of the spans of the best segmentation, without that of the block.
+
+    A span's score is that of the cut it ends with less the cost of its length. A start is dropped when another
+    one leads by more than a length can cost: no later span could make that good, so nothing is lost, and there is
+    no longest span.
+    """
+    best, back, at = [0.0], [0], [begin]
+    live = [0]
+    for place, score in [*found, (end, 0.0)]:
+        v, i = max((best[i] - _length(place - at[i]), i) for i in live)
+        best.append(v + score), back.append(i), at.append(place)
+        lead = max(best[i] for i in live)
+        lead = max(lead, best[-1])
+        live = [i for i in [*live, len(at) - 1] if best[i] >= lead - _LONGEST_COST]
+    out, j = [], back[-1]
     while j:
         out.append(at[j])
         j = back[j]

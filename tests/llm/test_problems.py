@@ -436,6 +436,38 @@ def test_sentences_of_other_scripts():
     assert [thai[a:b] for a, b in sentences.sentence_spans(thai)] == ["ข้าวใหม่ 2.13 เปอร์เซ็นต์", "มรดกเก่า", "ถ้าน้ำ 20 คนทอง"]
 
 
+@pytest.mark.parametrize("n", [2, 10, 60, 200])
+def test_a_quotation_is_one_sentence_whatever_its_length(n):
+    said = " ".join(f"Ayat nombor {i} dibaca oleh jemaah." for i in range(n))
+    for text in (f'"{said}" kata imam itu. Kemudian dia pulang.', f'Imam itu berkata: "{said}" Kemudian dia pulang.'):
+        spans = sentences.sentence_spans(text)
+        assert len(spans) == 2 and text[slice(*spans[1])] == "Kemudian dia pulang."
+    bracketed = f"Tiga perkara ({said}) disebut. Kemudian dia pulang."
+    assert len(sentences.sentence_spans(bracketed)) == 2
+    # a mark without a partner holds nothing together
+    assert len(sentences.sentence_spans(f'Dia "pulang. {said}')) == n + 1
+
+
+def test_lengths_decide_where_a_closing_word_is_ambiguous():
+    short, long = "Foo Inc. Bar.", "The firm is named Foo Trading Inc. Its owners left the town in spring."
+    assert len(sentences.sentence_spans(short)) == 1 and len(sentences.sentence_spans(long)) == 2
+
+
+def test_best_spans_equal_an_exhaustive_search():
+    draw = np.random.default_rng(3)
+    for _ in range(40):
+        at = np.sort(draw.choice(np.arange(1, 400), 9, replace=False)).tolist()
+        found = [(p, float(draw.normal(0, 1))) for p in at]
+
+        def value(chosen):
+            ends = [0, *(p for p, _ in chosen), 400]
+            return sum(s for _, s in chosen) - sum(sentences._length(b - a) for a, b in zip(ends, ends[1:], strict=False))
+
+        every = [[found[i] for i in range(9) if m >> i & 1] for m in range(512)]
+        got = set(sentences._best(0, 400, found))
+        assert value([c for c in found if c[0] in got]) == pytest.approx(max(map(value, every)))
+
+
 def test_sentences_edges():
     f = lambda t: [t[a:b] for a, b in sentences.sentence_spans(t)]
     assert f(None) == f("") == f(" \n\n ") == []
