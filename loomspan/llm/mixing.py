@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from loomspan.functions.partitions import spread
 
 TOKENIZER = os.environ.get("LOOMSPAN_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-#: Key buckets of a source. Only the one in which the budget ends is sorted.
-BUCKETS = 4096
+#: Key buckets for each doubling of a key. Whatever the weights' scale, a bucket holds at most about
+#: ln 2 / (e * OCTAVE) of a source, 0.1 %. Only the one in which the budget ends is sorted.
+OCTAVE = 256
 _PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
 
@@ -50,6 +51,11 @@ def es_key(doc_id: Column, weight: Column, seed: int = 42) -> Column:
     return -F.log(u) / F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-9))
 
 
+def letter_share(text: Column) -> Column:
+    """A weight for want of a better one: the share of letters among a text's characters, 0 for null and empty texts."""
+    return F.coalesce(F.length(F.regexp_replace(text, r"[^\p{L}]", "")) / F.greatest(F.length(text), F.lit(1)), F.lit(0.0))
+
+
 def plan_mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """Per listed source: what it has, what it should give, its whole epochs and what is left for a last, partial one.
 
@@ -76,10 +82,10 @@ def draw_mix(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     ``sizes``: doc_id, source, n_tokens, weight. Each document comes ``full_epochs`` times; those with the
     smallest keys whose token prefix sum stays within ``rest_tokens`` come once more. The prefix sums are made
     of sums by key bucket first; rows are sorted only in the one bucket of a source in which its budget ends,
-    so no task sorts a whole source, however large.
+    so no task sorts a whole source, however large. ``sizes`` is read three times: write it first.
     """
     keyed = sizes.select("doc_id", "source", "n_tokens", es_key(F.col("doc_id"), F.col("weight")).alias("key"))
-    keyed = keyed.withColumn("bucket", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    keyed = keyed.withColumn("bucket", F.floor(F.log2("key") * OCTAVE).cast("int"))
     by_bucket = keyed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ends = plan.select("source", "full_epochs", "rest_tokens")
@@ -94,7 +100,11 @@ def draw_mix(sizes: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def report_shares(mix: DataFrame, plan: DataFrame) -> DataFrame:
-    """Target and actual share of every listed source; a source without documents has share 0."""
-    got = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("mixed_tokens"), F.max("repeats").alias("most_repeats"))
-    out = plan.join(F.broadcast(got), "source", "left").na.fill(0, ["mixed_tokens", "most_repeats"])
-    return out.withColumn("actual_share", F.col("mixed_tokens") / F.sum("mixed_tokens").over(Window.partitionBy())).select("source", "target_share", "actual_share", "target_tokens", "mixed_tokens", "source_tokens", "n_docs", "max_repeats", "most_repeats", "reachable")
+    """Target and actual share of every listed source; a source without documents has share 0.
+
+    ``spent``: whether every document of the source was drawn as often as it may be.
+    """
+    got = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("mixed_tokens"), F.max("repeats").alias("most_repeats"), F.min("repeats").alias("least_repeats"), F.count("*").alias("n_drawn"))
+    out = plan.join(got, "source", "left").na.fill(0, ["mixed_tokens", "most_repeats", "least_repeats", "n_drawn"])
+    out = out.withColumn("spent", (F.col("n_drawn") == F.col("n_docs")) & (F.col("least_repeats") == F.col("max_repeats")) | (F.col("source_tokens") == 0) | (F.col("max_repeats") == 0))
+    return out.withColumn("actual_share", F.col("mixed_tokens") / F.sum("mixed_tokens").over(Window.partitionBy())).select("source", "target_share", "actual_share", "target_tokens", "mixed_tokens", "source_tokens", "n_docs", "max_repeats", "most_repeats", "reachable", "spent")

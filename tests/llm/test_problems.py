@@ -403,6 +403,12 @@ def test_weights_pull(spark):
     assert mixing.draw_mix(nothing, mixing.plan_mix(nothing, t)).count() == 0
 
 
+@pytest.mark.parametrize("weight", [1e-6, 0.001, 1.0, 1000.0, None])
+def test_no_key_bucket_is_large_at_any_scale_of_weights(spark, weight):
+    keys = spark.range(50_000).select(F.floor(F.log2(mixing.es_key(F.col("id"), F.lit(weight).cast("double"))) * mixing.OCTAVE).alias("b"))
+    assert keys.groupBy("b").count().agg(F.max("count")).first()[0] < 0.01 * 50_000
+
+
 @pytest.mark.skipif(not TOKENIZERS, reason="no tokenizer here")
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "zakat dan wakaf"), (2, None), (3, "")], "doc_id bigint, text string").withColumn("t", F.lit(0))
