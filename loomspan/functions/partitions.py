@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-
-_NARROW = {"Project", "Filter", "Relation", "LogicalRelation", "RelationV2", "LogicalRDD", "LocalRelation"}
+_NARROW = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "DataSourceV2ScanRelation", "LogicalRDD", "LocalRelation"}
+#: Scans of more bytes than this are never shuffled to spread them.
+SPREAD_BYTES = 256 << 20
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Rows of a scan spread over the cores when it has fewer partitions than there are cores.
+    """Rows of a small scan spread over the cores when it has fewer partitions than there are cores.
 
-    Small inputs in one file would otherwise run a Python stage in a single task. A scan with enough
-    partitions (any large table) is returned as it is, without a shuffle; so is anything but a filtered
-    scan, because its partitions can't be counted without running it.
+    Small inputs in one file would otherwise run a Python stage in a single task. A scan of more than
+    SPREAD_BYTES is returned as it is, without a shuffle; so is anything but a filtered scan, because
+    its partitions can't be counted without running it.
     """
-    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    if any(line.lstrip(" +-:").split(" ")[0].split("(")[0] not in _NARROW for line in lines if line.lstrip(" :").startswith(("+-", ":-")) or line[:1].isalpha()):
+    plan = node = df._jdf.queryExecution().optimizedPlan()
+    while True:
+        if node.getClass().getSimpleName() not in _NARROW:
+            return df
+        if not node.children().size():
+            break
+        node = node.children().apply(0)
+    if int(plan.stats().sizeInBytes().toString()) > SPREAD_BYTES:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores * per_core)
+
+
+def row_hashes(*columns: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes of some columns; unlike a plain hash they tell nulls at different places apart."""
+    told = [x for c in columns for x in (c.isNull(), c)]
+    return F.xxhash64(*told), F.xxhash64(F.lit(7), *told)
+
+
+def once(df: DataFrame) -> DataFrame:
+    """Each whole row once, as ``distinct`` gives it, without a shuffle of the rows.
+
+    Only 128-bit hashes of the rows are grouped; rows that have no copy pass a join with the few hashes that occur
+    several times (Spark sends them to all tasks only if they are below its broadcast threshold), and only rows
+    with copies are gathered. Worth it for rows that hold texts. Columns must be hashable (no maps).
+    """
+    h1, h2 = row_hashes(*(F.col(f"`{c}`") for c in df.columns))
+    tagged = df.withColumns({"_h1": h1, "_h2": h2})
+    several = tagged.groupBy("_h1", "_h2").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    single = tagged.join(several, ["_h1", "_h2"], "left_anti")
+    copies = tagged.join(several, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"])
+    return single.unionByName(copies).drop("_h1", "_h2")

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from loomspan.functions import ids, text, urls
+from loomspan.functions import ids, partitions, text, urls
+from loomspan.functions.partitions import once, spread
 
 
 def one(spark, column, **values):
@@ -70,3 +71,19 @@ def test_small_text_functions(spark):
     assert one(spark, text.yaml_string(F.lit('a "b" \\c'))) == '"a \\"b\\" \\\\c"'
     assert one(spark, text.title_of(F.lit("# short\n## A longer heading\n"), F.lit(None).cast("string"))) == "A longer heading"
     assert one(spark, text.html_text(F.lit("<script>x<1</script><p>a <b>b</b></p><!-- c -->"))) == "a b"
+
+
+def test_once_is_distinct(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", None, 1), (None, "a", 1), ("b", "c", 2), ("b", "c", 2), ("b", "c", 3)], "x string, y string, z int")
+    assert sorted(once(df).collect(), key=str) == sorted(df.distinct().collect(), key=str)
+    assert once(df.limit(0)).count() == 0
+
+
+def test_spread_leaves_large_and_wide_plans_alone(spark, tmp_path, monkeypatch):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert spread(df.where("id > 3").select("id")).rdd.getNumPartitions() > 1
+    grouped = df.groupBy("id").count()
+    assert spread(grouped) is grouped
+    monkeypatch.setattr(partitions, "SPREAD_BYTES", 10)
+    assert spread(df) is df
