@@ -24,7 +24,7 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
         if not node.children().size():
             break
         node = node.children().apply(0)
-    if int(plan.stats().sizeInBytes().toString()) > SPREAD_BYTES:
+    if int(str(plan.stats().sizeInBytes())) > SPREAD_BYTES:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
@@ -46,8 +46,8 @@ def once(df: DataFrame) -> DataFrame:
     with copies are gathered. Worth it for rows that hold texts. Columns must be hashable (no maps).
     """
     h1, h2 = row_hashes(*(F.col(f"`{c}`") for c in df.columns))
-    tagged = df.withColumns({"_h1": h1, "_h2": h2})
-    several = tagged.groupBy("_h1", "_h2").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    several = df.select(h1.alias("_h1"), h2.alias("_h2")).groupBy("_h1", "_h2").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    tagged = spread(df).withColumns({"_h1": h1, "_h2": h2})
     single = tagged.join(several, ["_h1", "_h2"], "left_anti")
     copies = tagged.join(several, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"])
     return single.unionByName(copies).drop("_h1", "_h2")
