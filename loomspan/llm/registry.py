@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.functions.partitions import spread
+from loomspan.functions.partitions import once, spread
 from loomspan.functions.shared import written
 from loomspan.llm import batches, leakage, mixing, neighbours, pages, repeated_lines, residue, sentences, splitting
 
@@ -95,17 +95,18 @@ def p5_kinds(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     chunks = _table(spark, sf, "chunks").where(F.col("chunk_id").isNotNull())
-    pieces = splitting.split_oversized(chunks, ["chunk_id"], "content")
+    pieces = splitting.split_oversized(chunks, ["chunk_id"], "content").where(F.length("content") <= splitting.LIMIT)
     return pieces.where("n_pieces > 1").select("chunk_id").distinct()
 
 
 def p6_chunk_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of the chunks over the limit; a chunk_id with several contents has the pieces of each."""
-    return splitting.split_oversized(_table(spark, sf, "chunks"), ["chunk_id"], "content").where("n_pieces > 1").distinct()
+    chunks = _table(spark, sf, "chunks").select("chunk_id", "content").where(F.length("content") > splitting.LIMIT)
+    return splitting.split_oversized(once(chunks), ["chunk_id"], "content")
 
 
 def p6_article_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    return splitting.split_oversized(spread(_table(spark, sf, "corpus")).dropDuplicates(["document_id", "crawl_batch_id", "content"]), ["document_id", "crawl_batch_id"], "content")
+    return splitting.split_oversized(once(_table(spark, sf, "corpus").select(*_KEYS, "content")), list(_KEYS), "content")
 
 
 P6_FOUND_SQL = "SELECT DISTINCT chunk_id FROM chunks WHERE length(content) > 1200 AND chunk_id IS NOT NULL"

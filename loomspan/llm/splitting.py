@@ -25,13 +25,30 @@ _BOUNDARY = re.compile(
 _WEIGHT = np.array([0.0, 0.0, 0.08, 0.2, 0.3, 0.42])
 
 
-def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Positions after each natural boundary, and their strengths (1 word to 5 blank line)."""
-    found = [(m.end(), int(m.lastgroup[1])) for m in _BOUNDARY.finditer(text)]
+def boundaries(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions after each natural boundary, their strengths (1 word to 5 blank line), and where the whitespace
+    that belongs to them begins."""
+    found = [(m.end(), int(m.lastgroup[1]), m.start() + len(m[0].rstrip())) for m in _BOUNDARY.finditer(text)]
     if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     a = np.array(found, np.int64)
-    return a[:, 0], a[:, 1]
+    return a[:, 0], a[:, 1], a[:, 2]
+
+
+def _cut(text: str, low: int, high: int, room: int, at: np.ndarray, strength: np.ndarray, space: np.ndarray) -> int:
+    """Where to cut ``text[low:high]``: the strongest boundary near the middle, however far it is. Inside a word only
+    if the run without a boundary around the middle is too long for a piece, so that it must be cut anyway."""
+    a, b = np.searchsorted(at, [low + 1, high], side="left")
+    middle = (low + high) // 2
+    k = int(np.searchsorted(at[a:b], middle, side="right"))
+    before = int(at[a + k - 1]) if k else low
+    after = int(space[a + k]) if a + k < b else high
+    if b == a or after - before > room:
+        return _hard(text, (before + after) // 2, low)
+    off = np.abs(at[a:b] - (low + high) / 2) / (high - low)
+    best = a + int(np.argmax(_WEIGHT[strength[a:b]] - off))
+    cut, shorter = int(at[best]), int(space[best])
+    return shorter if low < shorter < cut and shorter - low <= room < cut - low else cut
 
 
 def _hard(text: str, at: int, low: int) -> int:
@@ -54,7 +71,7 @@ def bisect_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[t
     if n <= limit:
         return [(0, 0, n)]
     room = limit - overlap
-    at, strength = boundaries(text)
+    at, strength, space = boundaries(text)
     cores, stack = [], [(0, n)]
     while stack:
         low, high = stack.pop()
@@ -62,12 +79,7 @@ def bisect_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[t
         if size <= room:
             cores.append((low, high))
             continue
-        a, b = np.searchsorted(at, [low + size // 4, high - size // 4], side="right")
-        if b > a:
-            off = np.abs(at[a:b] - (low + high) / 2) / size
-            cut = int(at[a + int(np.argmax(_WEIGHT[strength[a:b]] - off))])
-        else:
-            cut = _hard(text, (low + high) // 2, low)
+        cut = _cut(text, low, high, room, at, strength, space)
         stack += [(cut, high), (low, cut)]
     out = []
     for k, (low, high) in enumerate(cores):

@@ -327,6 +327,19 @@ def test_pieces_table(spark):
     assert splitting.split_oversized(df.limit(0), ["chunk_id"], "content").count() == 0
 
 
+@pytest.mark.parametrize("said", ["a " * 200 + "x" * 1000 + " b" * 200, "kata " * 60 + "y" * 620 + " " + "kata " * 60, "x" * 1000 + " " + "y" * 1000])
+def test_no_word_is_cut_where_pieces_can_end_between_words(said):
+    for start, core, end in splitting.bisect_text(said):
+        assert end - start <= 1200 and (core == 0 or said[core - 1] == " " or said[core] == " ")
+
+
+def test_a_run_too_long_for_a_piece_is_cut_only_inside():
+    said = "satu dua " * 20 + "z" * 3000 + " tiga empat" * 20
+    cuts = [c for _, c, _ in splitting.bisect_text(said)][1:]
+    assert all(said[c - 1] == said[c] == "z" or " " in said[c - 1 : c + 1] for c in cuts)
+    assert sum(said[c - 1] == said[c] == "z" for c in cuts) >= 2
+
+
 # --- 7 -------------------------------------------------------------------------------------------
 
 
