@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions.partitions import once, spread
-from loomspan.functions.shared import written
-from loomspan.llm import batches, leakage, mixing, neighbours, pages, repeated_lines, residue, sentences, splitting
+from loomspan.functions.shared import scratch, written
+from loomspan.llm import arrivals, batches, leakage, mixing, neighbours, pages, repeated_lines, residue, sentences, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,14 +58,24 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 # --- 4: repeated lines ---------------------------------------------------------------------------
 
 
+def _line_arrivals(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """The corpus as it arrives, batch after batch: what each arrival adds to the line counts."""
+    corpus = arrivals.numbered(spread(_table(spark, sf, "corpus").select("crawl_batch_id", "source_name", "document_id", "content")), _table(spark, sf, "crawl_batches"))
+    delta = written(repeated_lines.line_delta(corpus, "arrival"), "lines", by="arrival")
+    return [delta.where(F.col("arrival") == k).drop("arrival") for k in range(arrivals.ARRIVALS)]
+
+
+def _repeated(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_lines.repeated_lines(_table(spark, sf, "corpus"), scratch(spark, "line-state"), _line_arrivals(spark, sf))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return repeated_lines.repeated_lines(_table(spark, sf, "corpus")).select("source_name", "line_key")
+    return _repeated(spark, sf).select("source_name", "line_key")
 
 
 def p4_cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    corpus = _table(spark, sf, "corpus")
-    lines = repeated_lines.repeated_lines(corpus)
-    return repeated_lines.rebuild(corpus, lines, ["document_id", "crawl_batch_id"]).distinct()
+    corpus = once(_table(spark, sf, "corpus").select(*_KEYS, "source_name", "content"))
+    return repeated_lines.rebuild(corpus, _repeated(spark, sf), list(_KEYS))
 
 
 _LINE_KEY = r"regexp_replace(lower(trim(regexp_replace(line, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}\x{b}]+', ' ', 'g'))), '[0-9]+', '#', 'g')"
@@ -79,6 +89,15 @@ WHERE regexp_matches(k.line_key, '\\p{{L}}')
 GROUP BY k.source_name, k.line_key, t.n HAVING count(*) >= 5 AND count(*) >= 0.05 * t.n
 """
 
+P4_CLEANED_SQL = f"""
+WITH found AS ({P4_FOUND_SQL}),
+lines AS (SELECT document_id, crawl_batch_id, source_name, i, string_split(content, chr(10))[i] AS line
+          FROM (SELECT DISTINCT document_id, crawl_batch_id, source_name, content FROM corpus WHERE source_name IS NOT NULL AND content IS NOT NULL), unnest(range(1, len(string_split(content, chr(10))) + 1)) AS u(i)),
+marked AS (SELECT l.*, f.line_key IS NOT NULL AS gone FROM (SELECT *, {_LINE_KEY} AS k FROM lines) l LEFT JOIN found f ON f.source_name = l.source_name AND f.line_key = l.k)
+SELECT document_id, crawl_batch_id, source_name, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS content, count(*) FILTER (WHERE gone) AS n_removed
+FROM marked GROUP BY document_id, crawl_batch_id, source_name HAVING bool_or(gone)
+"""
+
 # --- 5: template residue -------------------------------------------------------------------------
 
 
@@ -180,4 +199,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p8_found": P8_FOUND_SQL}
+    return {"p4_found": P4_FOUND_SQL, "p4_cleaned": P4_CLEANED_SQL, "p6_found": P6_FOUND_SQL, "p8_found": P8_FOUND_SQL}

@@ -254,23 +254,50 @@ def lines_table(spark, docs):
     return spark.createDataFrame([(f"d{i}", s, c, "x") for i, (s, c) in enumerate(docs)], "document_id string, source_name string, content string, line_key string")
 
 
-def test_repeated_lines(spark):
+def folder(path, name="state"):
+    return f"file://{path}/{name}"
+
+
+def test_repeated_lines(spark, tmp_path):
     docs = [("A", f"Hak  Cipta {i}\r\nbiasa {chr(97 + i)}\n123") for i in range(6)] + [("B", "Hak Cipta 1")] * 4 + [(None, "Hak Cipta 1"), ("A", None), ("A", "")]
     df = lines_table(spark, docs)
-    assert rows(repeated_lines.repeated_lines(df), "source_name", "line_key", "n_docs", "n_source_docs") == [("A", "hak cipta #", 6, 8)]
-    clean = repeated_lines.rebuild(df, repeated_lines.repeated_lines(df), ["document_id"]).collect()
+    found = repeated_lines.repeated_lines(df, folder(tmp_path))
+    assert rows(found, "source_name", "line_key", "n_docs", "n_source_docs") == [("A", "hak cipta #", 6, 8)]
+    clean = repeated_lines.rebuild(df, found, ["document_id"]).collect()
     assert len(clean) == 6 and all("Cipta" not in r.content and r.content.endswith("\n123") for r in clean)
-    assert repeated_lines.repeated_lines(df.limit(0)).count() == 0
+    assert repeated_lines.repeated_lines(df.limit(0), folder(tmp_path, "none")).count() == 0
 
 
-def test_line_state_goes_on(spark):
+def test_line_state_goes_on(spark, tmp_path):
     docs = [("A", "satu baris\nlain " + str(i)) for i in range(7)]
     whole = lines_table(spark, docs)
     a, b = whole.where("document_id < 'd4'"), whole.where("document_id >= 'd3'")  # d3 comes again
-    members, totals = repeated_lines.line_members(a), repeated_lines.doc_members(a)
-    state, newly = repeated_lines.advance((members, totals, repeated_lines.line_counts(members)), b)
-    assert rows(repeated_lines.spell_out(whole, newly), "line_key", "n_docs") == [("lain #", 7), ("satu baris", 7)]
-    assert rows(state[2], "n_docs") == rows(repeated_lines.line_counts(repeated_lines.line_members(whole)), "n_docs")
+    state = repeated_lines.LineCounts(spark, folder(tmp_path), most_parts=1)
+    assert state.take(repeated_lines.line_delta(a))[0].count() == 0
+    state = repeated_lines.LineCounts(spark, folder(tmp_path), most_parts=1)  # a restart; parts are compacted
+    newly, fallen = state.take(repeated_lines.line_delta(b))
+    assert newly.count() == 2 and fallen.count() == 0 and len(state.state.parts("counts")) == 1
+    assert rows(repeated_lines.spell_out(whole, state.crossed()), "line_key", "n_docs") == [("lain #", 7), ("satu baris", 7)]
+    assert rows(state.counts(), "n_docs") == [(7,), (7,), (7,)]
+
+
+def test_only_documents_with_newly_crossed_or_fallen_lines_are_rebuilt(spark, tmp_path):
+    first = lines_table(spark, [("A", f"lama\nisi {chr(97 + i)}") for i in range(5)] + [("A", f"baru\nteks {chr(107 + i)}") for i in range(4)])
+    state = repeated_lines.LineCounts(spark, folder(tmp_path))
+    newly, _ = state.take(repeated_lines.line_delta(first))
+    assert rows(repeated_lines.rebuild(first, repeated_lines.spell_out(first, state.crossed()), ["document_id"], state.holders(newly)), "document_id") == [(f"d{i}",) for i in range(5)]
+    more = spark.createDataFrame([("e0", "A", "baru\nlagi")], "document_id string, source_name string, content string")
+    newly, fallen = state.take(repeated_lines.line_delta(more))
+    every = first.drop("line_key").unionByName(more)
+    lines = repeated_lines.spell_out(every, state.crossed())
+    got = repeated_lines.rebuild(every, lines, ["document_id"], state.holders(newly)).collect()
+    assert sorted(r.document_id for r in got) == ["d5", "d6", "d7", "d8", "e0"] and all(r.n_removed == 1 for r in got)
+    # the source grows until its lines fall below the share
+    many = spark.range(120).select(F.concat(F.lit("f"), "id").alias("document_id"), F.lit("A").alias("source_name"), F.concat(F.lit("x"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("content"))
+    newly, fallen = state.take(repeated_lines.line_delta(many))
+    assert newly.count() == 0 and fallen.count() == 2
+    back = repeated_lines.rebuild(every, repeated_lines.spell_out(every, state.crossed()), ["document_id"], state.holders(fallen)).collect()
+    assert len(back) == 10 and all(r.n_removed == 0 and ("lama" in r.content or "baru" in r.content) for r in back)
 
 
 # --- 5 -------------------------------------------------------------------------------------------
