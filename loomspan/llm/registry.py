@@ -52,7 +52,7 @@ def p2_nearest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return batches.repeats(_table(spark, sf, "corpus"), _table(spark, sf, "crawl_batches"))
+    return batches.repeats(_table(spark, sf, "corpus"), _table(spark, sf, "crawl_batches"), scratch(spark, "history"), arrivals.ARRIVALS)
 
 
 # --- 4: repeated lines ---------------------------------------------------------------------------

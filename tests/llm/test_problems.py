@@ -13,6 +13,10 @@ from loomspan.llm.words import WordIds, words
 TOKENIZERS = os.path.exists(mixing.TOKENIZER)
 
 
+def folder(path, name="state"):
+    return f"file://{path}/{name}"
+
+
 def rows(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
@@ -180,9 +184,10 @@ def tables(spark, data):
     return c, b
 
 
-def test_repeats_against_brute_force(spark):
+@pytest.mark.parametrize("arrivals", [1, 3])
+def test_repeats_against_brute_force(spark, tmp_path, arrivals):
     data = corpus()
-    got = {(r.document_id, r.crawl_batch_id): r.kept_document_id for r in batches.repeats(*tables(spark, data)).collect()}
+    got = {(r.document_id, r.crawl_batch_id): r.kept_document_id for r in batches.repeats(*tables(spark, data), folder(tmp_path), arrivals).collect()}
     want = brute_repeats(data)
     assert got.keys() == want.keys()
     assert all(got[k] in want[k] for k in want)
@@ -202,14 +207,14 @@ def test_history_batch_by_batch(spark, tmp_path):
     assert got.keys() == want.keys() and all(got[k] in want[k] for k in want)
 
 
-def test_one_page_in_every_batch(spark):
+def test_one_page_in_every_batch(spark, tmp_path):
     """Copies, and pages that differ in a counter, hold all rows: each later one repeats the first."""
     text = " ".join(f"perkataan{i}" for i in range(80))
     data = [(f"d{i:03d}", 1 + i // 20, None, f"{text} paparan {i % 50}") for i in range(120)]
-    got = batches.repeats(*tables(spark, data)).collect()
+    got = batches.repeats(*tables(spark, data), folder(tmp_path), 2).collect()
     assert len(got) == 100 and all(r.kept_document_id < "d020" for r in got)
     empty, b = tables(spark, data[:1])
-    assert batches.repeats(empty.limit(0), b).count() == 0
+    assert batches.repeats(empty.limit(0), b, folder(tmp_path, "none"), 2).count() == 0
 
 
 def template_family(n=300, seed=5):
@@ -227,24 +232,67 @@ def template_family(n=300, seed=5):
     return data
 
 
-def test_repeats_in_a_template_family(spark):
+@pytest.mark.parametrize("hot", [batches.HOT, 50])
+def test_repeats_in_a_template_family(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(batches, "HOT", hot)
     data = template_family()
-    got = {(r.document_id, r.crawl_batch_id): r.kept_document_id for r in batches.repeats(*tables(spark, data)).collect()}
+    got = {(r.document_id, r.crawl_batch_id): r.kept_document_id for r in batches.repeats(*tables(spark, data), folder(tmp_path), 2).collect()}
     want = {(d, "b2"): d[:-1] for d, s, _, t in data if s == 2 and jaccard(t, next(x[3] for x in data if x[0] == d[:-1])) >= 0.5}
     assert len(want) > 250 and got.keys() >= want.keys()
     text = {d: t for d, _, _, t in data}
     assert all(jaccard(text[d], text[k]) >= 0.5 for (d, _), k in got.items())
 
 
-def test_run_compares_all_pairs():
-    """The last record is near to the second only, which itself looks near to the first."""
+def test_a_run_leaves_nothing_out_unsaid():
+    """Whatever is handed on with few only is named; with enough, all pairs that look near are handed on."""
     draw = np.random.default_rng(8)
-    sketch = draw.integers(1, 200, (40, batches.LANES)).astype(np.uint8)
-    sketch[:, :20] = 0  # all look near to the first
-    sketch[39] = 255
-    sketch[39, 24:] = sketch[1, 24:]
-    pairs = {tuple(map(int, p)) for part in batches._scan(np.arange(40), sketch, np.ones(40, bool)) for p in np.reshape(part, (-1, 2))}
-    assert (1, 39) in pairs and all((a, 39) not in pairs for a in range(40) if a != 1)
+    lanes = draw.integers(0, 16, (700, batches.LANES)).astype(np.uint8)
+    lanes[:600, :30] = 3  # all look near to one another
+    lanes[300:310] = lanes[650]
+    fresh, side = draw.random(700) < 0.6, np.zeros(700, np.int64)
+    equal = (lanes[:, None, :] == lanes[None, :, :]).sum(axis=2) >= batches.SKETCH_LANES
+    want = {(a, b) for a, b in zip(*np.nonzero(equal), strict=True) if a < b and (fresh[a] or fresh[b])}
+    a, b, out = batches._run(lanes, fresh, side, 10_000)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == want and not len(out)
+    a, b, out = batches._run(lanes, fresh, side, 8)
+    got, said = set(zip(a.tolist(), b.tolist(), strict=True)), set(out.tolist())
+    assert got <= want and all(p in got or said & set(p) for p in want) and len(got) < 700 * 9
+    side = np.arange(700) % 2
+    a, b, _ = batches._run(lanes, fresh, side, 10_000)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {p for p in want if side[p[0]] != side[p[1]]}
+
+
+def test_window_crosses_keys_of_a_prefix():
+    lanes = np.zeros((4, batches.LANES), np.uint8)
+    key = np.array([(7 << 32) | 1, (7 << 32) | 2, (7 << 32) | 9, (8 << 32) | 1])
+    got = {(int(x), int(y)) for a, b in batches._window(key, lanes, np.array([False, False, True, True])) for x, y in zip(a, b, strict=True)}
+    assert got == {(0, 2), (1, 2)}
+
+
+@pytest.mark.parametrize("short", [True, False])
+def test_pages_of_short_lines(spark, tmp_path, short):
+    """Pairs at the similarity, that share 40 short lines and differ in the rest: keys come from the whole text."""
+    data = []
+    for i in range(50):
+        same = "\n".join(f"baris {i} nombor {k} pendek" for k in range(40))
+        for seq in (1, 2):
+            rest = [f"lain{i}x{seq}x{k}" for k in range(40)]
+            data.append((f"d{i}-{seq}", seq, None, same + "\n" + ("\n" if short else " ").join(rest)))
+    got = {r.document_id: r.kept_document_id for r in batches.repeats(*tables(spark, data), folder(tmp_path), 2).collect()}
+    assert got == {f"d{i}-2": f"d{i}-1" for i in range(50)}
+
+
+def test_history_goes_on_after_a_restart(spark, tmp_path):
+    data = corpus(30, seed=9)
+    c, _ = tables(spark, data)
+    got = {}
+    for s in range(1, 7):
+        history = batches.History(spark, folder(tmp_path), most_parts=2)  # a new object each time
+        for r in history.take(c.where(f"seq = {s}")).collect():
+            got[r.document_id, r.crawl_batch_id] = r.kept_document_id
+    want = brute_repeats(data)
+    assert got.keys() == want.keys() and all(got[k] in want[k] for k in want)
+    assert len(history.state.parts("keys")) <= 3
 
 
 # --- 4 -------------------------------------------------------------------------------------------
@@ -254,10 +302,6 @@ def lines_table(spark, docs):
     return spark.createDataFrame([(f"d{i}", s, c, "x") for i, (s, c) in enumerate(docs)], "document_id string, source_name string, content string, line_key string")
 
 
-def folder(path, name="state"):
-    return f"file://{path}/{name}"
-
-
 def test_repeated_lines(spark, tmp_path):
     docs = [("A", f"Hak  Cipta {i}\r\nbiasa {chr(97 + i)}\n123") for i in range(6)] + [("B", "Hak Cipta 1")] * 4 + [(None, "Hak Cipta 1"), ("A", None), ("A", "")]
     df = lines_table(spark, docs)
