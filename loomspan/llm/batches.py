@@ -26,7 +26,7 @@ from loomspan.sources.versions import Versions
 
 WIDTH, SIMILARITY = 3, 0.5
 #: Sort keys of a text, lanes of its sketch (four bits each; the keys are made of the first 2 * KEYS minima).
-KEYS, LANES = 18, 48
+KEYS, LANES = 18, 64
 #: Places on both sides in which a record meets its neighbours of the same prefix, whatever their key.
 WINDOW = 16
 #: What two texts share of their lanes by chance, and what those of just the similarity share, less 3.5 standard
@@ -36,7 +36,7 @@ _SHARED = SIMILARITY + (1 - SIMILARITY) * _CHANCE
 SKETCH_LANES = int(np.ceil((_SHARED - 3.5 * (_SHARED * (1 - _SHARED) / LANES) ** 0.5) * LANES))
 #: In a run longer than the window a record is handed on with so many records that look near to it, at most; if it isn't
 #: rejected by one of them it comes again with AGAIN times as many, until nothing is left out.
-FEW, AGAIN = 16, 8
+FEW, AGAIN = 64, 8
 #: A run of one key with more records is cut into blocks, and each pair of blocks is a task's work.
 HOT = 20_000
 #: Records of a run looked at together.
@@ -377,8 +377,12 @@ class History:
         near = self._found("keys", "prefix", key_rows(fresh), few) if n * KEYS <= LOOKUPS else self.state.table("keys")
         asked, most, links, known = None, FEW, None, None
         while True:
-            new = key_rows(fresh).withColumn("fresh", F.lit(True)) if asked is None else key_rows(fresh).join(asked, "node", "left").na.fill(False, ["fresh"])
-            met = written(candidates(near, new, most, n + self.state.values.get("rows", 0)), "pairs")
+            new, old = key_rows(fresh).withColumn("fresh", F.lit(True)), near
+            if asked is not None:  # only the runs of what was left out are met again
+                new = key_rows(fresh).join(asked, "node", "left").na.fill(False, ["fresh"])
+                again = written(new.where("fresh").select("key").distinct(), "again")
+                new, old = new.join(again, "key", "left_semi"), old if old is None else old.join(again, "key", "left_semi")
+            met = written(candidates(old, new, most, n + self.state.values.get("rows", 0)), "pairs")
             pairs, left_out = met.where("a <> b"), met.where("a = b").select(F.col("a").alias("node"))
             nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             if known is None:
