@@ -1,14 +1,18 @@
-"""Problem 1: the article of a crawled page among page furniture, by line rules.
-
-Markup is stripped and the body runs from the headline, or where there is none from where the text lengths summed
-over sliding windows of lines surge, to the last line that looks like text. Lines inside the body are then looked
-at one by one: advertising, bylines and links to other articles go. No dive of the sums is located: one long
-sentence far below the article moves its end down, with the plain lines between.
+"""Problem 1: the article of a crawled page among page furniture, by line-block distribution.
+
+Markup is stripped and the lengths of the text outside links are summed over sliding windows of lines. Where the sums
+surge over the page's own level text begins, where they dive below it text ends; what lies between is kept, a small
+block far from the large one is not. Inside the surge's and the dive's windows lines decide: a headline above
+belongs to the article, as do lines that read on below. What stands between and is short and no sentence is kept as a
+subheading, unless its shape (a label, a date, a counter, nothing but links, a line repeated in the text) or one of the
+openings listed below tells that it is furniture.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,10 +22,18 @@ from pyspark.sql import functions as F
 
 from loomspan.functions.partitions import spread
 
-#: Lines (blank ones left out) in a window, and the text length of a window that marks the surge.
-BLOCK, SURGE = 3, 110
-#: A line of at least this length that ends like a sentence is part of a text wherever it stands below the headline.
-PARAGRAPH = 55
+#: Lines (those without a letter left out) in a window.
+BLOCK = 3
+#: Where window sums surge and dive: this share of the page's level, and not below this text length.
+LEVEL_SHARE, LEAST_SURGE = 0.3, 110
+#: A line of at least this length that ends like a sentence is text; in pages without one the shorter length holds.
+PARAGRAPH, SHORT_PARAGRAPH = 55, 40
+#: Blocks with less text than this share of the largest block's are no part of the article.
+MASS = 0.12
+#: A line of at least this length is text, whatever it begins with.
+LONG = 240
+#: Lines that may stand between the dive and a line that reads on.
+GAP = 2
 
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)")
 _TAG = re.compile(r"<[a-zA-Z/!][^>\n]*>")
@@ -73,6 +85,9 @@ _ASIDE = re.compile(r"(?:iklan|advertisement|ditaja|sponsored)\W*$", re.I)
 _REFERENCE = re.compile(r"^(?:rujukan|referensi|references?|sumber|nota(?: tambahan| kaki)?|notes?|catatan|pembetulan|correction|maksudnya|bermaksud|maksud|meaning|soalan|jawapan|ringkasan|pertanyaan|jawaban|question|answer|summary|kesimpulan|s|j|q|a)\s?(?:jawapan|answer)?\s*[:：]", re.I)
 _QUOTE_LINE = re.compile(r"^\s*>")
 _HEADING = re.compile(r"^\s*(?:#{1,6}\s+\S|\*\*[^*]+\*\*\s*$)")
+_DATE = re.compile(r"\b\d{1,2}\s?[/.\-]\s?\d{1,2}\s?[/.\-]\s?\d{2,4}\b|\b\d{1,2}[:.]\d{2}\b")
+_LABEL = re.compile(r"^(?:[^\W\d_]+\.?[\s/-])?[^\W\d_]+\.?\s?[:：]\s|^(?:[^\W\d_]+\.?[\s/-]){0,4}[^\W\d_]+\s?[:：]$")
+_HASH = re.compile(r"(?:^|\s)#[^\W\d]")
 _TOPICS = re.compile(r"^(?:\s*#\w[\w-]*)+\s*$")
 
 
@@ -93,16 +108,14 @@ def _unlinked(line: str) -> str:
 def is_furniture(line: str) -> bool:
     """Whether a line alone tells that it is page furniture."""
     low = plain(line).lower()
-    if not low or len(low) >= 400:
-        return False  # longer than any furniture
-    low = " ".join(low.split())
-    if _OPENING.match(low) or low in _ALONE or _ASIDE.fullmatch(low):
-        return len(low) < 240
+    if not low:
+        return False
     if "](" in line and _LINK.search(line) and len(_unlinked(line).strip(" ,|·•")) < 4:
         return True  # nothing but links
-    if len(low) < 160 and (_MENU.match(low) or _CRUMB.match(low)):
-        return True
-    return bool(_TOPICS.match(line)) or (len(low) < 90 and _ADDRESS.search(low) is not None)
+    if len(low) >= LONG:
+        return False
+    low = " ".join(low.split())
+    return bool(_OPENING.match(low) or low in _ALONE or _ASIDE.fullmatch(low) or _MENU.match(low) or _CRUMB.match(low) or _TOPICS.match(line) or _ADDRESS.search(low))
 
 
 def _same(a: str, b: str) -> bool:
@@ -113,54 +126,106 @@ def _key(text: str) -> str:
     return " ".join(re.findall(r"\w+", text.lower()))
 
 
-def article_lines(content: str, title: str | None = None) -> np.ndarray:
-    """For each line (separated by line feeds) whether it belongs to the article; blank lines don't."""
+def _shaped(line: str, text: str, bare: str) -> bool:
+    """Whether the shape of a line that is no sentence, item, heading or quotation is that of furniture."""
+    if len(bare.strip(" ,|·•")) < 4:
+        return True  # nothing but links
+    if len(text) >= LONG:
+        return False
+    if _MENU.match(text) or _CRUMB.match(text) or _TOPICS.match(line):
+        return True
+    if _REFERENCE.match(text) or _QUOTE_LINE.match(line) or _ITEM.match(line) or _HEADING.match(line):
+        return False
+    if unicodedata.category((line.lstrip(" \t>*_-") or " ")[0]) in ("So", "Sc", "Sm"):
+        return True  # an icon, a copyright mark, an arrow
+    if _ENDED.search(text[-16:]):
+        return False
+    if _LABEL.match(text) or _HASH.search(text) or _DATE.search(text):
+        return True
+    words = text.split()
+    if len(words) <= 6 and any(w.strip(".,()").isdigit() for w in words):
+        return True  # a counter
+    return sum(c.isdigit() for c in text) >= 0.3 * sum(c.isalnum() for c in text)
+
+
+def window_sums(size: np.ndarray) -> np.ndarray:
+    """For each line the text length of the window around it."""
+    upto, at = np.concatenate([[0], np.cumsum(size)]), np.arange(len(size))
+    return upto[np.minimum(at + BLOCK // 2 + 1, len(size))] - upto[np.maximum(at - BLOCK // 2, 0)]
+
+
+def text_block(size: np.ndarray, closed: np.ndarray) -> tuple[int, int] | None:
+    """(first, last) line of text between the first surge and the last dive of the window sums; None without text.
+
+    The page's level is the window sum that its median character stands in. ``closed``: lines that end like a sentence.
+    """
+    sums = window_sums(size)
+    order = np.argsort(sums, kind="stable")
+    upto = np.cumsum(size[order])
+    level = sums[order][np.searchsorted(upto, upto[-1] / 2)]
+    high = sums >= max(LEAST_SURGE, LEVEL_SHARE * level)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], high.astype(np.int8), [0]])))
+    for least in (PARAGRAPH, SHORT_PARAGRAPH):
+        dense = high & (size >= least) & closed
+        blocks = [(a, b, int(size[a:b][dense[a:b]].sum())) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        most = max((m for _, _, m in blocks), default=0)
+        if most:
+            kept = [(a, b) for a, b, m in blocks if m >= MASS * most]
+            inside = kept[0][0] + np.flatnonzero(dense[kept[0][0] : kept[-1][1]])
+            return int(inside[0]), int(inside[-1])
+    return None
+
+
+def article_lines(content: str, title: str | None = None, listed: Callable[[str], bool] = is_furniture) -> np.ndarray:
+    """For each line (separated by line feeds) whether it belongs to the article; blank lines don't.
+
+    ``listed`` tells of a line alone that it is furniture.
+    """
     lines = content.split("\n")
     out = np.zeros(len(lines), bool)
     rows = [i for i, x in enumerate(lines) if _LETTER.search(x)]
     if not rows:
         return out
-    texts = [plain(lines[i]) for i in rows]
-    bare = [_unlinked(lines[i]) for i in rows]
-    odd = np.array([is_furniture(lines[i]) for i in rows])
+    n = len(rows)
+    texts, bare = [plain(lines[i]) for i in rows], [_unlinked(lines[i]) for i in rows]
     size = np.array([len(x) for x in bare])
-    size[odd] = 0
     closed = np.array([bool(_ENDED.search(x[-16:])) for x in texts])
-    told = np.array([bool(_REFERENCE.match(x)) for x in texts])
-    item = np.array([bool(_ITEM.match(lines[i])) for i in rows])
-    quote = np.array([bool(_QUOTE_LINE.match(lines[i])) for i in rows])
-    n = len(rows)
-    # the block sums: lines count by what is written outside links
-    sums = np.convolve(size, np.ones(BLOCK, int))[BLOCK - 1 :]
-    dense = ((size >= PARAGRAPH) & closed) | ((told | quote) & ~odd) | (item & ~odd & (size > 0) & closed)
-    if not dense.any():
-        dense = (size >= 40) & closed
-    surge = next((i for i in range(n) if sums[i] >= SURGE and dense[i : i + BLOCK].any() and dense[i:].any()), None)
-    # the headline: a line that says what the title says, else the last heading or bare line above the surge
+    block = text_block(size, closed)
+    first, last = block or (n, -1)
     name = _key(title or "")
-    first = int(np.flatnonzero(dense)[0]) if dense.any() else n
-    head = next((i for i in range(min(n, first + 1)) if name and not odd[i] and _same(_key(texts[i]), name)), None)
-    if head is None:
+    head = next((i for i in range(min(n, first + 1)) if name and _same(_key(texts[i]), name)), None)
+    if block is None:
+        if head is not None:
+            out[rows[head]] = True
+        return out
+    shaped = [_shaped(lines[i], t, b) for i, t, b in zip(rows, texts, bare, strict=True)]
+    known = [listed(lines[i]) for i in rows]
+    again = Counter(_key(t) for t, n_chars, c in list(zip(texts, size, closed, strict=True))[first : last + 1] if not c and n_chars < PARAGRAPH)
+    marked = [bool(_HEADING.match(lines[i]) or _ITEM.match(lines[i])) for i in rows]
+    odd = [shaped[k] or known[k] or (not closed[k] and not marked[k] and again[_key(texts[k])] > 1) for k in range(n)]
+    # a line that reads on: a sentence, a labelled note, a quotation, an item
+    on = [not odd[k] and bool((size[k] >= PARAGRAPH and closed[k]) or _REFERENCE.match(texts[k]) or _QUOTE_LINE.match(lines[i]) or (size[k] and _ITEM.match(lines[i]))) for k, i in enumerate(rows)]
+    # the dive's window: back over furniture, then on over lines that read on
+    while last > first and odd[last]:
+        last -= 1
+    at = last + 1
+    while at < n:
+        k = at
+        while k < min(n, at + GAP) and not on[k] and (known[k] or not shaped[k]):
+            k += 1
+        if k == n or not on[k]:
+            break
+        last, at = k, k + 1
+    # the surge's window: the headline says what the title says, else it is a heading or a bare line above the text
+    start = head
+    if start is None:
         above = [i for i in range(first) if not odd[i]]
-        marked = [i for i in above if _HEADING.match(lines[rows[i]])]
-        if marked:
-            head = marked[0]
-        elif above:
-            head = above[-1] if size[above[-1]] > 15 else None
-    start = head if head is not None else (surge if surge is not None else first)
-    if surge is not None and head is not None and head > surge and not dense[surge:head].any():
-        start = head
-    # the end: after the last dense line only items and notes follow; a list of links or furniture ends the article
-    if dense.any():
-        end = int(np.flatnonzero(dense)[-1])
-        for i in range(end + 1, n):
-            if odd[i] or not (item[i] or closed[i] or _HEADING.match(lines[rows[i]])):
-                break
-            end = i
-    else:
-        end = start if head is not None else -1
-    for i in range(start, end + 1):
+        headings = [i for i in above if _HEADING.match(lines[rows[i]])]
+        start = headings[0] if headings else above[-1] if above and size[above[-1]] > 15 else first
+    for i in range(start, last + 1):
         out[rows[i]] = not odd[i]
+    if head is not None:
+        out[rows[head]] = True
     return out
 
 

@@ -24,17 +24,17 @@ _KEYS = ("document_id", "crawl_batch_id")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    corpus = _table(spark, sf, "corpus")
+    corpus = _table(spark, sf, "corpus").select(*_KEYS, "title", "content")
     models = residue.fit(corpus)
-    return pages.furniture_lines(corpus, _KEYS, unless=lambda t, c: residue.classify(t, c, models) is not None).distinct()
+    return pages.furniture_lines(once(corpus), _KEYS, unless=lambda t, c: residue.classify(t, c, models) is not None)
 
 
 def p1_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    return pages.bodies(_table(spark, sf, "corpus"), _KEYS, "content", "title").distinct()
+    return pages.bodies(once(_table(spark, sf, "corpus").select(*_KEYS, "title", "content")), _KEYS, "content", "title")
 
 
 def p1_chunk_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    return pages.bodies(_table(spark, sf, "chunks"), ("chunk_id",), "content", "title").distinct()
+    return pages.bodies(once(_table(spark, sf, "chunks").select("chunk_id", "title", "content")), ("chunk_id",), "content", "title")
 
 
 # --- 2: nearest vectors --------------------------------------------------------------------------

@@ -73,6 +73,42 @@ def test_page_tables(spark):
     assert pages.furniture_lines(df.limit(0)).count() == 0
 
 
+UNLISTED = [
+    ("Start | Rooms | Prices | Imprint", "Choose your language: DE", "Opening hours: 9:00"),
+    ("[Kulit Depan](https://x.example/) [Sejarah](https://x.example/s)", "Bilangan capaian 31337", "@ 12/3/2024 10:15"),
+    ("☎ Talian aduan", "Edisi: Rabu", "Disalin daripada: Harian Baru"),
+]
+ENDS = [
+    ("Rangkaian: Satu Dua Tiga", "Sign up for our weekly digest of stories.", "All trademarks are the property of their owners."),
+    ("#hukum #wakaf", "[Kisah lain](https://x.example/1)", "By using this site you accept the terms of use that apply."),
+    ("♥ 12", "Alamat: Lot 7", "Semua tanda dagang ialah milik pemilik masing-masing."),
+]
+
+
+@pytest.mark.parametrize("above", UNLISTED)
+@pytest.mark.parametrize("below", ENDS)
+def test_furniture_that_no_list_knows(above, below):
+    body = [
+        "# Hukum wakaf tunai", "Perkara pertama yang perlu difahami ialah bahawa wakaf tunai itu harus menurut kebanyakan ulama di rantau ini, dan tujuannya besar.",
+        "Berita terkini mengenai wakaf di negara kita", "Perkara kedua ialah syarat sah wakaf yang mesti dipenuhi oleh pewakaf sebelum akad itu dianggap sempurna oleh pihak penerima amanah.",
+        "1. Harta itu milik penuh pewakaf.", "2. Harta itu kekal manfaatnya.", "Perkara ketiga ialah penerima wakaf, iaitu pihak yang menguruskan harta tersebut dan melaporkan hasilnya kepada orang ramai setiap tahun.",
+    ]
+    page = "\n".join([*above, *body, *below])
+    kept = [x for x, ok in zip(page.split("\n"), pages.article_lines(page, "Hukum wakaf tunai", lambda _: False), strict=True) if ok]
+    assert kept == body
+
+
+def test_windows_decide(monkeypatch):
+    long = "Ayat ini panjang dan menceritakan perkara yang penting tentang hukum jual beli kepada pembaca."
+    page = "\n".join(["Tajuk", *[long] * 6, *["pautan kecil"] * 8, "Satu ayat penutup yang agak panjang tetapi berdiri sendiri sahaja di bawah.", *["pautan lain"] * 4])
+    kept = pages.article_lines(page, "Tajuk")
+    assert kept[:7].all() and not kept[7:].any()  # the late line's window is below the page's level
+    monkeypatch.setattr(pages, "LEVEL_SHARE", 0.0)
+    monkeypatch.setattr(pages, "LEAST_SURGE", 0)
+    assert pages.article_lines(page, "Tajuk")[15]
+    assert pages.text_block(np.zeros(4, int), np.ones(4, bool)) is None
+
+
 # --- 2 -------------------------------------------------------------------------------------------
 
 
