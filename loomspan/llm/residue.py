@@ -1,9 +1,9 @@
 """Problem 5: template residue, filler and notices in the place of articles.
 
-Character n-gram models of filler, placeholders, default titles, notices and natural prose give a
-log-likelihood ratio for every n-gram; residue is where windows have a high mean ratio. Where a window
-looks like a placeholder or default title, an exact pattern has the last word. Filler and placeholders exclude
-a row wherever they stand; a notice excludes it by coverage, if it stands instead of an article.
+Character n-gram models of filler, placeholders, default titles, notices and natural prose give a log-likelihood
+ratio for every n-gram; residue is where windows have a high mean ratio. Placeholders are told by the shape of
+their marks, the words between them left out. Filler and placeholders exclude a row wherever they stand; a notice or
+a default title excludes it by coverage, if it stands instead of an article or is the whole title.
 """
 
 from __future__ import annotations
@@ -21,13 +21,16 @@ from loomspan.functions.partitions import spread
 from loomspan.llm.pages import is_furniture
 
 N, TABLE_BITS, WINDOW = 4, 18, 28
-#: Placeholders are short and told by their marks: their model sees letters and digits as one symbol each.
-MARK_WINDOW, MARK_RATIO = 4, 0.25
+#: Placeholders: the n-grams of their shapes, and how many of them in a row have a high mean ratio.
+MARK_N, MARK_WINDOW, MARK_RATIO = 3, 3, 2.5
 BACKGROUND = 0.2
-#: Rows of the corpus at most (about) whose lines the prose model is fitted on.
-FIT_ROWS = 1_500
-#: Mean log-likelihood ratios from which a window is filler and a line a notice.
-FILLER_RATIO, NOTICE_RATIO = 1.2, 1.0
+#: The prose model is fitted on at most so many rows, so many lines of each, drawn from whole texts, and not on
+#: lines of more characters than this.
+FIT_ROWS, FIT_LINES, FIT_LENGTH = 1_500, 48, 5_000
+#: Mean log-likelihood ratios from which a window is filler, a line a notice, and a title or words in brackets unfilled.
+FILLER_RATIO, NOTICE_RATIO, TITLE_RATIO = 1.2, 1.0, 2.2
+#: Share of a default title's n-grams that a title must hold.
+TITLE_COVERAGE = 0.7
 #: Share of notice among notice and article text from which a row is excluded.
 COVERAGE = 0.5
 
@@ -87,24 +90,65 @@ checking your browser before access
 verifying you are human
 sahkan anda bukan robot
 please complete the captcha
+this account has been suspended
+your browser is not supported
+cookies must be enabled
+please enable cookies and reload the page
+bandwidth limit exceeded
+http error 410 gone
+the page has been removed or moved
+sorry, this page isn't available
+this content is no longer available
+the site is temporarily offline
+akaun ini telah digantung
+pelayar anda tidak disokong
+akun ini ditangguhkan
+peramban anda tidak didukung
+situs sedang dalam perbaikan
+seite nicht gefunden
+zugriff verweigert
+page introuvable
+acceso denegado
+pagina no encontrada
+الصفحة غير موجودة
+لم يتم العثور على الصفحة
+تم رفض الوصول
+الموقع تحت الصيانة
+صفحہ نہیں ملا
+رسائی سے انکار
+页面不存在
+找不到页面
+您访问的页面不存在
+拒绝访问
+网站维护中
+请启用JavaScript
+ไม่พบหน้าที่คุณต้องการ
+ไม่มีสิทธิ์เข้าถึง
+ปิดปรับปรุงระบบ
 """.strip().split("\n")
 PLACEHOLDERS = """
-{{ nama }} | {{tajuk}} | {{ page.title }} | {{{ isi }}} | {% block isi %} | {%if x%} | <%= tarikh %> | <%= post.id %> | <% isi %> | ${nama} | ${page.title} | {$nama} | {$bil_paparan}
-[[nama]] | [[ tajuk ]] | [[nama_penulis]] | %nama% | %nama_penulis% | @@nama@@ | @@page.title@@ | ##nama## | ##PAGE.TITLE## | __NAMA__ | __NAMA_PENULIS__ | [Masukkan tajuk] | [Insert title here] | [Isi nama di sini]
+{{ nama }} | {{tajuk}} | {{ page.title }} | {{{ isi }}} | {{{isi}}} | {% block isi %} | {%if x%} | {% end %} | {{nama penulis}} | {{ nama penulis }} | <%= tarikh %> | <%= post.id %> | <% isi %> | <%=isi%> | <%isi%>
+${nama} | ${page.title} | ${ nama } | {$nama} | {$bil_paparan} | #{title} | #{page.title} | {first_name} | <<first_name>> | << nama >> | *|FNAME|* | *|nama|* | [% title %] | [%title%]
+[[nama]] | [[ tajuk ]] | [[nama_penulis]] | %nama% | %nama_penulis% | %%nama%% | %NAMA% | @@nama@@ | @@page.title@@ | ##nama## | ##PAGE.TITLE## | @@NAMA@@ | __NAMA__ | __NAMA_PENULIS__ | $$nama$$ | ~~NAMA~~
 """
+#: What may stand beside a placeholder.
+BESIDE = [("", ""), (" ", " "), (" ", "."), (" ", ","), ("(", ")"), ('"', '"'), (": ", ""), ("\n", "\n"), (" ", ":"), (" ", "!"), (" ", "?"), (" ", ";"), ("/", "/"), (">", "<"), ("**", "**")]
+UNFILLED = """
+masukkan tajuk | masukkan tajuk di sini | isi nama di sini | tulis nama penulis | sila masukkan tarikh | masukkan teks | isi tajuk artikel | tulis isi di sini | masukkan nama penulis | sila isi
+insert title here | enter title | your name here | add text here | enter date | type here | your text here | add a description | insert image | enter your name | insert link
+""".replace("\n", "|").split("|")
 DEFAULT_TITLES = """
-untitled | untitled document | untitled page | new page | page title | title here | your title here | insert title here | enter title here | default title
+untitled | untitled document | untitled page | new page | page title | title here | your title here | insert title here | enter title here | default title | hello world! | sample page | home page title
 tajuk di sini | tajuk halaman | tanpa tajuk | tiada tajuk | masukkan tajuk | judul di sini | tanpa judul | undefined | null | none | nan | [object object] | todo | tbd
 """.replace("\n", "|").split("|")
 # Fixed values end.
 
-#: Unfilled placeholders: a name between the marks of common template languages.
-_PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]*\w[^{}\n]*\}\}|\{%[^{}\n]*\w[^{}\n]*%\}|<%=?[^<>\n]*\w[^<>\n]*%>|\$\{[^{}\n]*\w[^{}\n]*\}|\{\$\w[\w.]*\}"
-    r"|\[\[\s*[^\W\d][\w.]*\s*\]\](?!\()|%[^\W\d][\w.]+%|@@[^\W\d][\w.]*@@|##[^\W\d][\w.]*##|__[A-Z][A-Z_]*__"
-    r"|\[(?:masukkan|isi|tulis|sila|insert|enter|add|your|type)\b[^\]\[\n]{2,40}\](?!\()",
-    re.IGNORECASE,
-)
+#: Words, with what joins them to a name, and numbers: one symbol each in a shape.
+_NAME = re.compile(r"[^\W_]+(?:[_.][^\W_]+)*")
+_MARKS = re.compile(r"[{}<>$%@#|\[\]*~]|__")
+_BRACKETS = re.compile(r"\[([^\[\]\n]{3,60})\](?!\()")
+_PATH = re.compile(r"\S*/\S*")
+_SPACES = re.compile(r"[^\S\n]+")
 _DIGIT = re.compile(r"[0-9]+")
 _CLOSED = re.compile(r"[.!?؟。！？…][\"'”’»)\]*_\s]*$")
 #: A line of an article: long, and closed like a sentence.
@@ -115,13 +159,13 @@ ARTICLE_LINE = 60
 _EDGES = " \t\r#*_>"
 
 
-def _hashed(codes: np.ndarray) -> np.ndarray:
-    """Table places of the runs of N code points."""
-    n = len(codes) - N + 1
+def _hashed(codes: np.ndarray, size: int = N) -> np.ndarray:
+    """Table places of the runs of ``size`` code points."""
+    n = len(codes) - size + 1
     if n <= 0:
         return np.empty(0, np.int64)
     h = codes[:n].copy()
-    for k in range(1, N):
+    for k in range(1, size):
         h *= np.uint32(0x01000193)
         h += codes[k : n + k]
     h ^= h >> np.uint32(15)
@@ -134,20 +178,15 @@ def _grams(text: str) -> np.ndarray:
     return _hashed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
 
 
-def _shapes() -> np.ndarray:
-    table = np.arange(1 << 16, dtype=np.uint32)
-    for k in range(1 << 16):
-        c = chr(k)
-        table[k] = 97 if c.isalpha() else 48 if c.isdigit() else 32 if c.isspace() and c != "\n" else k
-    return table
-
-
-_SHAPE = _shapes()
+def _symbol(m: re.Match[str]) -> str:
+    word = m[0]
+    return "0" if word[0].isdigit() else "A" if word.isupper() and len(word) > 1 else "a"
 
 
 def _shape_grams(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _hashed(_SHAPE[np.minimum(codes, 0xFFFF)])
+    """Table places of the n-grams of a text's shape: each name is one symbol, each run of spaces one space."""
+    shape = _SPACES.sub(" ", _NAME.sub(_symbol, text))
+    return _hashed(np.frombuffer(shape.encode("utf-32-le", "surrogatepass"), np.uint32), MARK_N)
 
 
 def _plain(line: str) -> str:
@@ -170,9 +209,10 @@ class Models:
             self.notice = self._ratio(notices, held)
             held = [g for g in held if len(g) and max(f[g].mean() for f in self.fillers) < FILLER_RATIO / 4 and self.notice[g].mean() < NOTICE_RATIO / 2]
         self.titles = self._ratio([_plain(x) for x in DEFAULT_TITLES if x.strip()], held)
+        self.title_grams = [set(_grams(_plain(x)).tolist()) for x in DEFAULT_TITLES if x.strip()]
         marks = [x.strip() for line in PLACEHOLDERS.strip().split("\n") for x in line.split(" | ")]
-        plain = [_shape_grams(f" {x} ") for x in prose if not _PLACEHOLDER.search(x)]
-        self.marks = self._table([_shape_grams(f" {x} ") for x in marks], plain)
+        self.marks = self._table([_shape_grams(f"{a}{x}{b}") for w in marks for x in {w, w.upper()} for a, b in BESIDE], [_shape_grams(f" {x} ") for x in [*prose, *(y.upper() for y in prose[::4])]])
+        self.unfilled = self._ratio([_plain(x) for x in UNFILLED if x.strip()], held)
 
     def _ratio(self, residue: list[str], prose: list[np.ndarray]) -> np.ndarray:
         return self._table([_grams(x) for x in residue], prose)
@@ -199,40 +239,38 @@ class Models:
         sums = [np.concatenate([[0], np.cumsum(f[g], dtype=np.float64)]) for f in self.fillers]
         return max(float((s[w:] - s[:-w]).max() / w) for s in sums)
 
-    def whole(self, line: str) -> float:
-        g = _grams(_plain(line))
-        return float(self.notice[g].mean()) if len(g) >= 5 else -4.0
+    @staticmethod
+    def mean(table: np.ndarray, text: str) -> float:
+        """The mean ratio of a whole text."""
+        g = _grams(_plain(text))
+        return float(table[g].mean()) if len(g) else -4.0
 
 
 def has_placeholder(text: str | None, models: Models) -> bool:
-    """Whether marks in a window look like a placeholder, and are one."""
+    """Whether the shape of some marks, or the words in a pair of brackets, are those of an unfilled placeholder."""
     if not text:
         return False
-    ratios = models.marks[_shape_grams(f" {text} ")]
-    if len(ratios) < MARK_WINDOW:
-        return False
-    s = np.concatenate([[0], np.cumsum(ratios, dtype=np.float64)])
-    near = np.flatnonzero(s[MARK_WINDOW:] - s[:-MARK_WINDOW] >= MARK_RATIO * MARK_WINDOW)
-    done = 0
-    for k in near.tolist():
-        if k < done:
+    for line in text.split("\n"):
+        if not _MARKS.search(line):
             continue
-        low, done = max(0, k - 60), k + 60
-        if _PLACEHOLDER.search(text, low, min(len(text), k + 120)):
+        ratios = models.marks[_shape_grams(f" {line} ")]
+        if len(ratios) >= MARK_WINDOW:
+            s = np.concatenate([[0], np.cumsum(ratios, dtype=np.float64)])
+            if (s[MARK_WINDOW:] - s[:-MARK_WINDOW]).max() >= MARK_RATIO * MARK_WINDOW:
+                return True
+        if any(models.mean(models.unfilled, x) >= TITLE_RATIO for x in _BRACKETS.findall(line)):
             return True
     return False
 
 
-_DEFAULTS = {x.strip() for x in DEFAULT_TITLES if x.strip()}
-
-
 def is_default_title(title: str | None, models: Models) -> bool:
-    """Whether a title, without the name of a site behind it, looks like filler and is what a template has before it is filled."""
+    """Whether the whole of a title, without the name of a site behind it, is what a template has before it is filled:
+    its ratio is high, and it covers most of one default title, not just a word of it."""
     if not title:
         return False
-    name = re.split(r"\s+[-|–—]\s+", title.strip())[0].strip()
-    g = _grams(_plain(name))
-    return len(g) > 0 and float(models.titles[g].mean()) >= FILLER_RATIO and name.lower() in _DEFAULTS
+    name = re.split(r"\s+[-|–—]\s+", title.strip())[0]
+    held = set(_grams(_plain(name)).tolist())
+    return models.mean(models.titles, name) >= TITLE_RATIO and any(len(held & t) >= TITLE_COVERAGE * len(t) for t in models.title_grams)
 
 
 def classify(title: str | None, content: str | None, models: Models) -> str | None:
@@ -267,10 +305,10 @@ def classify(title: str | None, content: str | None, models: Models) -> str | No
             return "filler"
     s = np.concatenate([[0], np.cumsum(models.notice[flat], dtype=np.float64)])
     score = (s[ends] - s[ends - sizes]) / np.maximum(sizes, 1)
-    notice = (sizes >= 5) & (score >= NOTICE_RATIO)
-    for k in np.flatnonzero((sizes >= 5) & ~notice):  # an address may follow the words of the notice
-        head, colon, _ = lines[k].partition(": /")
-        notice[k] = bool(colon) and models.whole(head) >= NOTICE_RATIO
+    notice = (sizes >= 3) & (score >= NOTICE_RATIO)
+    for k in np.flatnonzero((sizes >= 3) & ~notice):  # the address that was asked for may stand in the words of the notice
+        if "/" in lines[k]:
+            notice[k] = models.mean(models.notice, _PATH.sub("", lines[k])) >= NOTICE_RATIO
     if not notice.any():
         return None
     article = sum(len(x) for x, is_notice in zip(lines, notice, strict=True) if not is_notice and len(x) >= ARTICLE_LINE and _CLOSED.search(x[-16:]) and not is_furniture(x))
@@ -278,13 +316,15 @@ def classify(title: str | None, content: str | None, models: Models) -> str | No
     return "notice" if said >= COVERAGE * (said + article) else None
 
 
-def fit(df: DataFrame, key: str = "document_id", content: str = "content") -> Models:
-    """Models fitted on the lines of a bounded sample of rows (by the hash of the key)."""
+def fit(df: DataFrame, keys: tuple[str, ...] = ("document_id", "crawl_batch_id"), content: str = "content") -> Models:
+    """Models fitted on lines of a bounded sample of rows, both drawn by hashes, so that a run gives what the last gave."""
     n = df.count()
-    share = min(1.0, FIT_ROWS / max(1, n))
-    picked = df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    rows = picked.select(F.substring(content, 1, 20_000).alias("c")).where(F.col("c").isNotNull()).limit(2 * FIT_ROWS).toArrow()
-    return Models(line for text in rows.column("c").to_pylist() for line in text.split("\n") if line.strip())
+    share = min(1.0, 2 * FIT_ROWS / max(1, n))
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
+    picked = df.where(F.col(content).isNotNull()).select(place.alias("p"), F.col(content).alias("c")).where(F.col("p") < int(share * (1 << 30)) + 1)
+    some = F.slice(F.array_sort(F.transform(F.split("c", "\n"), lambda x, i: F.struct(F.xxhash64("p", i).alias("h"), x.alias("x")))), 1, FIT_LINES)
+    rows = picked.select("p", F.filter(some["x"], lambda x: (F.length(x) <= FIT_LENGTH) & (F.trim(x) != "")).alias("x")).orderBy("p").limit(FIT_ROWS).toArrow()
+    return Models(line for lines in rows.column("x").to_pylist() for line in lines or ())
 
 
 def residue(df: DataFrame, models: Models | None = None, keys: tuple[str, ...] = ("document_id", "crawl_batch_id"), title: str = "title", content: str = "content") -> DataFrame:
@@ -292,7 +332,7 @@ def residue(df: DataFrame, models: Models | None = None, keys: tuple[str, ...] =
 
     Null and empty titles and contents are no residue. Whole texts are read, whatever their length.
     """
-    models = models or fit(df, keys[0], content)
+    models = models or fit(df, keys, content)
     kept = [f"k{i}" for i in range(len(keys))]
     rows = spread(df.select(*[F.col(k).alias(a) for k, a in zip(keys, kept, strict=True)], F.col(title).alias("t"), F.col(content).alias("c")))
     schema = rows.select(*kept, F.lit(None).cast("string").alias("kind")).schema

@@ -399,6 +399,28 @@ def test_residue():
     assert kind("x", "Utama | Video | Carian\n404 Not Found\nTag: a, b") == "notice"
     assert kind("x", f"{body}\n404 Not Found") is None
     assert kind("Untitled Document", body) == "placeholder"
+    assert kind("x", body.upper() + " $ 3,116.50 AND 50% OF IT") is None
+
+
+@pytest.mark.parametrize("said", ["This account has been suspended", "Your browser is not supported", "Cookies must be enabled", "Bandwidth limit exceeded", "HTTP Error 410", "Seite nicht gefunden", "الصفحة غير موجودة", "页面不存在", "Not found: /a/b-c", "404 Page not found /x/y.html"])
+def test_notices_of_other_words(said):
+    m, body = residue.Models(PROSE), "\n".join(PROSE[:6])
+    assert residue.classify("x", said, m) == "notice"
+    assert residue.classify("x", f"{body}\n{said}", m) is None  # beside an article
+
+
+@pytest.mark.parametrize("mark", ["<<first_name>>", "{first_name}", "#{title}", "*|FNAME|*", "[% title %]", "[Sila masukkan nama penulis]", "{{ nama penuh " + "x" * 200 + " }}"])
+def test_placeholders_of_other_marks(mark):
+    m, body = residue.Models(PROSE), "\n".join(PROSE[:6])
+    assert residue.classify("x", body.replace("harus", mark, 1), m) == "placeholder"
+    assert residue.classify(mark, body, m) == "placeholder"
+
+
+def test_talk_about_residue_is_none():
+    m = residue.Models(PROSE)
+    said = "Ralat 404 dan halaman tidak dijumpai dibincangkan kerana laman wakaf itu pernah mengalaminya pada tahun lalu."
+    assert residue.classify("Halaman tidak dijumpai: apa maksudnya", "\n".join([*PROSE[:6], said]), m) is None
+    assert residue.classify("Hukum skrip", "\n".join([*PROSE[:6], said]), m) is None
 
 
 def test_residue_table(spark):
