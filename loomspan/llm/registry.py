@@ -134,15 +134,23 @@ P6_FOUND_SQL = "SELECT DISTINCT chunk_id FROM chunks WHERE length(content) > 120
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    index = leakage.build_index(_table(spark, sf, "documents"))
+    index = written(leakage.build_index(_table(spark, sf, "documents")), "postings")
     return leakage.search_index(index, _table(spark, sf, "eval_items")).select("doc_id", "item_id")
 
 
 def p7_proximity(spark: SparkSession, sf: str) -> DataFrame:
-    index = leakage.build_index(_table(spark, sf, "documents"))
+    index = written(leakage.build_index(_table(spark, sf, "documents")), "postings")
     return leakage.search_index(index, _table(spark, sf, "eval_items"), slop=leakage.SLOP)
 
 
+P7_FOUND_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(strip_accents(item_text)), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_text IS NOT NULL AND item_id IS NOT NULL),
+dr AS (SELECT doc_id, array_to_string(w[k : k + 11], ' ') AS run FROM d, unnest(range(1, len(w) - 10)) AS u(k)),
+ir AS (SELECT DISTINCT item_id, array_to_string(w[k : k + 11], ' ') AS run FROM i, unnest(range(1, len(w) - 10)) AS u(k))
+SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run)
+"""
+
 # --- 8: mixing -----------------------------------------------------------------------------------
 
 
@@ -199,4 +207,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND_SQL, "p4_cleaned": P4_CLEANED_SQL, "p6_found": P6_FOUND_SQL, "p8_found": P8_FOUND_SQL}
+    return {"p4_found": P4_FOUND_SQL, "p4_cleaned": P4_CLEANED_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p8_found": P8_FOUND_SQL}
