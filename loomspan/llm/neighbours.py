@@ -28,6 +28,8 @@ FIT_ROWS = 16_384
 BLOCK = 80_000
 #: Near first-half centroids share a group, to which a query is sent once: so many groups at least, and one for so many rows.
 LEAST_GROUPS, GROUP_ROWS = 8, 100_000
+#: Entries of a group that one task holds, at most (about): a larger group is cut into parts, and its queries meet each.
+PART_ROWS = 250_000
 _PACKED = "id bigint, chunk_id string, at timestamp, cell int, vec binary"
 
 
@@ -182,7 +184,8 @@ def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", new
     key. Vectors are ranked in half precision. Groups of more than k + 1 equal vectors, which may hold any share
     of the rows, are answered by their k + 1 first members, so that they make no hot cell.
     Keys are carried as 64-bit hashes and spelled out at the end. ``entries``: what a query ranks again at least,
-    :func:`entries_wanted` unless told; a smaller table is ranked whole.
+    :func:`entries_wanted` unless told; a smaller table is ranked whole, and any table is with as many entries as
+    rows: the exact way. Groups of entries are cut into parts of a bounded size, so no task holds a whole hot group.
     """
     spark = df.sparkSession
     rows = df.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("id"), F.col(key).alias("chunk_id"), F.col(newest).cast("timestamp").alias("at"), F.col(vector).cast("array<double>").alias("v"))
@@ -218,7 +221,7 @@ def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", new
     packed = spread(rows).mapInArrow(pack, _PACKED)
     one = packed.groupBy("id").agg(F.first("chunk_id").alias("chunk_id"), F.max(F.struct("at", "vec", "cell")).alias("m"))
     index = written(one.select("id", "chunk_id", "m.cell", "m.vec"), "vectors")
-    same = F.xxhash64("vec").alias("same")
+    same = F.struct(F.xxhash64("vec").alias("a"), F.xxhash64(F.lit(7), "vec").alias("b")).alias("same")
     hot = index.groupBy(same).agg(F.count("*").alias("n")).where(F.col("n") > k + 1)
     held, asked, direct = index, index, None
     if not hot.isEmpty():
@@ -241,7 +244,8 @@ def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", new
     load = np.zeros(len(coarse))
     for by in _visits(some, c1, c2, wanted, sizes, owner):
         load[list(by)] += n / min(len(x), 2000)
-    blocks = F.broadcast(spark.createDataFrame([(g, int(max(1, -(-c // BLOCK)))) for g, c in enumerate(load)], "g int, blocks int"))
+    rows_of = np.bincount(np.repeat(owner, width), weights=sizes, minlength=len(coarse))
+    blocks = F.broadcast(spark.createDataFrame([(g, int(max(1, -(-c // BLOCK))), int(max(1, -(-r // PART_ROWS)))) for g, (c, r) in enumerate(zip(load, rows_of, strict=True))], "g int, blocks int, parts int"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -251,10 +255,10 @@ def nearest(df: DataFrame, key: str = "chunk_id", vector: str = "embedding", new
                 yield pa.RecordBatch.from_arrays([pa.array([g for v in visits for g in v], pa.int32()), at.column("id"), at.column("vec"), pa.array([c for v in visits for c in v.values()], pa.list_(pa.int32()))], names=["h", "id", "vec", "cells"])
 
     groups = F.broadcast(spark.createDataFrame([(i, int(g)) for i, g in enumerate(owner)], "i int, g int"))
-    left = held.select(F.expr(f"cell div {width}").cast("int").alias("i"), F.col("id").alias("e"), "cell", F.col("vec").alias("evec")).join(groups, "i").join(blocks, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"), "e", "cell", "evec")
+    left = held.select(F.expr(f"cell div {width}").cast("int").alias("i"), F.col("id").alias("e"), "cell", F.col("vec").alias("evec")).join(groups, "i").join(blocks, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"), F.pmod(F.xxhash64(F.lit(3), "e"), F.col("parts")).cast("int").alias("p"), "e", "cell", "evec")
     right = spread(asked.select("id", "vec")).mapInArrow(route, "h int, id bigint, vec binary, cells array<int>")
-    right = right.join(blocks.withColumnRenamed("g", "h"), "h").select("h", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("u"), "id", "vec", "cells")
-    found = left.groupBy("g", "s").cogroup(right.groupBy("h", "u")).applyInArrow(lambda a, b: _search(a, b, k, dim), "id bigint, near array<bigint>, cosine array<float>")
+    right = right.join(blocks.withColumnRenamed("g", "h"), "h").select("h", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("u"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("r"), "id", "vec", "cells")
+    found = left.groupBy("g", "s", "p").cogroup(right.groupBy("h", "u", "r")).applyInArrow(lambda a, b: _search(a, b, k, dim), "id bigint, near array<bigint>, cosine array<float>")
     if direct is not None:
         found = found.unionByName(direct)
     pairs = F.arrays_zip(F.transform("cosine", lambda c: -c).alias("d"), F.col("near").alias("n"))

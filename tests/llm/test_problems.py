@@ -172,6 +172,14 @@ def test_walk_goes_on_until_enough_entries():
     assert neighbours.entries_wanted(1_788_430) > 3 * neighbours.entries_wanted(178_843) > 3 * 640
 
 
+def test_large_groups_of_entries_are_cut(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    df = spark.createDataFrame([(f"c{i:03d}", draw.normal(size=96).tolist(), None) for i in range(400)], "chunk_id string, embedding array<double>, created_at timestamp")
+    whole = {tuple(r) for r in neighbours.nearest(df).select("chunk_id", "near_chunk_id").collect()}
+    monkeypatch.setattr(neighbours, "PART_ROWS", 20)
+    assert {tuple(r) for r in neighbours.nearest(df).select("chunk_id", "near_chunk_id").collect()} == whole and len(whole) == 2000
+
+
 # --- 3 -------------------------------------------------------------------------------------------
 
 
@@ -505,6 +513,30 @@ def test_leaks(spark):
     assert leakage.search_index(index, y.limit(0)).count() == 0
 
 
+def test_ids_of_any_type(spark):
+    text = " ".join(f"kata{k}" for k in range(30))
+    docs = spark.createDataFrame([("dok-a", text), ("dok-b", "lain"), (None, text)], "doc_id string, text string")
+    items = spark.createDataFrame([("soalan", text), ("pendek", "kata1")], "item_id string, item_text string")
+    for slop in (None, 6):
+        assert rows(leakage.search_index(leakage.build_index(docs), items, slop=slop), "doc_id", "item_id") == [("dok-a", "soalan")]
+
+
+def test_phrase_lists_against_brute_force(spark):
+    """Small vocabularies make long lists: every run of at least 12 words is found, and no other."""
+    draw = np.random.default_rng(2)
+    texts = [[f"w{x}" for x in draw.integers(0, 6, 400)] for _ in range(40)]
+    item = texts[3][50:90]
+    for d in (7, 8):
+        texts[d][100:112] = item[5:17]
+    texts[9][100:111] = item[5:16]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, item_text string")
+    runs = {tuple(item[k : k + 12]) for k in range(len(item) - 11)}
+    want = [(i,) for i, t in enumerate(texts) if any(tuple(t[k : k + 12]) in runs for k in range(len(t) - 11))]
+    assert rows(leakage.search_index(leakage.build_index(docs, segment_tokens=900), items), "doc_id") == want
+    assert {(3,), (7,), (8,)} <= set(want)
+
+
 # --- 8 -------------------------------------------------------------------------------------------
 
 
