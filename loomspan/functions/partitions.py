@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomspan.functions.shared import written
+
 _NARROW = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "DataSourceV2ScanRelation", "LogicalRDD", "LocalRelation"}
 #: Scans of more bytes than this are never shuffled to spread them.
 SPREAD_BYTES = 256 << 20
@@ -42,11 +44,13 @@ def once(df: DataFrame) -> DataFrame:
     """Each whole row once, as ``distinct`` gives it, without a shuffle of the rows.
 
     Only 128-bit hashes of the rows are grouped; rows that have no copy pass a join with the few hashes that occur
-    several times (Spark sends them to all tasks only if they are below its broadcast threshold), and only rows
-    with copies are gathered. Worth it for rows that hold texts. Columns must be hashable (no maps).
+    several times (they are written first; Spark sends them to all tasks only if they are below its broadcast
+    threshold), and only rows with copies are gathered. Worth it for rows that hold texts. Columns must be
+    hashable (no maps).
     """
     h1, h2 = row_hashes(*(F.col(f"`{c}`") for c in df.columns))
     several = df.select(h1.alias("_h1"), h2.alias("_h2")).groupBy("_h1", "_h2").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    several = written(several, "copies")  # its size is known when the joins are planned
     tagged = spread(df).withColumns({"_h1": h1, "_h2": h2})
     single = tagged.join(several, ["_h1", "_h2"], "left_anti")
     copies = tagged.join(several, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"])
