@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.functions.partitions import spread
+from loomspan.functions.shared import written
 from loomspan.sources.versions import Versions
 
 MIN_DOCS, MIN_SHARE = 5, 0.05
@@ -100,6 +101,7 @@ def spell_out(df: DataFrame, lines: DataFrame) -> DataFrame:
     """
     wanted = lines.select("source_name", F.col("example.d").alias("d"), F.col("example.line_no").alias("line_no"), "h1", "h2", "n_docs", "n_source_docs")
     lists = wanted.groupBy("source_name", "d").agg(F.collect_set(F.struct("line_no", "h1", "h2", "n_docs", "n_source_docs")).alias("w"))
+    lists = written(lists, "examples")  # its size is known when the join with the texts is planned
     rows = df.select("source_name", "document_id", "content", F.xxhash64("document_id").alias("d")).where(F.col("content").isNotNull()).join(lists, ["source_name", "d"])
     # an example's number holds for one of the document's contents: in others another line may stand there
     at = rows.select("source_name", F.split("content", "\n").alias("x"), F.explode("w").alias("w")).where(F.col("w.line_no") < F.size("x"))
@@ -133,7 +135,7 @@ def rebuild(df: DataFrame, lines: DataFrame, keys: list[str], holders: DataFrame
     rows = df.select(*keys, "source_name", "content", F.xxhash64("document_id").alias("_d")).where(F.col("content").isNotNull() & F.col("source_name").isNotNull())
     if holders is not None:
         rows = rows.join(holders.withColumnRenamed("d", "_d"), ["source_name", "_d"], "left_semi")
-    sets = lines.groupBy("source_name").agg(F.collect_set("line_key").alias("_drop"))
+    sets = written(lines.groupBy("source_name").agg(F.collect_set("line_key").alias("_drop")), "crossed")
     parts = rows.join(sets, "source_name", "inner" if holders is None else "left").withColumn("_x", F.split("content", "\n")).withColumn("_k", F.transform("_x", line_key))
     own = parts.withColumn("_own", F.array_intersect("_k", F.coalesce("_drop", F.array().cast("array<string>"))))
     if holders is None:
