@@ -55,3 +55,10 @@ def once(df: DataFrame) -> DataFrame:
     single = tagged.join(several, ["_h1", "_h2"], "left_anti")
     copies = tagged.join(several, ["_h1", "_h2"], "left_semi").dropDuplicates(["_h1", "_h2"])
     return single.unionByName(copies).drop("_h1", "_h2")
+
+
+def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A side of a join that goes to all tasks, after a check that it has at most ``most`` rows; else a ValueError."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows to be taken to all tasks")
+    return F.broadcast(df)

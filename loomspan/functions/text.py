@@ -52,9 +52,12 @@ def trim_all(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def _unaccented(c: Column) -> Column:
+    return F.translate(F.regexp_replace(F.lower(c), "[\u0300-\u036f]", ""), _FROM, _TO)
+
+
 def _folded(c: Column) -> Column:
-    marks = F.regexp_replace(F.lower(c), "[\u0300-\u036f]", "")
-    return F.regexp_replace(F.translate(marks, _FROM, _TO), _APOSTROPHES, "")
+    return F.regexp_replace(_unaccented(c), _APOSTROPHES, "")
 
 
 def normalize_text(c: Column) -> Column:
@@ -74,8 +77,9 @@ def normalize_text_exact(s: pd.Series) -> pd.Series:
 
 
 def slugify(c: Column, fallback: str = "item", length: int = 80) -> Column:
-    """Normalised text with hyphens, cut to ``length``; ``fallback`` where nothing is left."""
-    s = F.substring(F.regexp_replace(F.regexp_replace(_folded(c), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, length)
+    """Lower case, accents dropped, everything but a-z and 0-9 (apostrophes, too) made single hyphens, cut to ``length``;
+    ``fallback`` where nothing is left."""
+    s = F.substring(F.regexp_replace(F.regexp_replace(_unaccented(c), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, length)
     return F.coalesce(F.nullif(s, F.lit("")), F.lit(fallback))
 
 

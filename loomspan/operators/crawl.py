@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import urls
+from loomspan.functions.partitions import bounded
 from loomspan.operators.merging import latest_by
 
 
 def allowed(candidates: DataFrame, sources: DataFrame) -> DataFrame:
     """Candidates (source_id, url) on their source's host that fit one of its patterns."""
-    s = F.broadcast(sources.select(F.col("id").alias("source_id"), F.col("url").alias("_seed"), "include_patterns"))  # the source registry has a fixed size
+    s = bounded(sources.select(F.col("id").alias("source_id"), F.col("url").alias("_seed"), "include_patterns"))
     j = candidates.join(s, "source_id")
     return j.where((urls.host(F.col("url")) == urls.host(F.col("_seed"))) & urls.matches_any(F.col("url"), F.col("include_patterns"))).drop("_seed", "include_patterns")
 
@@ -30,18 +31,18 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 def attributed(corpus: DataFrame, sources: DataFrame) -> DataFrame:
     """(source_id, pages, title, last_updated) by source name or host suffix; a page may count for several sources.
 
-    Pages are counted by (url, source_name) first; the fixed-size source registry is taken to these groups.
+    Pages are counted by (url, source_name) first; the source registry is taken to these groups, after a check of its rows.
     """
     pages = corpus.where(F.col("source_url").isNotNull()).groupBy("source_url", "source_name").agg(F.max(F.struct("updated_at", "title")).alias("m"), F.count_distinct("document_id").alias("n"))
-    s = F.broadcast(sources.select(F.col("id").alias("source_id"), "name", urls.host(F.col("url")).alias("_host")))
+    s = bounded(sources.select(F.col("id").alias("source_id"), "name", urls.host(F.col("url")).alias("_host")))
     hit = (F.col("source_name") == F.col("name")) | F.coalesce(urls.host(F.col("source_url")).endswith(F.col("_host")), F.lit(False))
     j = pages.join(s, hit)
     return j.groupBy("source_id").agg(F.sum("n").alias("pages"), F.max("m").alias("m")).select("source_id", "pages", F.col("m.title").alias("title"), F.col("m.updated_at").alias("last_updated"))
 
 
 def rolled_up(statuses: Column) -> Column:
-    """One status of many: skips don't count; all good, some good or none."""
-    real = F.filter(statuses, lambda s: ~s.startswith("SKIPPED"))
+    """One status of many: steps that aren't configured don't count; all good, some good or none."""
+    real = F.filter(statuses, lambda s: s != "SKIPPED_NOT_CONFIGURED")
     good = F.size(F.filter(real, lambda s: s == "SUCCESS"))
     return F.when(F.size(real) == 0, "SKIPPED_NOT_CONFIGURED").when(good == F.size(real), "SUCCESS").when(good > 0, "PARTIAL").otherwise("FAILED")
 
@@ -70,10 +71,10 @@ def progress(runs: DataFrame) -> DataFrame:
 def prefixed(portals: DataFrame, logs: DataFrame, key: str = "portal_url", url: str = "url") -> DataFrame:
     """The newest log row of each portal whose URL, less a last slash, equals or begins with the portal's.
 
-    The portal list has a fixed size and is taken to the logs, which are reduced to one row a URL first.
+    The portal list is taken to the logs, after a check of its rows; they are reduced to one row a URL first.
     """
     newest = logs.groupBy(url).agg(F.max(F.struct("updated_at", "event_id", "status")).alias("m"))
-    p = F.broadcast(portals.select(key, F.regexp_replace(key, "/$", "").alias("_p")))
+    p = bounded(portals.select(key, F.regexp_replace(key, "/$", "").alias("_p")))
     hit = newest.join(p, F.regexp_replace(url, "/$", "").startswith(F.col("_p")))
     best = hit.groupBy(key).agg(F.max("m").alias("m"))
     return portals.select(key).distinct().join(best, key, "left").select(key, F.col("m.status").alias("status"), F.col("m.updated_at").alias("updated_at"))
@@ -86,9 +87,12 @@ def turns(events: DataFrame, group: str, order: list[str], flag: Column, value:
 
 
 def batch_totals(corpus: DataFrame) -> DataFrame:
-    """Per batch: documents, characters, the first title (by document_id) and the crawlers joined by ``+``."""
+    """Per batch: documents, characters, the first title (by document_id) and the crawlers in the order in which
+    they are first seen (by document_id), joined by ``+``. Null titles and crawlers are passed over."""
     rows = corpus.where(F.col("crawl_batch_id").isNotNull()).select("crawl_batch_id", "document_id", "title", "crawler", F.length("content").alias("n")).distinct()
-    out = rows.groupBy("crawl_batch_id").agg(F.count_distinct("document_id").alias("n_documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("characters"), F.min_by("title", F.struct("document_id", "title")).alias("first_title"), F.array_join(F.array_sort(F.collect_set("crawler")), "+").alias("crawlers"))
+    by_crawler = rows.groupBy("crawl_batch_id", "crawler").agg(F.min("document_id").alias("seen"), F.collect_set("document_id").alias("docs"), F.sum("n").alias("n"), F.min(F.when(F.col("title").isNotNull(), F.struct("document_id", "title"))).alias("t"))
+    seen = F.collect_list(F.when(F.col("crawler").isNotNull(), F.struct("seen", "crawler")))
+    out = by_crawler.groupBy("crawl_batch_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("docs")))).cast("long").alias("n_documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("characters"), F.min("t")["title"].alias("first_title"), F.array_join(F.array_sort(seen)["crawler"], "+").alias("crawlers"))
     return out
 
 

@@ -92,10 +92,24 @@ def reached(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def ellipse_layout(nodes: DataFrame, group: str, order: str, rx: float = 178.0, ry: float = 54.0) -> DataFrame:
-    """(x, y) of each group's nodes: the first in the centre, the others on an ellipse around it."""
+def snippet(edges: DataFrame, by: str, order: str, nodes: int = 8, links: int = 8) -> DataFrame:
+    """(``by``, source, target, relation) of each group's first ``nodes`` nodes and, of the links between these, the first
+    ``links`` (by ``order``, a row's source before its target)."""
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("source_id").alias("id")), F.struct(F.lit(1).alias("side"), F.col("target_id").alias("id")))
+    seen = edges.select(by, F.col(order).alias("_o"), F.explode(ends).alias("e")).where(F.coalesce("e.id", F.lit("")) != "").groupBy(by, F.col("e.id").alias("id")).agg(F.min(F.struct("_o", "e.side")).alias("_at"))
+    first = seen.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy("_at", "id"))).where(F.col("_n") <= nodes).groupBy(by).agg(F.collect_set("id").alias("_ids"))
+    inside = edges.join(first, by).where(F.array_contains("_ids", F.col("source_id")) & F.array_contains("_ids", F.col("target_id")))
+    one = inside.groupBy(by, F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.coalesce("relation", F.lit("")).alias("relation")).agg(F.min(order).alias("_o"))
+    w = Window.partitionBy(by).orderBy("_o", "source", "target", "relation")
+    return one.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= links).drop("_n", "_o")
+
+
+def ellipse_layout(nodes: DataFrame, group: str, order: str, rx: float = 178.0, ry: float = 54.0, side: float = 110.0) -> DataFrame:
+    """(x, y) of each group's nodes: the first in the centre, the others on an ellipse around it; two nodes stand
+    ``side`` to the left and to the right of it."""
     w = Window.partitionBy(group)
     n = F.count("*").over(w)
     k = F.row_number().over(w.orderBy(order)) - 1
     angle = 2 * F.pi() * (k - 1) / (n - 1) - F.pi() / 2
-    return nodes.select("*", k.alias("place"), F.when(k == 0, 0.0).otherwise(rx * F.cos(angle)).alias("x"), F.when(k == 0, 0.0).otherwise(ry * F.sin(angle)).alias("y"))
+    x = F.when(n == 2, F.when(k == 0, -side).otherwise(side)).when(k == 0, 0.0).otherwise(rx * F.cos(angle))
+    return nodes.select("*", k.alias("place"), x.alias("x"), F.when((k == 0) | (n == 2), 0.0).otherwise(ry * F.sin(angle)).alias("y"))

@@ -62,8 +62,10 @@ def skip_unchanged(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def new_rows(rows: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose keys aren't there yet, each once: an append that can be repeated."""
-    return rows.dropDuplicates(keys).join(existing.select(*keys).distinct(), keys, "left_anti")
+    """Rows whose keys aren't there yet, each once: an append that can be repeated. Null keys equal each other."""
+    held = existing.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return rows.dropDuplicates(keys).join(held, same, "left_anti")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

@@ -58,7 +58,7 @@ def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
 
 
-@plans.add("SELECT DISTINCT title, CASE WHEN s = '' THEN 'item' ELSE s END AS slug FROM (SELECT title, substr(regexp_replace(regexp_replace(regexp_replace(strip_accents(lower(title)), '[''‘’`]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS s FROM corpus WHERE title IS NOT NULL)")
+@plans.add("SELECT DISTINCT title, CASE WHEN s = '' THEN 'item' ELSE s END AS slug FROM (SELECT title, substr(regexp_replace(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) AS s FROM corpus WHERE title IS NOT NULL)")
 def slugify_titles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "corpus").where("title IS NOT NULL").select("title").distinct().withColumn("slug", text.slugify(F.col("title")))
 
@@ -151,11 +151,11 @@ def keyword_relevance(spark: SparkSession, sf: str) -> DataFrame:
 _COS = "list_cosine_similarity({a}, {b})"
 
 
-@plans.add("WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS c FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(c, 6) AS similarity, round(1 - c, 6) AS distance, rank::INTEGER AS rank FROM r WHERE rank <= 5")
+@plans.add("WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), v) AS c FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(c, 6) AS similarity, round(1 - c, 6) AS distance, rank::INTEGER AS rank FROM r WHERE rank <= 5")
 def vector_topk_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions are every hundredth vector: a stated query set against all rows."""
+    """Questions are the vectors whose id is divisible by 20: a stated query set against all rows."""
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    top = retrieval.top_vectors(e, e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), 5, "vec_id", "query_id")
+    top = retrieval.top_vectors(e, e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 5, "vec_id", "query_id")
     return top.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.round("distance", 6).alias("distance"), "rank")
 
 
@@ -183,7 +183,6 @@ def positional_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return c.where("size(embedding) > 0").select("chunk_id", F.round(retrieval.cosine(F.col("embedding"), q), 6).alias("similarity")).where("similarity IS NOT NULL")
 
 
-N_QUESTIONS = 25
 _SEARCHABLE = "' ' || trim({n} || ' ' || array_to_string(list_transform({w}, lambda w: {l}), ' ')) || ' '"
 
 
@@ -198,7 +197,7 @@ def _relevant_sql(hay: str, words: str) -> str:
 
 _OK = "(len(ms) >= 2 OR len(list_filter(ms, lambda x: length(x) >= 8)) > 0 OR len(words) = 0)"
 HYBRID_SQL = f"""WITH ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC, crawl_batch_id DESC NULLS LAST) AS rn FROM chunks WHERE chunk_id IS NOT NULL AND len(embedding) = 96) WHERE rn = 1),
-q0 AS (SELECT chunk_id AS question_id, title, embedding AS v FROM ch WHERE chunk_index = 0 AND title IS NOT NULL ORDER BY chunk_id LIMIT {N_QUESTIONS}),
+q0 AS (SELECT chunk_id AS question_id, title, embedding AS v FROM ch WHERE chunk_index = 0 AND title IS NOT NULL AND ('0x' || substr(sha256(chunk_id), 1, 8))::BIGINT % 20 = 0),
 q1 AS (SELECT question_id, v, list_filter(list_transform({words_sql('title')}, lambda w: {lemma_sql('w')}), lambda w: length(w) > 3 AND w NOT IN ({sql_in(text.STOPWORDS)})) AS ws FROM q0),
 q AS (SELECT question_id, v, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS words FROM q1),
 s AS (SELECT question_id, words, ch.chunk_id, content, title, source_url, list_cosine_similarity(embedding, v) AS c FROM ch, q WHERE list_dot_product(embedding, embedding) > 0 AND list_dot_product(v, v) > 0),
@@ -218,9 +217,10 @@ SELECT question_id, n_chunks, n_triples, coalesce(array_to_string(texts, chr(10)
 
 
 def hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions are the titles of the first documents' lead chunks, embedded as these: a stated, fixed query set."""
+    """Questions are the titles of lead chunks whose hashed id is divisible by 20, embedded as these: a stated query set."""
     chunks = merging.latest_by(table(spark, sf, "chunks").where("chunk_id IS NOT NULL AND size(embedding) = 96"), ["chunk_id"], [F.desc("created_at"), F.desc_nulls_last("crawl_batch_id")])
-    asked = chunks.where("chunk_index = 0 AND title IS NOT NULL").orderBy("chunk_id").limit(N_QUESTIONS).select(F.col("chunk_id").alias("question_id"), F.col("title").alias("question"), "embedding")
+    numbered = F.conv(F.substring(F.sha2("chunk_id", 256), 1, 8), 16, 10).cast("long")
+    asked = chunks.where(F.expr("chunk_index = 0 AND title IS NOT NULL") & (numbered % 20 == 0)).select(F.col("chunk_id").alias("question_id"), F.col("title").alias("question"), "embedding")
     return retrieval.ground(asked, chunks, table(spark, sf, "graph_edges"))
 
 

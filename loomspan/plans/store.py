@@ -92,14 +92,16 @@ def graph_memory_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-@plans.add("""WITH half AS (SELECT *, crawl_batch_id < '8' AS old FROM graph_edges WHERE edge_id IS NOT NULL),
-l AS (SELECT DISTINCT old, source_id AS source, target_id AS target, coalesce(relation, '') AS relation FROM half WHERE coalesce(source_id, '') <> '' AND coalesce(target_id, '') <> '' AND crawl_batch_id IS NOT NULL),
+@plans.add("""WITH half AS (SELECT g.*, b.batch_seq <= (SELECT max(batch_seq) // 2 FROM crawl_batches) AS old FROM graph_edges g JOIN (SELECT crawl_batch_id, min(batch_seq) AS batch_seq FROM crawl_batches GROUP BY 1) b USING (crawl_batch_id) WHERE edge_id IS NOT NULL),
+l AS (SELECT DISTINCT old, source_id AS source, target_id AS target, coalesce(relation, '') AS relation FROM half WHERE coalesce(source_id, '') <> '' AND coalesce(target_id, '') <> ''),
 n AS (SELECT lower(source) AS s, lower(target) AS t, upper(relation) AS r, min({'source': source, 'target': target, 'relation': relation}) AS x FROM l WHERE NOT old AND NOT EXISTS (SELECT 1 FROM l o WHERE o.old AND lower(o.source) = lower(l.source) AND lower(o.target) = lower(l.target) AND upper(o.relation) = upper(l.relation)) GROUP BY ALL)
 SELECT source, target, relation FROM l WHERE old UNION ALL SELECT x.source, x.target, x.relation FROM n""")
 def graph_merge(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "graph_edges").where("edge_id IS NOT NULL AND crawl_batch_id IS NOT NULL")
-    old, new = (graph.graph_links(e.where(c)) for c in ("crawl_batch_id < '8'", "NOT crawl_batch_id < '8'"))
-    return graph.merge_links(old, new)
+    """The links of the later half of the batches merged into those of the earlier half."""
+    seq = table(spark, sf, "crawl_batches").where("crawl_batch_id IS NOT NULL").groupBy("crawl_batch_id").agg(F.min("batch_seq").alias("seq"))
+    half = int(seq.agg(F.max("seq")).first()[0] or 0) // 2
+    e = table(spark, sf, "graph_edges").where("edge_id IS NOT NULL").join(seq, "crawl_batch_id")
+    return graph.merge_links(graph.graph_links(e.where(F.col("seq") <= half)), graph.graph_links(e.where(F.col("seq") > half)))
 
 
 @plans.add(_fix(_LINKS + """, ends AS (SELECT source AS id FROM links UNION ALL SELECT target FROM links)
@@ -121,13 +123,14 @@ def neighbourhood(spark: SparkSession, sf: str) -> DataFrame:
     return graph.neighbourhood(graph.graph_links(table(spark, sf, "graph_edges")), "zakat")
 
 
-@plans.add(_fix(_LINKS + """, d AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM links UNION ALL SELECT target FROM links) GROUP BY id ORDER BY degree DESC, id LIMIT 8)
-SELECT * FROM links WHERE source IN (SELECT id FROM d) AND target IN (SELECT id FROM d)"""))
+@plans.add(f"""WITH e AS (SELECT * FROM {_EDGES} WHERE document_id IS NOT NULL),
+s AS (SELECT document_id, id, min({{'o': edge_id, 'side': side}}) AS place FROM (SELECT document_id, edge_id, 0 AS side, source_id AS id FROM e UNION ALL SELECT document_id, edge_id, 1, target_id FROM e) WHERE coalesce(id, '') <> '' GROUP BY document_id, id),
+n AS (SELECT document_id, id FROM s QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY place, id) <= 8),
+l AS (SELECT e.document_id, source_id AS source, target_id AS target, coalesce(relation, '') AS relation, min(edge_id) AS o FROM e JOIN n a ON a.document_id = e.document_id AND a.id = source_id JOIN n b ON b.document_id = e.document_id AND b.id = target_id GROUP BY ALL)
+SELECT document_id, source, target, relation FROM l QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY o, source, target, relation) <= 8""")
 def induced_subgraph(spark: SparkSession, sf: str) -> DataFrame:
-    e = _distinct_edges(spark, sf)
-    l = graph.graph_links(e)  # noqa: E741
-    top = graph.degrees(l, graph.graph_nodes(e, "edge_id")).orderBy(F.desc("degree"), "id").limit(8)
-    return graph.induced(l, top).select("source", "target", "relation")
+    """The first eight nodes of each document's graph and at most eight links between them."""
+    return graph.snippet(_distinct_edges(spark, sf).where("document_id IS NOT NULL"), "document_id", "edge_id")
 
 
 @plans.add("""WITH n AS (SELECT DISTINCT document_id, unnest([source_id || ':' || coalesce(source_type, 'Entity'), target_id || ':' || coalesce(target_type, 'Entity')]) AS x FROM graph_edges WHERE document_id IS NOT NULL AND source_id IS NOT NULL AND target_id IS NOT NULL AND relation IS NOT NULL),
@@ -148,7 +151,7 @@ def bfs_discovery(spark: SparkSession, sf: str) -> DataFrame:
 
 @plans.add("""WITH n AS (SELECT DISTINCT document_id, unnest([source_id, target_id]) AS id FROM graph_edges WHERE document_id IS NOT NULL),
 p AS (SELECT document_id, id, row_number() OVER (PARTITION BY document_id ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY document_id) AS c FROM n WHERE id IS NOT NULL)
-SELECT document_id, id, CASE WHEN k = 0 THEN 0.0 ELSE round(178 * cos(2 * pi() * (k - 1) / (c - 1) - pi() / 2), 4) + 0.0 END AS x, CASE WHEN k = 0 THEN 0.0 ELSE round(54 * sin(2 * pi() * (k - 1) / (c - 1) - pi() / 2), 4) + 0.0 END AS y FROM p""")
+SELECT document_id, id, CASE WHEN c = 2 THEN (CASE WHEN k = 0 THEN -110.0 ELSE 110.0 END) WHEN k = 0 THEN 0.0 ELSE round(178 * cos(2 * pi() * (k - 1) / (c - 1) - pi() / 2), 4) + 0.0 END AS x, CASE WHEN k = 0 OR c = 2 THEN 0.0 ELSE round(54 * sin(2 * pi() * (k - 1) / (c - 1) - pi() / 2), 4) + 0.0 END AS y FROM p""")
 def circle_layout(spark: SparkSession, sf: str) -> DataFrame:
     n = table(spark, sf, "graph_edges").where("document_id IS NOT NULL").select("document_id", F.explode(F.array("source_id", "target_id")).alias("id")).where("id IS NOT NULL").distinct()
     out = graph.ellipse_layout(n, "document_id", "id")
@@ -226,7 +229,7 @@ def attempts_append(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "crawl_attempts").where("run_id IS NOT NULL")
     keys = ["run_id", "normalized_url", "status"]
     once = merging.new_rows(a.select(*keys), a.limit(0), keys)
-    return once.unionByName(merging.new_rows(a.select(*keys).where("normalized_url IS NOT NULL AND status IS NOT NULL"), once, keys))
+    return once.unionByName(merging.new_rows(a.select(*keys), once, keys))
 
 
 _SHARD = "(row_number() OVER (ORDER BY chunk_id, created_at, document_id) - 1) // 500"
@@ -330,7 +333,7 @@ def progress(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.progress(table(spark, sf, "crawl_runs"))
 
 
-@plans.add("""WITH s AS (SELECT DISTINCT event_id, list_filter([gcs_status, bigquery_status, knowledge_catalog_status], lambda x: NOT starts_with(x, 'SKIPPED')) AS r FROM crawl_runs WHERE gcs_status IS NOT NULL AND bigquery_status IS NOT NULL AND knowledge_catalog_status IS NOT NULL)
+@plans.add("""WITH s AS (SELECT DISTINCT event_id, list_filter([gcs_status, bigquery_status, knowledge_catalog_status], lambda x: x <> 'SKIPPED_NOT_CONFIGURED') AS r FROM crawl_runs WHERE gcs_status IS NOT NULL AND bigquery_status IS NOT NULL AND knowledge_catalog_status IS NOT NULL)
 SELECT event_id, CASE WHEN len(r) = 0 THEN 'SKIPPED_NOT_CONFIGURED' WHEN len(list_filter(r, lambda x: x = 'SUCCESS')) = len(r) THEN 'SUCCESS' WHEN len(list_filter(r, lambda x: x = 'SUCCESS')) > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM s""")
 def status_rollup(spark: SparkSession, sf: str) -> DataFrame:
     names = ["gcs_status", "bigquery_status", "knowledge_catalog_status"]
@@ -361,11 +364,9 @@ def url_filters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @plans.add("""WITH r AS (SELECT DISTINCT crawl_batch_id, document_id, title, crawler, length(content) AS n FROM corpus WHERE crawl_batch_id IS NOT NULL)
-SELECT crawl_batch_id, count(DISTINCT document_id) AS n_documents, coalesce(sum(n), 0)::BIGINT AS characters, (SELECT title FROM r f WHERE f.crawl_batch_id = r.crawl_batch_id AND title IS NOT NULL ORDER BY document_id, title LIMIT 1) AS first_title, array_to_string(list_sort(list(DISTINCT crawler) FILTER (crawler IS NOT NULL)), '+') AS crawlers FROM r GROUP BY crawl_batch_id""")
+SELECT crawl_batch_id, count(DISTINCT document_id) AS n_documents, coalesce(sum(n), 0)::BIGINT AS characters, (SELECT title FROM r f WHERE f.crawl_batch_id = r.crawl_batch_id AND title IS NOT NULL ORDER BY document_id, title LIMIT 1) AS first_title, (SELECT coalesce(string_agg(crawler, '+' ORDER BY seen, crawler), '') FROM (SELECT crawler, min(document_id) AS seen FROM r f WHERE f.crawl_batch_id = r.crawl_batch_id AND crawler IS NOT NULL GROUP BY crawler)) AS crawlers FROM r GROUP BY crawl_batch_id""")
 def batch_totals(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "corpus")
-    first = c.where("crawl_batch_id IS NOT NULL AND title IS NOT NULL").groupBy("crawl_batch_id").agg(F.min(F.struct("document_id", "title"))["title"].alias("first_title"))
-    return crawl.batch_totals(c).drop("first_title").join(first, "crawl_batch_id", "left")
+    return crawl.batch_totals(table(spark, sf, "corpus"))
 
 
 # --- feedback, events ----------------------------------------------------------------------------
