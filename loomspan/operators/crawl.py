@@ -112,3 +112,57 @@ def expanded_sitemaps(pages: DataFrame, seed: str, depth: int = 3) -> DataFrame:
         level = listed.where(F.col("url").endswith(".xml")).select(F.col("url").alias("_at")).join(seen, "_at", "left_anti")
         seen = seen.unionByName(level)
     return found.distinct()
+
+
+def unique_documents(documents: DataFrame, group: str, order: str, most: int, url: str = "source_url") -> DataFrame:
+    """Documents of each group (a crawl) by normalised URL: the first one counts, of these the first ``most``. Documents
+    without a URL go. Only the columns of ``documents`` and normalized_url, place (from 1)."""
+    keyed = documents.withColumn("normalized_url", urls.normalize_url(F.col(url))).where(F.coalesce("normalized_url", F.lit("")) != "")
+    one = latest_by(keyed, [group, "normalized_url"], [F.col(order)])
+    return one.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(order, "normalized_url"))).where(F.col("place") <= most)
+
+
+def page_cap(default_pages: Column, override: Column | None = None, most: int = 3) -> Column:
+    """Pages to crawl of a source: an override, at least 1; else the source's own number, at least 1 and at most ``most``."""
+    own = F.greatest(F.least(F.coalesce(F.nullif(default_pages, F.lit(0)), F.lit(most)), F.lit(most)), F.lit(1))
+    return own if override is None else F.when(F.coalesce(override, F.lit(0)) != 0, F.greatest(override, F.lit(1))).otherwise(own)
+
+
+def in_run_repeats(documents: DataFrame, order: str) -> DataFrame:
+    """Documents with seen: whether the same document_id with the same hash came before it in its run. Null hashes equal
+    nothing."""
+    w = Window.partitionBy("crawl_batch_id", "document_id", "content_hash").orderBy(order)
+    return documents.withColumn("seen", F.col("content_hash").isNotNull() & (F.row_number().over(w) > 1))
+
+
+#: The states of an attempt in the order they come.
+STATES = ("DISCOVERED", "FETCHED", "SKIPPED_UNCHANGED", "PREPARED", "CATALOGED", "FAILED")
+
+
+def attempt_states(attempts: DataFrame) -> DataFrame:
+    """(run_id, normalized_url, status, document_id, n_states) of each URL of a run: its last state, by time and then by the
+    order of states; states that aren't known come first. Rows are reduced before the shuffle, so a listing page with a tenth
+    of all rows is no hot task."""
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in STATES]), F.col("status")), F.lit(0))
+    at = F.struct("updated_at", rank.alias("rank"), "status", "document_id")
+    out = attempts.where(F.col("run_id").isNotNull() & F.col("normalized_url").isNotNull()).groupBy("run_id", "normalized_url").agg(F.max(at).alias("m"), F.size(F.collect_set("status")).cast("long").alias("n_states"))
+    return out.select("run_id", "normalized_url", F.col("m.status").alias("status"), F.col("m.document_id").alias("document_id"), "n_states")
+
+
+def stored(status: Column) -> Column:
+    """Whether a step's status says that something was stored."""
+    s = F.upper(F.coalesce(status, F.lit("")))
+    return (s != "") & ~s.startswith("SKIPPED") & ~F.contains(s, F.lit("NOT_CONFIGURED"))
+
+
+def log_status(status: Column) -> Column:
+    """FAILED and RUNNING as they are, all else SUCCESS."""
+    return F.when(status.isin("FAILED", "RUNNING"), status).otherwise("SUCCESS")
+
+
+def either(primary: DataFrame, secondary: DataFrame, key: str, fallback: bool = True) -> DataFrame:
+    """Documents of the primary crawler; for keys it has none for, those of the secondary one, unless that is switched off."""
+    if not fallback:
+        return primary
+    rest = secondary.select(*primary.columns).join(primary.select(key).distinct(), key, "left_anti")
+    return primary.unionByName(rest)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomspan.functions import text
 from loomspan.functions.partitions import spread
@@ -67,6 +68,7 @@ def top_vectors(items: DataFrame, queries: DataFrame, k: int, item: str = "chunk
     asked = queries.select(F.col(query), F.col("embedding").cast("array<double>").alias("_q")).where((F.size("_q") > 0) & F.col(query).isNotNull())
     scanned = items.where((F.size("embedding") > 0) & F.col(item).isNotNull()).select(F.col(item).alias("i"), F.col("embedding").cast("array<double>").alias("v"))
     kinds = f"q {asked.schema[query].dataType.simpleString()}, i {scanned.schema['i'].dataType.simpleString()}, similarity double"
+    query_type = to_arrow_type(asked.schema[query].dataType)
     first = asked.first()
     if first is None:
         return scanned.sparkSession.createDataFrame([], f"{query} {asked.schema[query].dataType.simpleString()}, {item} {scanned.schema['i'].dataType.simpleString()}, similarity double, rank int, distance double")
@@ -97,7 +99,7 @@ def top_vectors(items: DataFrame, queries: DataFrame, k: int, item: str = "chunk
                     best_c, best_i = c, ids
             if kind is not None and best_c.shape[1]:
                 row, at = np.nonzero(best_c > -1.5)
-                yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in row.tolist()], pa.array(names[:1]).type), pa.array(best_i[row, at].tolist(), kind), pa.array(best_c[row, at])], names=["q", "i", "similarity"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[r] for r in row.tolist()], query_type), pa.array(best_i[row, at].tolist(), kind), pa.array(best_c[row, at])], names=["q", "i", "similarity"])
 
         parts.append(spread(scanned).mapInArrow(score, kinds))
     scored = reduce(DataFrame.unionByName, parts).select(F.col("q").alias(query), F.col("i").alias(item), "similarity")

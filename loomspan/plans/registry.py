@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspan.plans import knowledge, store
+from loomspan.plans import knowledge, service, store
 
-_ALL = (knowledge.plans, store.plans)
+_ALL = (knowledge.plans, store.plans, service.plans)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import ids, urls
-from loomspan.functions.shared import shared_dir
+from loomspan.functions.shared import scratch
 from loomspan.operators import crawl, graph, merging
 from loomspan.plans.common import Plans, newest_corpus, table
 from loomspan.plans.knowledge import NEWEST, urls_cte
@@ -16,6 +14,7 @@ from loomspan.sources import files, schemas
 from loomspan.streaming import ingest
 
 plans = Plans()
+KEYS = schemas.KEYS
 
 # --- graph ---------------------------------------------------------------------------------------
 
@@ -171,7 +170,7 @@ def _sides(spark: SparkSession, sf: str, name: str) -> tuple[DataFrame, DataFram
     return rows.join(old, "crawl_batch_id", "left_semi"), rows.join(old, "crawl_batch_id", "left_anti")
 
 
-def _state(spark: SparkSession, sf: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+def merge_state(spark: SparkSession, sf: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     target, staged = {}, {}
     for name, key in schemas.KEYS.items():
         old, staged[name] = _sides(spark, sf, name)
@@ -190,7 +189,7 @@ def _merged_sql(name: str, key: str, ts: str, keep_created: bool) -> str:
 
 @plans.add("SELECT document_id, content_hash, created_at::TIMESTAMP AS created_at FROM (" + _merged_sql("corpus", "document_id", "updated_at", True).replace(", CASE WHEN s.document_id IS NULL THEN t.document_id ELSE s.document_id END AS document_id", "") + ")")
 def upsert_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    target, staged = _state(spark, sf)
+    target, staged = merge_state(spark, sf)
     docs = merging.latest_by(staged["corpus"], ["document_id"], [F.desc_nulls_last("updated_at"), F.desc_nulls_last("content_hash")])
     return merging.upsert(target["corpus"], docs, "document_id", keep=("created_at",)).select("document_id", "content_hash", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
@@ -201,7 +200,7 @@ _D = f"d AS {_side_sql('corpus', 'document_id', 'updated_at', False)}"
 
 @plans.add(f"WITH {_D}, m AS {_side_sql('chunks', 'chunk_id', 'created_at', True)} SELECT chunk_id, document_id FROM m {_RETIRE}")
 def retire_stale(spark: SparkSession, sf: str) -> DataFrame:
-    target, staged = _state(spark, sf)
+    target, staged = merge_state(spark, sf)
     docs = merging.latest_by(staged["corpus"], ["document_id"], [F.desc("updated_at"), F.desc_nulls_last("content_hash")])
     return merging.retire_stale(target["chunks"], docs).select("chunk_id", "document_id")
 
@@ -211,14 +210,14 @@ def retire_stale(spark: SparkSession, sf: str) -> DataFrame:
     f" SELECT 'corpus' AS name, document_id AS key FROM k UNION ALL SELECT 'chunks', chunk_id FROM c m {_RETIRE} UNION ALL SELECT 'graph_edges', edge_id FROM g m {_RETIRE}"
 )
 def staged_merge(spark: SparkSession, sf: str) -> DataFrame:
-    out = merging.staged_merge(*_state(spark, sf))
+    out = merging.staged_merge(*merge_state(spark, sf))
     return merging.union_all([df.select(F.lit(n).alias("name"), F.col(schemas.KEYS[n]).alias("key")) for n, df in out.items()])
 
 
 @plans.add(f"""WITH cand AS {_side_sql('corpus', 'document_id', 'updated_at', False)}, known AS {_side_sql('corpus', 'document_id', 'updated_at', True)}
 SELECT c.document_id, CASE WHEN k.content_hash = c.content_hash THEN 'SKIPPED_UNCHANGED' WHEN k.content_hash IS NULL THEN 'NEW' ELSE 'CHANGED' END AS status FROM cand c LEFT JOIN known k ON c.document_id = k.document_id""")
 def skip_unchanged(spark: SparkSession, sf: str) -> DataFrame:
-    target, staged = _state(spark, sf)
+    target, staged = merge_state(spark, sf)
     cand = merging.latest_by(staged["corpus"], ["document_id"], [F.desc("updated_at"), F.desc_nulls_last("content_hash")])
     return merging.skip_unchanged(cand.select("document_id", "content_hash"), target["corpus"]).select("document_id", "status")
 
@@ -244,7 +243,7 @@ def shard_rows(spark: SparkSession, sf: str) -> DataFrame:
 @plans.add("SELECT event_id, rating, created_at::TIMESTAMP AS created_at FROM response_feedback WHERE event_id IS NOT NULL")
 def jsonl_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """The feedback table written as JSON lines in shards and read again in its schema."""
-    folder = f"{shared_dir(spark)}/feedback-{hash(sf) & 0xFFFFFF:x}"
+    folder = scratch(spark, "feedback")
     files.write_shards(table(spark, sf, "response_feedback"), folder, 500)
     return files.read_jsonl(spark, "response_feedback", [folder]).where("event_id IS NOT NULL").select("event_id", "rating", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
 
@@ -286,7 +285,7 @@ def latest_run_per_source(spark: SparkSession, sf: str) -> DataFrame:
 
 def _stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     """The same through a file stream: batches fold into versioned tables of the newest row a source."""
-    place = f"{shared_dir(spark)}/stream-{abs(hash((sf, 'runs'))):x}-{next(tempfile._get_candidate_names())}"
+    place = scratch(spark, "stream")
     stream = ingest.read_folder(spark, sf, schemas.TABLES["crawl_runs"], glob="crawl_runs.parquet").where("source_id IS NOT NULL") if not _is_folder(spark, f"{sf}/crawl_runs.parquet") else ingest.read_folder(spark, f"{sf}/crawl_runs.parquet", schemas.TABLES["crawl_runs"]).where("source_id IS NOT NULL")
     q = ingest.start(stream, ingest.keep_latest(f"{place}/t", ["source_id"], ["updated_at", "created_at", "event_id"]), f"{place}/c")
     q.awaitTermination()

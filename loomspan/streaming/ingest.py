@@ -78,3 +78,16 @@ def lru_replay(log: DataFrame, capacity: int, ttl_seconds: float) -> DataFrame:
             yield row()
 
     return ordered.mapInPandas(run, "scope string, hits bigint, misses bigint, sets bigint, evictions bigint, size bigint")
+
+
+def folded_answers(lines: DataFrame, key: str = "message_id", order: str = "seq") -> DataFrame:
+    """(``key``, text, n_texts, done) of answers that came as JSON events, one a line: metadata, any number of text, done.
+
+    ``lines``: ``key``, ``order``, value. Texts are joined in order. Lines that can't be read, and kinds that aren't known,
+    are passed over; an answer without a done event isn't done.
+    """
+    event = F.from_json("value", "struct<type:string,text:string>")
+    e = lines.select(key, F.col(order).alias("o"), event.alias("e")).where(F.col("e.type").isin("metadata", "text", "done"))
+    texts = F.collect_list(F.when(F.col("e.type") == "text", F.struct("o", F.coalesce("e.text", F.lit("")).alias("t"))))
+    out = e.groupBy(key).agg(F.array_sort(texts).alias("x"), F.bool_or(F.col("e.type") == "done").alias("done"))
+    return out.select(key, F.array_join(F.col("x.t"), "").alias("text"), F.size("x").cast("long").alias("n_texts"), "done")

@@ -150,3 +150,58 @@ def test_views_and_payloads(spark, sf, tmp_path):
     spark.dataSource.register(views.CrawlPayloads)
     got = spark.read.format("crawl_payloads").option("paths", str(tmp_path / "p.json")).load().collect()
     assert sorted((r.url, r.depth, r.error) for r in got) == [("u", 0, None), ("v", 0, "e")]
+
+
+def test_vectors_of_unequal_length_and_many_blocks(spark, monkeypatch):
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    data = [(f"i{k:02d}", draw.normal(size=3 if k % 4 else 2).tolist()) for k in range(40)]
+    items = spark.createDataFrame(data, "chunk_id string, embedding array<double>")
+    asked = [(k, draw.normal(size=3).tolist()) for k in range(7)]
+    q = spark.createDataFrame(asked, "query_id bigint, embedding array<double>")
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 48)  # two questions a block
+
+    def cosine(x, y):
+        n = min(len(x), len(y))
+        x, y = np.array(x[:n]), np.array(y[:n])
+        return x @ y / np.linalg.norm(x) / np.linalg.norm(y)
+
+    want = {(k, i) for k, v in asked for i, _ in sorted(data, key=lambda d: (-cosine(d[1], v), d[0]))[:5]}
+    assert {(r.query_id, r.chunk_id) for r in retrieval.top_vectors(items, q, 5).collect()} == want
+
+
+def test_holding_words(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "zakat fitrah", None), (2, "wakaf", "harta"), (3, None, None)], "id int, a string, b string")
+    words = spark.createDataFrame([("zak",), ("ta",), ("kat f",), ("",), (None,), ("ta",)], "word string")
+    monkeypatch.setattr(retrieval, "AUTOMATON_WORDS", 2)
+    got = sorted((r.id, r.word) for r in retrieval.holding_words(rows, ["a", "b"], words).collect())
+    assert got == [(1, "kat f"), (1, "zak"), (2, "ta")]
+    assert retrieval.holding_words(rows, ["a"], words.limit(0)).count() == 0
+
+
+def test_appends_can_be_repeated_with_null_keys(spark):
+    rows = spark.createDataFrame([("a", None), ("a", None), (None, "b"), ("a", "b")], "x string, y string")
+    once = merging.new_rows(rows, rows.limit(0), ["x", "y"])
+    assert once.count() == 3 and merging.new_rows(rows, once, ["x", "y"]).count() == 0
+
+
+def test_batch_totals_of_nulls(spark):
+    rows = spark.createDataFrame([("b", "d2", "T2", "z", "xx"), ("b", "d1", None, "y", None), ("b", "d3", "T3", "y", "x"), ("b", "d3", "T3", "y", "x"), (None, "d", "t", "c", "c")], "crawl_batch_id string, document_id string, title string, crawler string, content string")
+    r = crawl.batch_totals(rows).collect()
+    assert [(x.n_documents, x.characters, x.first_title, x.crawlers) for x in r] == [(3, 3, "T2", "y+z")]
+
+
+def test_two_nodes_stand_left_and_right(spark):
+    n = spark.createDataFrame([("g", "a"), ("g", "b"), ("h", "c")], "g string, id string")
+    assert sorted((r.id, r.x, r.y) for r in graph.ellipse_layout(n, "g", "id").collect()) == [("a", -110.0, 0.0), ("b", 110.0, 0.0), ("c", 0.0, 0.0)]
+
+
+def test_too_many_rows_to_take_along(spark):
+    import pytest
+
+    from loomspan.functions.partitions import bounded
+
+    assert bounded(spark.range(3), 3).count() == 3
+    with pytest.raises(ValueError):
+        bounded(spark.range(4), 3)
