@@ -197,7 +197,7 @@ def _relevant_sql(hay: str, words: str) -> str:
 
 _OK = "(len(ms) >= 2 OR len(list_filter(ms, lambda x: length(x) >= 8)) > 0 OR len(words) = 0)"
 HYBRID_SQL = f"""WITH ch AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY created_at DESC, crawl_batch_id DESC NULLS LAST) AS rn FROM chunks WHERE chunk_id IS NOT NULL AND len(embedding) = 96) WHERE rn = 1),
-q0 AS (SELECT chunk_id AS question_id, title, embedding AS v FROM ch WHERE chunk_index = 0 AND title IS NOT NULL AND ('0x' || substr(sha256(chunk_id), 1, 8))::BIGINT % 20 = 0),
+q0 AS (SELECT chunk_id AS question_id, title, embedding AS v FROM ch WHERE chunk_index = 0 AND title IS NOT NULL AND ('0x' || substr(md5(chunk_id), 1, 8))::BIGINT % 20 = 0),
 q1 AS (SELECT question_id, v, list_filter(list_transform({words_sql('title')}, lambda w: {lemma_sql('w')}), lambda w: length(w) > 3 AND w NOT IN ({sql_in(text.STOPWORDS)})) AS ws FROM q0),
 q AS (SELECT question_id, v, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS words FROM q1),
 s AS (SELECT question_id, words, ch.chunk_id, content, title, source_url, list_cosine_similarity(embedding, v) AS c FROM ch, q WHERE list_dot_product(embedding, embedding) > 0 AND list_dot_product(v, v) > 0),
@@ -219,7 +219,7 @@ SELECT question_id, n_chunks, n_triples, coalesce(array_to_string(texts, chr(10)
 def hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Questions are the titles of lead chunks whose hashed id is divisible by 20, embedded as these: a stated query set."""
     chunks = merging.latest_by(table(spark, sf, "chunks").where("chunk_id IS NOT NULL AND size(embedding) = 96"), ["chunk_id"], [F.desc("created_at"), F.desc_nulls_last("crawl_batch_id")])
-    numbered = F.conv(F.substring(F.sha2("chunk_id", 256), 1, 8), 16, 10).cast("long")
+    numbered = F.conv(F.substring(F.md5("chunk_id"), 1, 8), 16, 10).cast("long")
     asked = chunks.where(F.expr("chunk_index = 0 AND title IS NOT NULL") & (numbered % 20 == 0)).select(F.col("chunk_id").alias("question_id"), F.col("title").alias("question"), "embedding")
     return retrieval.ground(asked, chunks, table(spark, sf, "graph_edges"))
 
