@@ -55,6 +55,31 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return batches.repeats(_table(spark, sf, "corpus"), _table(spark, sf, "crawl_batches"), scratch(spark, "history"), arrivals.ARRIVALS)
 
 
+#: Brute force: all pairs of texts that share a run of words, and acceptance batch after batch.
+P3_FOUND_SQL = r"""
+WITH RECURSIVE b AS (SELECT crawl_batch_id, min(batch_seq) AS seq FROM crawl_batches GROUP BY 1),
+t AS (SELECT DISTINCT document_id, crawl_batch_id, content_hash, content, coalesce(seq, 4611686018427387904) AS seq FROM corpus LEFT JOIN b USING (crawl_batch_id)
+      WHERE document_id IS NOT NULL AND crawl_batch_id IS NOT NULL AND (content IS NOT NULL OR content_hash IS NOT NULL)),
+w AS (SELECT *, regexp_extract_all(lower(strip_accents(content)), '[\p{L}\p{N}]+') AS w FROM t),
+g AS (SELECT * EXCLUDE w, CASE WHEN content IS NULL THEN ['H:' || content_hash] WHEN len(w) = 0 THEN ['T:' || trim(content)] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM w),
+r AS MATERIALIZED (SELECT *, md5(array_to_string(list_sort(g), '|')) AS node FROM g),
+n AS MATERIALIZED (SELECT node, any_value(g) AS g, min({'s': seq, 'd': document_id, 'b': crawl_batch_id}) AS f FROM r GROUP BY node),
+u AS MATERIALIZED (SELECT node, unnest(g) AS x FROM n),
+near AS (SELECT a.node AS a, c.node AS b, count(*) AS k FROM u a JOIN u c ON a.x = c.x AND a.node < c.node GROUP BY ALL),
+pairs AS (SELECT a, b FROM near JOIN n x ON x.node = a JOIN n y ON y.node = b WHERE k >= 0.5 * (len(x.g) + len(y.g) - k)
+          UNION SELECT DISTINCT p.node, q.node FROM r p JOIN r q ON p.content_hash = q.content_hash AND p.node < q.node),
+links AS MATERIALIZED (SELECT CASE WHEN x.f.s > y.f.s THEN a ELSE b END AS later, CASE WHEN x.f.s > y.f.s THEN b ELSE a END AS earlier FROM pairs JOIN n x ON x.node = a JOIN n y ON y.node = b WHERE x.f.s <> y.f.s),
+steps AS MATERIALIZED (SELECT s, row_number() OVER (ORDER BY s) AS i FROM (SELECT DISTINCT seq AS s FROM r)),
+run AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS acc UNION ALL
+        SELECT run.i + 1, list_concat(acc, coalesce((SELECT list(n.node) FROM n WHERE n.f.s = steps.s AND NOT EXISTS (SELECT 1 FROM links WHERE links.later = n.node AND list_contains(run.acc, links.earlier))), [])) FROM run JOIN steps ON steps.i = run.i + 1),
+acc AS MATERIALIZED (SELECT unnest(acc) AS node FROM (SELECT acc FROM run ORDER BY i DESC LIMIT 1)),
+kept AS (SELECT later AS node, arg_min(earlier, n.f) AS k FROM links JOIN acc ON acc.node = earlier JOIN n ON n.node = earlier WHERE later NOT IN (SELECT node FROM acc) GROUP BY later),
+cases AS (SELECT r.document_id, r.crawl_batch_id, r.content_hash, coalesce(k, r.node) AS k, n.f AS f FROM r LEFT JOIN kept USING (node) JOIN n ON n.node = coalesce(k, r.node) WHERE content IS NOT NULL AND n.f.s < r.seq),
+good AS (SELECT r.* FROM r JOIN acc USING (node) JOIN n USING (node) WHERE r.seq = n.f.s)
+SELECT DISTINCT document_id, crawl_batch_id, coalesce((SELECT min(document_id) FROM good WHERE good.node = c.k AND good.content_hash = c.content_hash), (SELECT min(document_id) FROM good WHERE good.node = c.k AND good.document_id = c.document_id), c.f.d) AS kept_document_id FROM cases c
+"""
+
 # --- 4: repeated lines ---------------------------------------------------------------------------
 
 
@@ -207,4 +232,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p4_found": P4_FOUND_SQL, "p4_cleaned": P4_CLEANED_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p8_found": P8_FOUND_SQL}
+    return {"p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p4_cleaned": P4_CLEANED_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p8_found": P8_FOUND_SQL}
