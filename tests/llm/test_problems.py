@@ -1,5 +1,6 @@
 """Each problem's operator against brute force, exact round trips and the cases of its docstring."""
 
+import glob
 import os
 from collections import defaultdict
 
@@ -691,8 +692,8 @@ def test_queries_against_sql(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("corpus", "chunks"):
-        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for path in glob.glob(f"{sf}/*.parquet"):
+        con.sql(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
     df = registry.queries()[name](spark, sf)
     want = con.sql(registry.oracle_sql()[name])
-    assert sorted(map(tuple, df.select(*want.columns).collect())) == sorted(want.fetchall())
+    assert sorted(map(tuple, df.select(*want.columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)
