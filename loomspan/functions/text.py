@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Domain vocabulary of the search normaliser (defaults of parameters).
 ALIASES = {
@@ -17,16 +18,27 @@ ALIASES = {
     "solat": "solat", "shalat": "solat", "sembahyang": "solat", "zakah": "zakat", "zakaat": "zakat",
     "ramadhan": "ramadan", "ramadzan": "ramadan", "iddah": "idah", "eddah": "idah", "idah": "idah",
 }
-PROTECTED = "quran alquran hadis sunnah syariah fiqh zakat solat puasa ramadan idah nikah rujuk talak wakaf riba qiyas ijma ijtihad syafii jakim mufti".split()
-SUFFIXES = "nyakah nyalah kah lah pun nya kan an i".split()
-PREFIXES = "memper diper meng meny men mem ber ter per peng peny pen pem di ke se".split()
+PROTECTED = (
+    "quran", "alquran", "hadis", "sunnah", "syariah", "fiqh", "zakat", "solat", "puasa", "ramadan", "idah", "nikah", "rujuk", "talak", "wakaf",
+    "riba", "qiyas", "ijma", "ijtihad", "syafii", "jakim", "mufti",
+)
+SUFFIXES = (
+    "nyakah", "nyalah", "kah", "lah", "pun", "nya", "kan", "an", "i",
+)
+PREFIXES = (
+    "memper", "diper", "meng", "meny", "men", "mem", "ber", "ter", "per", "peng", "peny", "pen", "pem", "di", "ke", "se",
+)
 STOPWORDS = (
-    "dan di ke yang adalah pada untuk atau saya apa apakah bagaimana ada tidak bila itu ini dengan oleh dari darihal tentang mengenai bagi seperti ia mereka kita "
-    "kami kamu dia dalam sebagai akan telah sudah belum sedang boleh harus wajib hukum hukumnya status mengikut menurut keputusan fatwa kebangsaan malaysia pejabat "
-    "mufti bagaimanakah siapa siapakah jawab ringkas sertakan asas rujukan sumber rasmi katalog berdasarkan"
-).split()
+    "dan", "di", "ke", "yang", "adalah", "pada", "untuk", "atau", "saya", "apa", "apakah", "bagaimana", "ada", "tidak", "bila", "itu", "ini",
+    "dengan", "oleh", "dari", "darihal", "tentang", "mengenai", "bagi", "seperti", "ia", "mereka", "kita", "kami", "kamu", "dia", "dalam",
+    "sebagai", "akan", "telah", "sudah", "belum", "sedang", "boleh", "harus", "wajib", "hukum", "hukumnya", "status", "mengikut", "menurut",
+    "keputusan", "fatwa", "kebangsaan", "malaysia", "pejabat", "mufti", "bagaimanakah", "siapa", "siapakah", "jawab", "ringkas", "sertakan",
+    "asas", "rujukan", "sumber", "rasmi", "katalog", "berdasarkan",
+)
 NOISE_MARKERS = ("cookie", "privacy policy", "javascript", "enable cookies")
-RULINGS = "HARUS HARAM WAJIB SUNAT MAKRUH SAH BATAL".split()
+RULINGS = (
+    "HARUS", "HARAM", "WAJIB", "SUNAT", "MAKRUH", "SAH", "BATAL",
+)
 # Fixed values end.
 
 #: Unicode whitespace, for trimming; Java's \s and trim() know only ASCII.
@@ -88,11 +100,14 @@ def alias(word: Column, aliases: dict[str, str] = ALIASES) -> Column:
     return F.when(word.isin(list(aliases)), F.element_at(table, word)).otherwise(word)  # the map is searched for aliases only
 
 
+# among suffixes that end alike the longer comes first in the list, so the lazy match takes the first that fits
+_TAIL, _HEAD = "^(.{4,}?)(?:" + "|".join(SUFFIXES) + ")$", "^(?:" + "|".join(PREFIXES) + ")(.{4,})$"
+_TAIL_RE, _HEAD_RE = re.compile(_TAIL), re.compile(_HEAD)
+
+
 def _stem(base: Column) -> Column:
-    keep = (F.length(base) <= 4) | base.isin(PROTECTED)
-    # among suffixes that end alike the longer comes first in the list, so the lazy match takes the first that fits
-    cut = F.regexp_replace(base, "^(.{4,}?)(?:" + "|".join(SUFFIXES) + ")$", "$1")
-    return F.when(keep, base).otherwise(F.regexp_replace(cut, "^(?:" + "|".join(PREFIXES) + ")(.{4,})$", "$1"))
+    keep = (F.length(base) <= 4) | base.isin(*PROTECTED)
+    return F.when(keep, base).otherwise(F.regexp_replace(F.regexp_replace(base, _TAIL, "$1"), _HEAD, "$1"))
 
 
 def lemma(word: Column) -> Column:
@@ -122,19 +137,10 @@ def searchable(text: Column) -> Column:
 
 
 def _lemma_of(word: str) -> str:
-    """:func:`lemma` for one word, for the Arrow path."""
+    """:func:`lemma` for one word, for the Arrow path: the same patterns."""
     base = ALIASES.get(word, word)
-    if base in PROTECTED or len(base) <= 4:
-        return base
-    for tail in SUFFIXES:
-        if base.endswith(tail) and len(base) - len(tail) >= 4:
-            base = base[: -len(tail)]
-            break
-    for head in PREFIXES:
-        if base.startswith(head) and len(base) - len(head) >= 4:
-            base = base[len(head) :]
-            break
-    return ALIASES.get(base, base)
+    stem = base if len(base) <= 4 or base in PROTECTED else _HEAD_RE.sub(r"\1", _TAIL_RE.sub(r"\1", base))
+    return ALIASES.get(stem, stem)
 
 
 class _Lemmas(dict):
@@ -158,9 +164,32 @@ def searchable_arrow(normalized: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else f"{t} {' '.join(map(_LEMMAS.__getitem__, t.split()))}".strip() for t in normalized], dtype="object")
 
 
-def keywords(text: Column, stopwords: list[str] = STOPWORDS) -> Column:
+def _normal_words(text: str) -> list[str]:
+    """The words of :func:`normalize_text`, for a short text on the driver."""
+    low = "".join(c for c in text.lower().translate(str.maketrans(_FROM, _TO)) if not "\u0300" <= c <= "\u036f")
+    return re.findall("[a-z0-9]+", re.sub(_APOSTROPHES, "", low))
+
+
+def matched_arrow(normalized: Column, words: list[str]) -> Column:
+    """:func:`matched_keywords` of a fixed list of words, from the normalised text, in one pass of Arrow batches that
+    gives back the matches only."""
+    forms = [(k, f" {' '.join(map(_lemma_of, _normal_words(k)))} ") for k in words]
+    forms = [(k, n) for k, n in forms if len(n) > 2]
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            spoken = None if t is None else f" {t} {' '.join(map(_LEMMAS.__getitem__, t.split()))}".rstrip() + " "
+            out.append(None if spoken is None else [k for k, n in forms if n in spoken])
+        return pd.Series(out, dtype="object")
+
+    return run(normalized)
+
+
+def keywords(text: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
     """Distinct lemmas of more than three letters in order of appearance, less the stop words."""
-    return F.array_distinct(F.filter(lemmas(text), lambda w: (F.length(w) > 3) & ~w.isin(stopwords)))
+    return F.array_distinct(F.filter(lemmas(text), lambda w: (F.length(w) > 3) & ~w.isin(*stopwords)))
 
 
 def keyword_forms(words: Column) -> Column:

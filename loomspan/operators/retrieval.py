@@ -139,12 +139,17 @@ def holding_words(rows: DataFrame, columns: list[str], words: DataFrame) -> Data
     return reduce(DataFrame.unionByName, parts) if parts else rows.withColumn("word", F.lit("")).limit(0)
 
 
-def relevant(df: DataFrame, haystack: Column, words: Column, forms: Column | None = None) -> DataFrame:
+def relevant(df: DataFrame, haystack: Column, words: Column | list[str], forms: Column | None = None) -> DataFrame:
     """Rows that a keyword list is about, with ``matches``. Rows without words are all kept.
 
-    ``forms``: the words' :func:`~loomspan.functions.text.keyword_forms`, where they have been made before.
+    ``forms``: the words' :func:`~loomspan.functions.text.keyword_forms`, where they have been made before. A plain
+    list of words is looked for in Arrow batches that give back the matches only.
     """
-    spoken = df.withColumn("_h", text.searchable_arrow(text.normalize_text(haystack)))
+    normal = text.normalize_text(haystack)
+    if isinstance(words, list):
+        told = df.withColumn("matches", text.matched_arrow(normal, words))
+        return told.where(text.is_relevant(F.col("matches"), F.array(*map(F.lit, words))))
+    spoken = df.withColumn("_h", text.searchable_arrow(normal))
     return spoken.withColumn("matches", text.matched_keywords(F.col("_h"), words, forms)).where(text.is_relevant(F.col("matches"), words)).drop("_h")
 
 

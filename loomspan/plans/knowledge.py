@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspan.functions import ids, text, urls
+from loomspan.functions.partitions import once
 from loomspan.operators import merging, retrieval
 from loomspan.plans.common import Plans, newest_corpus, sql_in, table
 
@@ -143,9 +144,8 @@ SELECT chunk_id, array_to_string(ms, ' ') AS matches FROM m WHERE len(ms) >= 2 O
 
 @plans.add(_MATCH)
 def keyword_relevance(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "chunks").where("content IS NOT NULL AND chunk_id IS NOT NULL").select("chunk_id", "content").distinct()
-    words = F.array(*[F.lit(w) for w in QUESTION_WORDS])
-    return retrieval.relevant(c, F.col("content"), words).select("chunk_id", F.array_join("matches", " ").alias("matches"))
+    c = once(table(spark, sf, "chunks").where("content IS NOT NULL AND chunk_id IS NOT NULL").select("chunk_id", "content"))
+    return retrieval.relevant(c, F.col("content"), list(QUESTION_WORDS)).select("chunk_id", F.array_join("matches", " ").alias("matches"))
 
 
 _COS = "list_cosine_similarity({a}, {b})"
