@@ -10,6 +10,7 @@ on the sets of word runs. What is accepted becomes history; parts are compacted
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -404,11 +405,18 @@ class History:
             if asked.isEmpty():
                 break
             most *= AGAIN
-        cases = written(_cases(known, rejected, first).join(mine.select("document_id", "crawl_batch_id").distinct(), ["document_id", "crawl_batch_id"], "left_semi"), "cases")
         kept = written(mine.join(rejected.select("node"), "node", "left_anti").join(first, "node").where(F.col("seq") == F.col("first.seq")).drop("first"), "kept")
-        self._put("records", kept)
-        self._put("hashes", kept.where(F.col("content_hash").isNotNull()).select(F.xxhash64("content_hash").alias("h"), "node").distinct())
-        self._put("keys", key_rows(fresh.join(rejected.select("node"), "node", "left_anti")))
+        ours = mine.select("document_id", "crawl_batch_id").distinct()
+        with ThreadPoolExecutor(4) as pool:  # none of the four needs another's result
+            cases = pool.submit(lambda: written(_cases(known, rejected, first).join(ours, ["document_id", "crawl_batch_id"], "left_semi"), "cases"))
+            parts = [
+                pool.submit(self._put, "records", kept),
+                pool.submit(self._put, "hashes", kept.where(F.col("content_hash").isNotNull()).select(F.xxhash64("content_hash").alias("h"), "node").distinct()),
+                pool.submit(self._put, "keys", key_rows(fresh.join(rejected.select("node"), "node", "left_anti"))),
+            ]
+            cases = cases.result()
+            for part in parts:
+                part.result()
         self.state.commit(taken=number, rows=self.state.values.get("rows", 0) + n)
         if len(self.state.parts("keys")) > self.most_parts:
             self.compact()
