@@ -181,7 +181,7 @@ def matched_arrow(normalized: Column, words: list[str]) -> Column:
         out = []
         for t in texts:
             spoken = None if t is None else f" {t} {' '.join(map(_LEMMAS.__getitem__, t.split()))}".rstrip() + " "
-            out.append(None if spoken is None else [k for k, n in forms if n in spoken])
+            out.append([] if spoken is None else [k for k, n in forms if n in spoken])
         return pd.Series(out, dtype="object")
 
     return run(normalized)
@@ -285,3 +285,8 @@ def chunks(c: Column, size: int = 1200, longer_than: int = 20) -> Column:
         )
 
     return F.aggregate(paragraphs(c, longer_than), start, step, lambda a: F.when(a["cur"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["cur"]))))
+
+
+def first_body(*bodies: Column) -> Column:
+    """The first of several renderings of a page that isn't blank; empty if all are."""
+    return F.coalesce(*[F.when(F.trim(b) != "", b) for b in bodies], F.lit(""))

@@ -40,26 +40,34 @@ def host(c: Column) -> Column:
     return F.regexp_replace(found, r"^www\.", "")
 
 
+def without_dots(path: Column) -> Column:
+    """A path whose ``.`` and ``..`` segments are resolved; ``..`` at the root stays there."""
+    parts = F.split(path, "/")
+    ends = F.element_at(parts, -1).isin(".", "..")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda out, x: F.when(x == ".", out).when(x == "..", F.when(F.size(out) > 1, F.slice(out, 1, F.size(out) - 1)).otherwise(out)).otherwise(F.concat(out, F.array(x))))
+    return F.concat(F.array_join(kept, "/"), F.when(ends, F.lit("/")).otherwise(F.lit("")))
+
+
 def absolutize(base: Column, href: Column) -> Column:
-    """``href`` resolved against ``base`` (absolute, //host, /path and plain forms) and normalised; empty if neither fits."""
+    """``href`` resolved against ``base`` (absolute, //host, /path, ?query and relative forms, with ``.`` and ``..``)
+    and normalised; empty if none fits."""
     h = F.replace(F.trim(href), F.lit("&amp;"), F.lit("&"))
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/:])/[^/]*$", "")
+    bare = F.regexp_replace(base, r"[?#].*$", "")
+    folder = F.regexp_replace(bare, r"(?<=[^/:])/[^/]*$", "")
     out = (
         F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), h)
         .when(h.startswith("//"), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), h))
         .when(h.startswith("/"), F.concat(root, h))
         .when(root == "", F.lit(""))
+        .when(h.startswith("?"), F.concat(bare, h))
         .otherwise(F.concat(folder, F.lit("/"), h))
     )
-    return F.when(out == "", out).otherwise(normalize_url(out))
-
-
-def wildcard(pattern: str) -> str:
-    """An anchored regular expression for a pattern in which only ``*`` is special."""
-    import re
-
-    return "^" + ".*".join(re.escape(p) for p in pattern.split("*")) + "$"
+    head = F.regexp_extract(out, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    rest = F.substring(out, F.length(head) + 1, F.length(out))
+    path, tail = F.regexp_extract(rest, r"^([^?#]*)", 1), F.regexp_extract(rest, r"^[^?#]*(.*)$", 1)
+    tidy = F.when(F.concat(path, F.lit("/")).rlike(r"/\.{1,2}/"), F.concat(head, without_dots(path), tail)).otherwise(out)
+    return F.when(out == "", out).otherwise(normalize_url(tidy))
 
 
 def matches_any(url: Column, patterns: Column) -> Column:
@@ -69,6 +77,7 @@ def matches_any(url: Column, patterns: Column) -> Column:
 
 
 def sitemap_locs(xml: Column) -> Column:
+    """The locations of a sitemap, in order."""
     return F.transform(F.regexp_extract_all(xml, F.lit(r"(?i)<loc>\s*([^<]+)\s*</loc>"), 1), lambda x: F.trim(x))
 
 
@@ -79,5 +88,8 @@ def links(html: Column, base: Column) -> Column:
     return F.filter(F.transform(usable, lambda h: absolutize(base, h)), lambda u: u != "")
 
 
-def markdown_links(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"\]\(([^)\s]+)\)"), 1)
+def feed_items(xml: Column) -> Column:
+    """Items of an RSS or Atom feed in order: structs of link and title. Items without a link have an empty one."""
+    items = F.regexp_extract_all(xml, F.lit(r"(?is)<(?:item|entry)\b[^>]*>(.*?)</(?:item|entry)>"), 1)
+    link = lambda x: F.coalesce(F.nullif(F.trim(F.regexp_extract(x, r"(?is)<link[^>]*>\s*([^<]+?)\s*</link>", 1)), F.lit("")), F.regexp_extract(x, r"(?is)<link[^>]*href=[\"']([^\"']+)", 1))
+    return F.transform(items, lambda x: F.struct(F.replace(link(x), F.lit("&amp;"), F.lit("&")).alias("link"), F.trim(F.regexp_extract(x, r"(?is)<title[^>]*>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</title>", 1)).alias("title")))

@@ -96,14 +96,13 @@ def batch_totals(corpus: DataFrame) -> DataFrame:
     return out
 
 
-def expanded_sitemaps(pages: DataFrame, seed: str, depth: int = 3) -> DataFrame:
-    """URLs listed under a sitemap: nested ``.xml`` sitemaps of the same host are followed up to ``depth``.
+def expanded_sitemaps(pages: DataFrame, seeds: str | list[str], depth: int = 3) -> DataFrame:
+    """URLs listed under some sitemaps: nested ``.xml`` sitemaps are followed up to ``depth``, on the host that lists them.
 
     ``pages``: url, body. One join a level, of the level's sitemaps only.
     """
-    home = urls.host(F.lit(seed))
-    locs = pages.select(F.col("url").alias("_at"), F.explode(urls.sitemap_locs(F.col("body"))).alias("url")).where(urls.host(F.col("url")) == home)
-    level = pages.sparkSession.createDataFrame([(seed,)], "_at string")
+    locs = pages.select(F.col("url").alias("_at"), F.explode(urls.sitemap_locs(F.col("body"))).alias("url")).where(urls.host(F.col("url")) == urls.host(F.col("_at")))
+    level = pages.sparkSession.createDataFrame([(s,) for s in ([seeds] if isinstance(seeds, str) else seeds)], "_at string")
     seen, found = level, None
     for _ in range(depth + 1):
         listed = locs.join(level, "_at", "left_semi").select("url").distinct()
@@ -166,3 +165,28 @@ def either(primary: DataFrame, secondary: DataFrame, key: str, fallback: bool =
         return primary
     rest = secondary.select(*primary.columns).join(primary.select(key).distinct(), key, "left_anti")
     return primary.unionByName(rest)
+
+
+def selected(sources: DataFrame, wanted: str) -> DataFrame:
+    """Sources by a list of ids (``1, 3``); ``all``, and an empty list, select every one. What is no number is passed over."""
+    ids = [int(x) for x in wanted.replace(",", " ").split() if x.isdigit()]
+    return sources if wanted.strip().lower() in ("", "all") else sources.where(F.col("id").isin(ids))
+
+
+def discovered(links: DataFrame, sources: DataFrame, depth: int = 2, most: int = 500) -> DataFrame:
+    """(source_id, url, depth) of the pages that are found from each source's address, breadth first by links (from_url, url).
+
+    A link is followed if it stays on the source's host; what is returned fits its patterns, too. ``most`` pages of a level
+    are opened for each source, the first by URL. One join a level, of the level's pages only.
+    """
+    s = bounded(sources.select(F.col("id").alias("source_id"), urls.normalize_url(F.col("url")).alias("seed"), urls.host(F.col("url")).alias("_host"), "include_patterns"))
+    steps = links.select(urls.normalize_url(F.col("from_url")).alias("_from"), urls.normalize_url(F.col("url")).alias("url")).where("url <> ''").distinct()
+    level = s.select("source_id", F.col("seed").alias("url"), F.lit(0).alias("depth"))
+    seen = level
+    for d in range(1, depth + 1):
+        opened = level.withColumn("_n", F.row_number().over(Window.partitionBy("source_id").orderBy("url"))).where(F.col("_n") <= most).select("source_id", F.col("url").alias("_from"))
+        found = opened.join(steps, "_from").select("source_id", "url").distinct().join(s.select("source_id", "_host"), "source_id").where(urls.host(F.col("url")) == F.col("_host")).drop("_host")
+        level = found.join(seen.select("source_id", "url"), ["source_id", "url"], "left_anti").withColumn("depth", F.lit(d))
+        seen = seen.unionByName(level)
+    fit = seen.join(s.select("source_id", "seed", "include_patterns"), "source_id").where((F.col("url") == F.col("seed")) | urls.matches_any(F.col("url"), F.col("include_patterns")))
+    return fit.select("source_id", "url", "depth")

@@ -7,12 +7,14 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.functions import models, urls
+from loomspan.functions import models, text, urls
+from loomspan.functions.partitions import bounded
 from loomspan.functions.shared import scratch
 from loomspan.operators import crawl, feedback, graph, merging, retrieval, sessions
 from loomspan.plans import store
 from loomspan.plans.common import Plans, table
 from loomspan.plans.knowledge import norm, urls_cte
+from loomspan.sources import files
 from loomspan.sources.versions import Versions
 from loomspan.streaming import ingest
 
@@ -287,3 +289,78 @@ def cited_once(spark: SparkSession, sf: str) -> DataFrame:
 @plans.add("""SELECT DISTINCT source_url, CASE WHEN contains(source_url, '#') THEN lower(regexp_extract(source_url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) || substr(cut, length(regexp_extract(cut, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) + 1) ELSE cut END AS loose FROM (SELECT source_url, regexp_replace(regexp_replace(source_url, '#.*$', ''), '/+$', '') AS cut FROM corpus WHERE source_url IS NOT NULL)""")
 def bridge_urls(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "corpus").where("source_url IS NOT NULL").select("source_url").distinct().withColumn("loose", urls.bridge_url(F.col("source_url")))
+
+
+# --- sources -------------------------------------------------------------------------------------
+
+_SITE = "regexp_extract(lower(source_url), '^([a-z]+://[^/?#]+)', 1)"
+
+
+@plans.add(f"SELECT DISTINCT trim(source_url) AS url FROM corpus WHERE source_url IS NOT NULL AND NOT contains(source_url, '&') AND {_SITE} <> ''")
+def sitemap_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """Every site's pages, listed in sitemaps that its root sitemap lists."""
+    host = F.regexp_replace(F.regexp_extract(F.lower("source_url"), "^([a-z]+://[^/?#]+)", 1), r"^[a-z]+://(www\.)?", "")
+    own = table(spark, sf, "corpus").where("source_url IS NOT NULL AND NOT contains(source_url, '&')").select("source_url", host.alias("host")).where("host <> ''").distinct()
+    loc = lambda x: F.concat(F.lit("<url><LOC> "), x, F.lit(" </LOC></url>"))
+    leaf = own.groupBy("host", F.concat(F.lit("https://"), "host", F.lit("/map-"), F.pmod(F.xxhash64("source_url"), F.lit(4)).cast("string"), F.lit(".xml")).alias("url")).agg(F.array_join(F.collect_list(loc(F.col("source_url"))), "\n").alias("body"))
+    root = leaf.groupBy(F.concat(F.lit("https://"), "host", F.lit("/sitemap.xml")).alias("url")).agg(F.array_join(F.collect_list(loc(F.col("url"))), "").alias("body"))
+    hosts = own.select("host").distinct().limit(10_001).collect()  # sites, as many as sources
+    if len(hosts) > 10_000:
+        raise ValueError("more than 10000 sites to start from")
+    return crawl.expanded_sitemaps(root.unionByName(leaf.select("url", "body")), [f"https://{h.host}/sitemap.xml" for h in hosts])
+
+
+@plans.add("SELECT DISTINCT source_url, title, source_url AS link FROM corpus WHERE source_url IS NOT NULL AND title IS NOT NULL AND NOT contains(source_url, '&') AND NOT contains(title, '<') AND trim(title) = title AND trim(source_url) = source_url AND title <> ''")
+def feed_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as entries of RSS and Atom feeds, read again."""
+    c = table(spark, sf, "corpus").where("source_url IS NOT NULL AND title IS NOT NULL AND NOT contains(source_url, '&') AND NOT contains(title, '<') AND trim(title) = title AND trim(source_url) = source_url AND title <> ''").select("source_url", "title").distinct()
+    rss = F.concat(F.lit("<rss><channel><title>t</title><link>x</link><item><title><![CDATA["), "title", F.lit("]]></title><link> "), "source_url", F.lit(" </link></item></channel></rss>"))
+    atom = F.concat(F.lit("<feed><entry><title>"), "title", F.lit('</title><link rel="self" href="'), "source_url", F.lit('"/></entry></feed>'))
+    xml = F.when(F.pmod(F.xxhash64("source_url"), F.lit(2)) == 0, rss).otherwise(atom)
+    return c.select("source_url", F.explode(urls.feed_items(xml)).alias("i")).select("source_url", "i.title", "i.link")
+
+
+@plans.add(f"""WITH {urls_cte('corpus', 'source_url')}, s AS (SELECT id, name, regexp_replace(trim(url), '/$', '') AS seed, include_patterns FROM crawl_sources),
+h AS (SELECT DISTINCT s.id, s.seed, m.canonical AS url, include_patterns FROM corpus c JOIN url_map m ON c.source_url = m.u JOIN s ON s.name = c.source_name WHERE m.canonical <> '' AND {store.HOST.replace('{c}', 'm.canonical')} = {store.HOST.replace('{c}', 's.seed')} AND m.canonical <> s.seed)
+SELECT id AS source_id, seed AS url, 0 AS depth FROM s UNION ALL SELECT id, url, 1 FROM h WHERE len(list_filter(include_patterns, lambda p: url LIKE replace(p, '*', '%'))) > 0""")
+def discovered_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that the sources' addresses link to."""
+    s = table(spark, sf, "crawl_sources")
+    links = table(spark, sf, "corpus").where("source_url IS NOT NULL").select(F.col("source_name").alias("name"), F.col("source_url").alias("target")).distinct().join(bounded(s.select("name", F.col("url").alias("from_url"))), "name")
+    return crawl.discovered(links.select("from_url", F.col("target").alias("url")), s, 2)
+
+
+@plans.add("SELECT id, name FROM crawl_sources WHERE id IN (1, 3, 5, 7)")
+def sources_selected(spark: SparkSession, sf: str) -> DataFrame:
+    return crawl.selected(table(spark, sf, "crawl_sources"), "1, 3, x, 5 7").select("id", "name")
+
+
+@plans.add("SELECT DISTINCT document_id || '/' || coalesce(content_hash, 'none') || '.md' AS name FROM corpus WHERE content IS NOT NULL AND document_id IS NOT NULL")
+def snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch(spark, "snapshots")
+    files.write_snapshots(table(spark, sf, "corpus"), folder)
+    return files.read_snapshots(spark, folder).select("name")
+
+
+@plans.add("SELECT DISTINCT source_id, url FROM crawl_attempts WHERE source_id IS NOT NULL AND url IS NOT NULL")
+def manifest(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch(spark, "manifest")
+    files.write_manifest(table(spark, sf, "crawl_attempts").where("source_id IS NOT NULL AND url IS NOT NULL"), folder)
+    return spark.read.schema("source_id bigint, url string").json(folder)
+
+
+@plans.add("SELECT DISTINCT edge_id FROM graph_edges WHERE edge_id IS NOT NULL AND source_id = 'zakat'")
+def graph_reset(spark: SparkSession, sf: str) -> DataFrame:
+    """A graph emptied and seeded again in one commit."""
+    edges = table(spark, sf, "graph_edges").where("edge_id IS NOT NULL").select("edge_id", "source_id").distinct()
+    held = Versions(spark, scratch(spark, "graph"))
+    held.put("edges", edges)
+    held.commit()
+    held.reset(edges=edges.where("source_id = 'zakat'"))
+    return held.table("edges").select("edge_id")
+
+
+@plans.add("SELECT DISTINCT document_id, crawl_batch_id, CASE WHEN trim(coalesce(title, '')) <> '' THEN title WHEN trim(coalesce(category, '')) <> '' THEN category ELSE coalesce(source_name, '') END AS body FROM corpus WHERE document_id IS NOT NULL")
+def first_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "corpus").where("document_id IS NOT NULL")
+    return c.select("document_id", "crawl_batch_id", text.first_body(F.col("title"), F.col("category"), F.col("source_name")).alias("body")).distinct()

@@ -300,11 +300,11 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 plans.put("stream_ingest", _stream_latest, plans.sql["latest_run_per_source"])
 
-_HOST = "regexp_replace(regexp_extract(lower(coalesce({c}, '')), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1), '^www\\.', '')"
+HOST = "regexp_replace(regexp_extract(lower(coalesce({c}, '')), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1), '^www\\.', '')"
 
 
 @plans.add(f"""WITH pages AS (SELECT source_url, source_name, max({{'updated_at': updated_at, 'title': title}}) AS m, count(DISTINCT document_id) AS n FROM corpus WHERE source_url IS NOT NULL GROUP BY ALL),
-j AS (SELECT s.id AS source_id, n, m FROM pages p JOIN crawl_sources s ON p.source_name = s.name OR suffix({_HOST.replace('{c}', 'p.source_url')}, {_HOST.replace('{c}', 's.url')}))
+j AS (SELECT s.id AS source_id, n, m FROM pages p JOIN crawl_sources s ON p.source_name = s.name OR suffix({HOST.replace('{c}', 'p.source_url')}, {HOST.replace('{c}', 's.url')}))
 SELECT source_id, sum(n)::BIGINT AS pages, max(m.updated_at)::TIMESTAMP AS last_updated FROM j GROUP BY source_id""")
 def infer_crawl_status(spark: SparkSession, sf: str) -> DataFrame:
     out = crawl.attributed(table(spark, sf, "corpus"), table(spark, sf, "crawl_sources"))
@@ -356,7 +356,7 @@ def candidate_union(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @plans.add(f"""SELECT DISTINCT a.source_id, a.url FROM crawl_attempts a JOIN crawl_sources s ON a.source_id = s.id
-WHERE {_HOST.replace('{c}', 'a.url')} = {_HOST.replace('{c}', 's.url')} AND len(list_filter(s.include_patterns, lambda p: a.url LIKE replace(p, '*', '%'))) > 0""")
+WHERE {HOST.replace('{c}', 'a.url')} = {HOST.replace('{c}', 's.url')} AND len(list_filter(s.include_patterns, lambda p: a.url LIKE replace(p, '*', '%'))) > 0""")
 def url_filters(spark: SparkSession, sf: str) -> DataFrame:
     a = table(spark, sf, "crawl_attempts").select("source_id", "url").distinct()
     return crawl.allowed(a, table(spark, sf, "crawl_sources"))

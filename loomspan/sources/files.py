@@ -56,3 +56,20 @@ def metadata_document(title: Column, url: Column, source: Column, links: Column,
     rows = F.transform(F.slice(links, 1, most), lambda x: F.concat(F.lit("  - "), text.yaml_string(x)))
     head = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: "), text.yaml_string(title)), F.concat(F.lit("url: "), text.yaml_string(url)), F.concat(F.lit("source: "), text.yaml_string(source)))
     return F.concat_ws("\n", head, F.lit("links:"), F.array_join(rows, "\n"), F.lit("---"))
+
+
+def write_snapshots(df: DataFrame, folder: str, key: str = "document_id", version: str = "content_hash", body: str = "content") -> None:
+    """Raw texts under ``folder``, a directory for each prefix of the key's hash; a row is named by key and version, so that the
+    versions of a document stand side by side. Rows without text or key have none."""
+    rows = df.where(F.col(body).isNotNull() & F.col(key).isNotNull()).select(F.substring(F.sha2(key, 256), 1, 2).alias("prefix"), F.concat_ws("/", key, F.concat(F.coalesce(version, F.lit("none")), F.lit(".md"))).alias("name"), F.col(body).alias("body"))
+    rows.dropDuplicates(["name"]).repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(folder)
+
+
+def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, body) of the snapshots."""
+    return spark.read.schema("prefix string, name string, body string").parquet(folder).select("name", "body")
+
+
+def write_manifest(candidates: DataFrame, folder: str) -> None:
+    """A discovery manifest: one JSON line a candidate (source_id, url), sorted by URL within each file."""
+    candidates.select("source_id", "url").distinct().sortWithinPartitions("url").write.mode("overwrite").json(folder)

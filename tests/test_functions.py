@@ -87,3 +87,27 @@ def test_spread_leaves_large_and_wide_plans_alone(spark, tmp_path, monkeypatch):
     assert spread(grouped) is grouped
     monkeypatch.setattr(partitions, "SPREAD_BYTES", 10)
     assert spread(df) is df
+
+
+def test_relative_links(spark):
+    f = lambda base, href: one(spark, urls.absolutize(F.col("b"), F.col("h")), b=base, h=href)
+    assert f("https://a.example/x/y/z", "../w") == "https://a.example/x/w"
+    assert f("https://a.example/x/y/z", "./w/./v") == "https://a.example/x/y/w/v"
+    assert f("https://a.example/x", "../../w") == "https://a.example/w"
+    assert f("https://a.example/x?a=1", "?b=2&a=1") == "https://a.example/x?a=1&b=2"
+    assert f("https://a.example/x/", "/a/../b/..") == "https://a.example/"
+    assert f("nothing", "w") == ""
+
+
+def test_feeds(spark):
+    xml = "<rss><channel><link>no</link><item><title>A &amp; B</title><link>https://a.example/?x=1&amp;y=2</link></item><item><title>C</title></item></channel></rss>"
+    assert [tuple(x) for x in one(spark, urls.feed_items(F.col("s")), s=xml)] == [("https://a.example/?x=1&y=2", "A &amp; B"), ("", "C")]
+    assert one(spark, urls.feed_items(F.col("s")), s="") == []
+
+
+def test_words_of_a_list_match_alike_on_both_paths(spark):
+    words = ["solat", "hukum puasa", "", "diperkenalkan", "syafi'i"]
+    df = spark.createDataFrame([("Sembahyang dan hukum berpuasa",), ("Mazhab Syafi'i diperkenalkannya",), ("",), (None,)], "s string")
+    normal = text.normalize_text(F.col("s"))
+    rows = df.select(text.matched_arrow(normal, words).alias("a"), text.matched_keywords(text.searchable(F.col("s")), F.array(*map(F.lit, words))).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and rows[0].a == ["solat", "hukum puasa"]

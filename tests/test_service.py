@@ -83,3 +83,13 @@ def test_answers_from_lines(spark):
     lines = [("m", 3, '{"type":"text","text":"b"}'), ("m", 1, '{"type":"text","text":"a"}'), ("m", 2, "broken"), ("m", 4, '{"type":"other"}'), ("n", 1, '{"type":"metadata"}'), ("n", 2, '{"type":"done"}')]
     got = {r.message_id: (r.text, r.n_texts, r.done) for r in ingest.folded_answers(spark.createDataFrame(lines, "message_id string, seq int, value string")).collect()}
     assert got == {"m": ("ab", 2, False), "n": ("", 0, True)}
+
+
+def test_discovery_stays_on_the_host(spark):
+    s = spark.createDataFrame([(1, "https://a.example/", ["https://a.example/n/*"])], "id bigint, url string, include_patterns array<string>")
+    links = [("https://a.example", "https://a.example/n/1"), ("https://a.example", "https://b.example/n/1"), ("https://a.example/n/1", "https://a.example/n/2/"), ("https://a.example/n/2", "https://a.example/n/3"), ("https://a.example", "https://a.example/m"), ("https://a.example/m", "https://a.example/n/4")]
+    df = spark.createDataFrame(links, "from_url string, url string")
+    got = {(r.url, r.depth) for r in crawl.discovered(df, s, 2).collect()}
+    assert got >= {("https://a.example/n/1", 1), ("https://a.example/n/2", 2), ("https://a.example/n/4", 2)} and len(got) == 4
+    assert {r.url for r in crawl.discovered(df, s, 2, most=1).collect()} >= {"https://a.example/n/1"}
+    assert [r.id for r in crawl.selected(s, "all").collect()] == [1] and crawl.selected(s, "2").count() == 0
