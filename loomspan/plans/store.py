@@ -414,7 +414,14 @@ def cache_replay(spark: SparkSession, sf: str) -> DataFrame:
     return ingest.lru_replay(e.withColumn("at", F.unix_micros("at") / 1e6), 250, 86_400)
 
 
-plans.put("cache_replay", cache_replay)
+#: The log replayed row by row: the cache is a list, what was used longest ago comes first.
+_REPLAY = """WITH RECURSIVE e AS (SELECT event_type AS scope, epoch_us(ts) / 1e6 AS at_s, user_id AS key, row_number() OVER (PARTITION BY event_type ORDER BY ts, user_id) AS i FROM events),
+c AS (SELECT scope, 0::BIGINT AS i, []::STRUCT(k BIGINT, t DOUBLE)[] AS l, 0::BIGINT AS hits, 0::BIGINT AS misses, 0::BIGINT AS evictions FROM (SELECT DISTINCT scope FROM e) UNION ALL
+ SELECT scope, i, CASE WHEN hit THEN list_append(rest, {'k': key, 't': told}) WHEN len(rest) >= 250 THEN list_append(rest[2:], {'k': key, 't': at_s}) ELSE list_append(rest, {'k': key, 't': at_s}) END,
+  hits + hit::BIGINT, misses + (NOT hit)::BIGINT, evictions + (CASE WHEN hit THEN 0 ELSE (told IS NOT NULL)::BIGINT + (len(rest) >= 250)::BIGINT END)
+ FROM (SELECT c.scope, e.i, e.key, e.at_s, hits, misses, evictions, list_filter(l, lambda x: x.k <> e.key) AS rest, list_filter(l, lambda x: x.k = e.key)[1].t AS told, coalesce(e.at_s - list_filter(l, lambda x: x.k = e.key)[1].t <= 86400, false) AS hit FROM c JOIN e ON e.scope = c.scope AND e.i = c.i + 1))
+SELECT scope, hits, misses, misses AS sets, evictions, len(l)::BIGINT AS size FROM c QUALIFY row_number() OVER (PARTITION BY scope ORDER BY i DESC) = 1"""
+plans.put("cache_replay", cache_replay, _REPLAY)
 
 
 @plans.add(f"WITH {NEWEST}, {urls_cte('corpus', 'source_url')} SELECT 'normalized:' || sha256(canonical) AS cache_key, count(*) AS n FROM newest JOIN url_map ON source_url = u GROUP BY 1")
