@@ -287,10 +287,11 @@ def _stream_latest(spark: SparkSession, sf: str) -> DataFrame:
     """The same through a file stream: batches fold into versioned tables of the newest row a source."""
     place = scratch(spark, "stream")
     stream = ingest.read_folder(spark, sf, schemas.TABLES["crawl_runs"], glob="crawl_runs.parquet").where("source_id IS NOT NULL") if not _is_folder(spark, f"{sf}/crawl_runs.parquet") else ingest.read_folder(spark, f"{sf}/crawl_runs.parquet", schemas.TABLES["crawl_runs"]).where("source_id IS NOT NULL")
-    q = ingest.start(stream, ingest.keep_latest(f"{place}/t", ["source_id"], ["updated_at", "created_at", "event_id"]), f"{place}/c")
-    q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return spark.read.parquet(f"{place}/t/v{last}").select("source_id", "run_id", "status", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+    keys, order = ["source_id"], ["updated_at", "created_at", "event_id"]
+    ingest.start(stream, ingest.keep_latest(f"{place}/t", keys, order), f"{place}/c").awaitTermination()
+    rows = ingest.latest(spark, f"{place}/t", keys, order)
+    rows = spark.createDataFrame([], schemas.schema("crawl_runs")) if rows is None else rows
+    return rows.select("source_id", "run_id", "status", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomspan.operators.merging import latest_by
+from loomspan.sources.versions import Versions
 
 
 def read_folder(spark: SparkSession, folder: str, schema: str, files: int = 1000, glob: str = "*.parquet") -> DataFrame:
@@ -21,20 +22,31 @@ def start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def keep_latest(folder: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A sink that holds the newest row of each key as versioned tables: batch n writes version n from the one
-    before. A batch that is run again writes the same version again, so replays change nothing."""
+def keep_latest(folder: str, keys: list[str], order: list[str], most_parts: int = 16) -> Callable[[DataFrame, int], None]:
+    """A sink for the newest row of each key, which :func:`latest` reads: a micro-batch, reduced to one row a key, is
+    appended as a part of a versioned table, so what it writes doesn't grow with the table; beyond ``most_parts`` the
+    parts are merged into one, and old ones deleted. A batch that is run again changes nothing."""
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if number:
-            rows = spark.read.parquet(f"{folder}/v{number - 1}").unionByName(batch)
-        latest_by(rows, keys, [F.desc(c) for c in order]).write.mode("overwrite").parquet(f"{folder}/v{number}")
+        held = Versions(batch.sparkSession, folder)
+        if held.values.get("batch", -1) >= number:
+            return
+        newest = [F.desc(c) for c in order]
+        if len(held.parts("rows")) < most_parts:
+            held.put("rows", latest_by(batch, keys, newest))
+        else:
+            held.put("rows", latest_by(held.table("rows").unionByName(batch), keys, newest), replace=True)
+        held.commit(batch=number)
 
     return each
 
 
+def latest(spark: SparkSession, folder: str, keys: list[str], order: list[str]) -> DataFrame | None:
+    """The newest row of each key that a :func:`keep_latest` sink holds; None before its first batch."""
+    held = Versions(spark, folder).table("rows")
+    return None if held is None else latest_by(held, keys, [F.desc(c) for c in order])
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Event counts and sums by window and type; events later than the watermark are dropped."""
     ts = F.col("ts").cast("timestamp")

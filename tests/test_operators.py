@@ -106,14 +106,19 @@ def test_lru_replay(spark):
 
 
 def test_stream_is_replayable(spark, tmp_path):
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    src, out = str(tmp_path / "in"), f"file://{tmp_path}/out"
     schema = "k string, v int, t int"
     for n, rows in enumerate(([("a", 1, 1), ("b", 1, 1)], [("a", 2, 2), ("a", 3, 1)])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        q = ingest.start(ingest.read_folder(spark, src, schema), ingest.keep_latest(out, ["k"], ["t", "v"]), str(tmp_path / "c"))
+        sink = ingest.keep_latest(out, ["k"], ["t", "v"], most_parts=1)
+        q = ingest.start(ingest.read_folder(spark, src, schema), sink, str(tmp_path / "c"))
         q.awaitTermination()
-        got = {(r.k, r.v) for r in spark.read.parquet(f"{out}/v{n}").collect()}
-    assert got == {("a", 2), ("b", 1)}
+        got = {(r.k, r.v) for r in ingest.latest(spark, out, ["k"], ["t", "v"]).collect()}
+    assert n == 1 and got == {("a", 2), ("b", 1)}
+    sink(spark.createDataFrame([("a", 9, 9)], schema), 1)  # the batch is run again: nothing changes
+    assert {(r.k, r.v) for r in ingest.latest(spark, out, ["k"], ["t", "v"]).collect()} == got
+    sink(spark.createDataFrame([("a", 4, 3)], schema), 2)
+    assert {(r.k, r.v) for r in ingest.latest(spark, out, ["k"], ["t", "v"]).collect()} == {("a", 4), ("b", 1)}
 
 
 def test_late_events_are_dropped_in_streams(spark, tmp_path):
