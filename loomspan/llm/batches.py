@@ -48,7 +48,7 @@ LOOKUPS = 1024
 #: Values that one scan looks up.
 AT_ONCE = 256
 #: Rows in a page of the sorted parts.
-PAGE_ROWS = 2000
+PAGE_ROWS = 250
 _ODD = mix64(np.arange(1, LANES + 1, dtype=np.uint64)) | np.uint64(1)
 _SKETCHED = "document_id string, crawl_batch_id string, content_hash string, seq bigint, has_content boolean, node bigint, keys array<bigint>, sketch binary, runs binary"
 _KEYED = "key bigint, tile int, side int, hot boolean, seq bigint, node bigint, sketch binary, fresh boolean"
