@@ -1,7 +1,7 @@
 """Problem 5: template residue, filler and notices in the place of articles.
 
-Character n-gram models of filler, placeholders, default titles, notices and natural prose give a log-likelihood
-ratio for every n-gram; residue is where windows have a high mean ratio. Placeholders are told by the shape of
+Character n-gram models of filler, placeholders, default titles, notices and natural prose (all lines of the table)
+give a log-likelihood ratio for every n-gram; residue is where windows have a high mean ratio. Placeholders are told by the shape of
 their marks, the words between them left out. Filler and placeholders exclude a row wherever they stand; a notice or
 a default title excludes it by coverage, if it stands instead of an article or is the whole title.
 """
@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,8 @@ N, TABLE_BITS, WINDOW = 4, 18, 28
 #: Placeholders: the n-grams of their shapes, and how many of them in a row have a high mean ratio.
 MARK_N, MARK_WINDOW, MARK_RATIO = 3, 3, 2.5
 BACKGROUND = 0.2
-#: The prose model is fitted on at most so many rows, so many lines of each, drawn from whole texts, and not on
-#: lines of more characters than this.
-FIT_ROWS, FIT_LINES, FIT_LENGTH = 1_500, 48, 5_000
+#: Texts are joined to about so many characters before their n-grams are counted.
+AT_ONCE = 1 << 18
 #: Mean log-likelihood ratios from which a window is filler, a line a notice, and a title or words in brackets unfilled.
 FILLER_RATIO, NOTICE_RATIO, TITLE_RATIO = 1.2, 1.0, 2.2
 #: Share of a default title's n-grams that a title must hold.
@@ -150,6 +150,9 @@ _BRACKETS = re.compile(r"\[([^\[\]\n]{3,60})\](?!\()")
 _PATH = re.compile(r"\S*/\S*")
 _SPACES = re.compile(r"[^\S\n]+")
 _DIGIT = re.compile(r"[0-9]+")
+#: What characters are, one bit each; `_KINDS` is filled as they are met.
+_IN_NAME, _NUMBER, _UPPER, _LOWER, _JOINS, _SPACE, _MET = (1 << k for k in range(7))
+_KINDS = np.zeros(0x110000, np.uint8)
 _CLOSED = re.compile(r"[.!?؟。！？…][\"'”’»)\]*_\s]*$")
 #: A line of an article: long, and closed like a sentence.
 ARTICLE_LINE = 60
@@ -193,38 +196,135 @@ def _plain(line: str) -> str:
     return f" {_DIGIT.sub('0', line.lower()).strip(_EDGES)} "
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _of_lines(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Table places of the runs inside lines, line by line, and how many each line has."""
+    breaks = np.flatnonzero(codes == 10)
+    sizes = np.maximum(np.diff(breaks, prepend=-1, append=len(codes)) - size, 0)
+    places = _hashed(codes, size)
+    inside = np.ones(len(places), bool)
+    for k in range(size):
+        at = breaks - k
+        inside[at[(at >= 0) & (at < len(places))]] = False
+    return places[np.flatnonzero(inside)], sizes
+
+
+def _line_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_grams` of each :func:`_plain` line of a text, line by line, and how many each line has."""
+    codes = _codes("\n".join([f" {x.lower().strip(_EDGES)} " for x in text.split("\n")]))
+    digit = codes - np.uint32(48) < 10
+    kept = np.flatnonzero(~(digit & np.concatenate([[False], digit[:-1]])))
+    codes = codes[kept]
+    codes[digit[kept]] = 48
+    return _of_lines(codes, N)
+
+
+def _kinds(codes: np.ndarray) -> np.ndarray:
+    kinds = _KINDS[codes]
+    new = set(codes[kinds == 0].tolist())
+    for c in new:
+        x = chr(c)
+        upper = x.isupper()
+        lower = x.islower() or x.istitle() and not upper
+        _KINDS[c] = _MET | _IN_NAME * x.isalnum() | _NUMBER * x.isdigit() | _UPPER * upper | _LOWER * lower | _JOINS * (x in "_.") | _SPACE * (x.isspace() and x != "\n")
+    return _KINDS[codes] if new else kinds
+
+
+def _line_shapes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`_shape_grams` of the lines of a text, as they are and as they are in capitals."""
+    codes = _codes(" " + text.replace("\n", " \n ") + " ")
+    kinds = _kinds(codes)
+    letter = np.concatenate([[False], (kinds & _IN_NAME) > 0, [False]])
+    name = letter[1:-1] | ((kinds & _JOINS) > 0) & letter[:-2] & letter[2:]
+    space = (kinds & _SPACE) > 0
+    begins = name & ~np.concatenate([[False], name[:-1]])
+    kept = np.flatnonzero(begins | ~(name | space & np.concatenate([[False], space[:-1]])))
+    shape, at = codes[kept], np.flatnonzero(begins[kept])
+    shape[space[kept]] = 32
+    capitals = shape.copy()
+    if len(at):
+        starts = kept[at]
+        held, long = np.bitwise_or.reduceat(kinds * name, starts), name[starts + 1]  # a space stands behind the last name
+        number = (kinds[starts] & _NUMBER) > 0
+        cased = long & ((held & (_UPPER | _LOWER)) > 0)
+        shape[at] = np.where(number, 48, np.where(cased & ((held & _LOWER) == 0), 65, 97))
+        capitals[at] = np.where(number, 48, np.where(cased, 65, 97))
+    return _of_lines(shape, MARK_N)[0], _of_lines(capitals, MARK_N)[0]
+
+
+#: The tables of fillers and of notices of one fit.
+Round = tuple[list[np.ndarray], np.ndarray]
+
+
+def count_grams(texts: Iterable[str | None], rounds: Sequence[Round] = ()) -> np.ndarray:
+    """How often the lines of texts hold each n-gram; without ``rounds`` also each n-gram of shapes, by fours: four for
+    a line as it is and one for the line in capitals. ``rounds`` leave out the lines that look like residue by them."""
+    counts = np.zeros((2, 1 << TABLE_BITS), np.int64)
+
+    def add(text: str) -> None:
+        grams, sizes = _line_grams(text)
+        sizes = sizes[sizes > 0]
+        for fillers, notice in rounds:
+            if not len(sizes):
+                return
+            starts = np.cumsum(sizes) - sizes
+            filler, said = (np.max([np.add.reduceat(t[grams], starts, dtype=np.float64) for t in tables], axis=0) / sizes for tables in (fillers, [notice]))
+            prose = (filler < FILLER_RATIO / 4) & (said < NOTICE_RATIO / 2)
+            grams, sizes = grams[np.repeat(prose, sizes)], sizes[prose]
+        counts[0] += np.bincount(grams, minlength=1 << TABLE_BITS)
+        if not rounds:
+            for weight, places in zip((4, 1), _line_shapes(text), strict=True):
+                counts[1] += weight * np.bincount(places, minlength=1 << TABLE_BITS)
+
+    held: list[str] = []
+    length = 0
+    for text in texts:
+        if text:
+            held.append(text)
+            length += len(text)
+        if length >= AT_ONCE:
+            add("\n".join(held))
+            held, length = [], 0
+    if held:
+        add("\n".join(held))
+    return counts
+
+
 class Models:
-    """Log-likelihood ratios of n-grams, filler to prose and notice to prose."""
+    """Log-likelihood ratios of n-grams, filler to prose and notice to prose.
 
-    def __init__(self, prose: Iterable[str]) -> None:
+    ``prose``: texts, or what counts their n-grams as :func:`count_grams` does, given its ``rounds``.
+    """
+
+    def __init__(self, prose: Iterable[str] | Callable[[Sequence[Round]], np.ndarray]) -> None:
+        counted = prose if callable(prose) else partial(count_grams, list(prose))
         draw = random.Random(1)
         latin = " ".join(FILLER[:3]).split()
         lorem = [_plain(x) for x in FILLER[:3]] + [_plain(" ".join(draw.choice(latin) for _ in range(12))) for _ in range(400)]  # words in any order
         told = [_plain(x) for x in FILLER[3:]]  # a model of its own: the large one would outweigh it
         notices = [_plain(x) for x in NOTICES]
-        prose = list(prose)
-        held = [_grams(_plain(x)) for x in prose]
+        rounds: list[Round] = []
+        held, shapes = counted(rounds)
         for _ in range(2):  # once more without the lines that look like residue themselves
             self.fillers = [self._ratio(lorem, held), self._ratio(told, held)]
             self.notice = self._ratio(notices, held)
-            held = [g for g in held if len(g) and max(f[g].mean() for f in self.fillers) < FILLER_RATIO / 4 and self.notice[g].mean() < NOTICE_RATIO / 2]
+            rounds.append((self.fillers, self.notice))
+            held = counted(rounds)[0]
         self.titles = self._ratio([_plain(x) for x in DEFAULT_TITLES if x.strip()], held)
         self.title_grams = [set(_grams(_plain(x)).tolist()) for x in DEFAULT_TITLES if x.strip()]
         marks = [x.strip() for line in PLACEHOLDERS.strip().split("\n") for x in line.split(" | ")]
-        self.marks = self._table([_shape_grams(f"{a}{x}{b}") for w in marks for x in {w, w.upper()} for a, b in BESIDE], [_shape_grams(f" {x} ") for x in [*prose, *(y.upper() for y in prose[::4])]])
+        self.marks = self._table([_shape_grams(f"{a}{x}{b}") for w in marks for x in {w, w.upper()} for a, b in BESIDE], shapes / 4)
         self.unfilled = self._ratio([_plain(x) for x in UNFILLED if x.strip()], held)
 
-    def _ratio(self, residue: list[str], prose: list[np.ndarray]) -> np.ndarray:
+    def _ratio(self, residue: list[str], prose: np.ndarray) -> np.ndarray:
         return self._table([_grams(x) for x in residue], prose)
 
     @staticmethod
-    def _table(residue: list[np.ndarray], prose: list[np.ndarray]) -> np.ndarray:
-        size = 1 << TABLE_BITS
-
-        def counts(grams: list[np.ndarray]) -> np.ndarray:
-            return np.bincount(np.concatenate([*grams, np.empty(0, np.int64)]), minlength=size)
-
-        a, b = counts(residue), counts(prose) + 0.1
+    def _table(residue: list[np.ndarray], prose: np.ndarray) -> np.ndarray:
+        a, b = np.bincount(np.concatenate(residue), minlength=1 << TABLE_BITS), prose + 0.1
         b = b / b.sum()
         # the small model is smoothed by the large one: n-grams it has not seen speak for prose
         a = (1 - BACKGROUND) * a / a.sum() + BACKGROUND * b
@@ -282,17 +382,10 @@ def classify(title: str | None, content: str | None, models: Models) -> str | No
     if not content:
         return None
     lines = content.split("\n")
-    text = "\n".join(f" {x.strip(_EDGES)} " for x in _DIGIT.sub("0", content.lower()).split("\n"))
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    if len(codes) < N:
-        return None
-    ends_line = codes == 10
-    number = np.cumsum(ends_line)
-    inside = (number[N - 1 :] == number[: len(codes) - N + 1]) & ~ends_line[: len(codes) - N + 1]
-    flat, line_of = _hashed(codes)[inside], number[: len(codes) - N + 1][inside]
-    sizes = np.bincount(line_of, minlength=len(lines))
+    flat, sizes = _line_grams(content)
     if not len(flat):
         return None
+    line_of = np.repeat(np.arange(len(sizes)), sizes)
     ends = np.cumsum(sizes)
     short = (sizes >= 12) & (sizes < WINDOW)
     for filler in models.fillers:
@@ -316,15 +409,23 @@ def classify(title: str | None, content: str | None, models: Models) -> str | No
     return "notice" if said >= COVERAGE * (said + article) else None
 
 
-def fit(df: DataFrame, keys: tuple[str, ...] = ("document_id", "crawl_batch_id"), content: str = "content") -> Models:
-    """Models fitted on lines of a bounded sample of rows, both drawn by hashes, so that a run gives what the last gave."""
-    n = df.count()
-    share = min(1.0, 2 * FIT_ROWS / max(1, n))
-    place = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
-    picked = df.where(F.col(content).isNotNull()).select(place.alias("p"), F.col(content).alias("c")).where(F.col("p") < int(share * (1 << 30)) + 1)
-    some = F.slice(F.array_sort(F.transform(F.split("c", "\n"), lambda x, i: F.struct(F.xxhash64("p", i).alias("h"), x.alias("x")))), 1, FIT_LINES)
-    rows = picked.select("p", F.filter(some["x"], lambda x: (F.length(x) <= FIT_LENGTH) & (F.trim(x) != "")).alias("x")).orderBy("p").limit(FIT_ROWS).toArrow()
-    return Models(line for lines in rows.column("x").to_pylist() for line in lines or ())
+def fit(df: DataFrame, content: str = "content") -> Models:
+    """Models fitted on all lines of all rows, whatever their length: n-grams are counted in three passes over the
+    contents, and sums by n-gram come to the driver."""
+    texts = spread(df.select(F.col(content).alias("c")).where("c IS NOT NULL"))
+
+    def counted(rounds: Sequence[Round]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = count_grams((t for b in batches for t in b.column("c").to_pylist()), rounds).ravel()
+            places = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(counts[places])], names=["place", "n"])
+
+        sums = texts.mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(2 << TABLE_BITS, np.int64)
+        counts[sums.column("place").to_numpy()] = sums.column("n").to_numpy()
+        return counts.reshape(2, -1)
+
+    return Models(counted)
 
 
 def residue(df: DataFrame, models: Models | None = None, keys: tuple[str, ...] = ("document_id", "crawl_batch_id"), title: str = "title", content: str = "content") -> DataFrame:
@@ -332,7 +433,7 @@ def residue(df: DataFrame, models: Models | None = None, keys: tuple[str, ...] =
 
     Null and empty titles and contents are no residue. Whole texts are read, whatever their length.
     """
-    models = models or fit(df, keys, content)
+    models = models or fit(df, content)
     kept = [f"k{i}" for i in range(len(keys))]
     rows = spread(df.select(*[F.col(k).alias(a) for k, a in zip(keys, kept, strict=True)], F.col(title).alias("t"), F.col(content).alias("c")))
     schema = rows.select(*kept, F.lit(None).cast("string").alias("kind")).schema

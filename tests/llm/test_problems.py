@@ -438,6 +438,25 @@ def test_residue_table(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("texts", [[f"Perkara {chr(97 + k % 26)}{chr(97 + k // 26 % 26)} yang sah" for k in range(4_000)], ["\n".join(f"Baris {chr(97 + k % 26)}{chr(97 + k // 26)} itu" for k in range(100))], ["Zakat itu wajib.", "harta wakaf " * 500]], ids=["rows", "lines", "long line"])
+def test_prose_is_fitted_on_all_lines(spark, texts):
+    df = spark.createDataFrame([(str(k), "b", x) for k, x in enumerate([*texts, None, ""])], "document_id string, crawl_batch_id string, content string")
+    m, whole = residue.fit(df.repartition(3)), residue.Models([x for t in texts for x in t.split("\n")])
+    for a, b in zip([*m.fillers, m.notice, m.titles, m.unfilled, m.marks], [*whole.fillers, whole.notice, whole.titles, whole.unfilled, whole.marks], strict=True):
+        assert (a == b).all()
+    grams = residue._grams(residue._plain(texts[-1].split("\n")[-1]))
+    assert m.notice[grams].mean() < -1  # the last line has been seen
+
+
+def test_grams_are_counted_line_by_line():
+    texts = [*PROSE[:3], "A.B c_d 12.5a v2 KATA", "\n 1_\r\n\n## Tajuk 2024-10\t x \u00a0 y\nab", "_", "__NAMA__ {{ x }}\n\u0643\u0650\u062a", "Σας ΑΣ\n字", None, ""]
+    grams, shapes = residue.count_grams(texts)
+    lines = [x for t in texts if t for x in t.split("\n")]
+    count = lambda found: np.bincount(np.concatenate(found), minlength=len(grams))
+    assert (grams == count([residue._grams(residue._plain(x)) for x in lines])).all()
+    assert (shapes == 4 * count([residue._shape_grams(f" {x} ") for x in lines]) + count([residue._shape_grams(f" {x.upper()} ") for x in lines])).all()
+
+
 # --- 6 -------------------------------------------------------------------------------------------
 
 
