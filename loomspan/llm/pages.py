@@ -13,7 +13,8 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ _ENDED = re.compile(r"[.!?؟۔。！？…][\"'”’»)\]*_\s]*$")
 _ITEM = re.compile(r"^\s*(?:[-*•+]\s+|\(?(?:\d{1,3}|[a-zA-Z]|[ivx]{1,4})[.)]\s+)")
 _MENU = re.compile(r"^[^.!?:]{1,40}(?:\s+(?:\||»|›|>|/|•|·|::)\s+[^.!?:]{1,40}){2,}$")
 _CRUMB = re.compile(r"^(?:\S+ ){0,4}\S+\s+(?:›|»|>)\s+|^(?:anda di sini|you are here|anda berada di)\b", re.I)
+_SEPARATED = re.compile(r"[|»›>/•·:](?::\s|(?<!:)\s)")  # in every menu, and in every crumb that no words open
+_HERE = re.compile(r"anda di|you are|anda ber", re.I)
 
 # How furniture lines begin or what they consist of (Malay, Indonesian, English).
 _OPENINGS = """
@@ -73,12 +76,13 @@ menu | iklan | cetak | e-mel | kongsi | share | tweet | facebook | whatsapp | te
 # Fixed values end.
 
 
-def _starts(words: str) -> re.Pattern[str]:
+def _starts(words: str) -> tuple[re.Pattern[str], set[str]]:
+    """What matches the listed openings, and the first two characters of each."""
     parts = sorted({p.strip() for line in words.strip().split("\n") for p in line.split(" | ") if p.strip()}, key=len, reverse=True)
-    return re.compile("(?:" + "|".join(re.escape(p) + (r"(?!\w)" if p[-1].isalnum() else "") for p in parts) + ")")
+    return re.compile("(?:" + "|".join(re.escape(p) + (r"(?!\w)" if p[-1].isalnum() else "") for p in parts) + ")"), {p[:2] for p in parts}
 
 
-_OPENING = _starts(_OPENINGS)
+_OPENING, _OPENS = _starts(_OPENINGS)
 _ALONE = {p.strip() for p in _WHOLE.strip().split("|")}
 _ADDRESS = re.compile(r"^[^.!?]{3,60}, (?:aras|tingkat|level|lantai|blok|block|suite)\b[^.!?]*$|,\s*(?:jalan|jln\.?|lorong|poskod)\s[^.!?]{0,40}$|,[^.!?,]{0,40}\s(?:street|road)$", re.I)
 _ASIDE = re.compile(r"(?:iklan|advertisement|ditaja|sponsored)\W*$", re.I)
@@ -88,6 +92,7 @@ _HEADING = re.compile(r"^\s*(?:#{1,6}\s+\S|\*\*[^*]+\*\*\s*$)")
 _DATE = re.compile(r"\b\d{1,2}\s?[/.\-]\s?\d{1,2}\s?[/.\-]\s?\d{2,4}\b|\b\d{1,2}[:.]\d{2}\b")
 _LABEL = re.compile(r"^(?:[^\W\d_]+\.?[\s/-])?[^\W\d_]+\.?\s?[:：]\s|^(?:[^\W\d_]+\.?[\s/-]){0,4}[^\W\d_]+\s?[:：]$")
 _HASH = re.compile(r"(?:^|\s)#[^\W\d]")
+_WORD = re.compile(r"\w+")
 _TOPICS = re.compile(r"^(?:\s*#\w[\w-]*)+\s*$")
 
 
@@ -105,6 +110,15 @@ def _unlinked(line: str) -> str:
     return (_LINK.sub("", line) if "](" in line else line).lstrip(_BEFORE).rstrip(_AFTER)
 
 
+def _is_menu(text: str) -> bool:
+    return bool(_SEPARATED.search(text) and _MENU.match(text) or (_HERE.match(text) or _SEPARATED.search(text)) and _CRUMB.match(text))
+
+
+def _ended(text: str) -> bool:
+    """Whether a line ends like a sentence."""
+    return not text[-1:].isalnum() and bool(_ENDED.search(text[-16:]))
+
+
 def is_furniture(line: str) -> bool:
     """Whether a line alone tells that it is page furniture."""
     low = plain(line).lower()
@@ -115,7 +129,8 @@ def is_furniture(line: str) -> bool:
     if len(low) >= LONG:
         return False
     low = " ".join(low.split())
-    return bool(_OPENING.match(low) or low in _ALONE or _ASIDE.fullmatch(low) or _MENU.match(low) or _CRUMB.match(low) or _TOPICS.match(line) or _ADDRESS.search(low))
+    opens = low[:2] in _OPENS or low[:1] in _OPENS
+    return bool(opens and _OPENING.match(low) or low in _ALONE or _ASIDE.fullmatch(low) or _is_menu(low) or "#" in line and _TOPICS.match(line) or "," in low and _ADDRESS.search(low))
 
 
 def _same(a: str, b: str) -> bool:
@@ -123,7 +138,7 @@ def _same(a: str, b: str) -> bool:
 
 
 def _key(text: str) -> str:
-    return " ".join(re.findall(r"\w+", text.lower()))
+    return " ".join(_WORD.findall(text.lower()))
 
 
 def _shaped(line: str, text: str, bare: str) -> bool:
@@ -132,79 +147,95 @@ def _shaped(line: str, text: str, bare: str) -> bool:
         return True  # nothing but links
     if len(text) >= LONG:
         return False
-    if _MENU.match(text) or _CRUMB.match(text) or _TOPICS.match(line):
+    if _is_menu(text) or "#" in line and _TOPICS.match(line):
         return True
-    if _REFERENCE.match(text) or _QUOTE_LINE.match(line) or _ITEM.match(line) or _HEADING.match(line):
+    colon = ":" in text or "：" in text
+    if colon and _REFERENCE.match(text) or _QUOTE_LINE.match(line) or _ITEM.match(line) or _HEADING.match(line):
         return False
     if unicodedata.category((line.lstrip(" \t>*_-") or " ")[0]) in ("So", "Sc", "Sm"):
         return True  # an icon, a copyright mark, an arrow
-    if _ENDED.search(text[-16:]):
+    if _ended(text):
         return False
-    if _LABEL.match(text) or _HASH.search(text) or _DATE.search(text):
+    if colon and _LABEL.match(text) or "#" in text and _HASH.search(text):
+        return True
+    digits = sum(map(str.isdigit, text))
+    if not digits:
+        return not _LETTER.search(text)
+    if _DATE.search(text):
         return True
     words = text.split()
     if len(words) <= 6 and any(w.strip(".,()").isdigit() for w in words):
         return True  # a counter
-    return sum(c.isdigit() for c in text) >= 0.3 * sum(c.isalnum() for c in text)
+    return digits >= 0.3 * sum(map(str.isalnum, text))
 
 
-def window_sums(size: np.ndarray) -> np.ndarray:
+def window_sums(size: Sequence[int]) -> list[int]:
     """For each line the text length of the window around it."""
-    upto, at = np.concatenate([[0], np.cumsum(size)]), np.arange(len(size))
-    return upto[np.minimum(at + BLOCK // 2 + 1, len(size))] - upto[np.maximum(at - BLOCK // 2, 0)]
+    upto, n = [0, *accumulate(size)], len(size)
+    return [upto[min(i + BLOCK // 2 + 1, n)] - upto[max(i - BLOCK // 2, 0)] for i in range(n)]
 
 
-def text_block(size: np.ndarray, closed: np.ndarray) -> tuple[int, int] | None:
+def text_block(size: Sequence[int], closed: Sequence[bool]) -> tuple[int, int] | None:
     """(first, last) line of text between the first surge and the last dive of the window sums; None without text.
 
     The page's level is the window sum that its median character stands in. ``closed``: lines that end like a sentence.
     """
     sums = window_sums(size)
-    order = np.argsort(sums, kind="stable")
-    upto = np.cumsum(size[order])
-    level = sums[order][np.searchsorted(upto, upto[-1] / 2)]
-    high = sums >= max(LEAST_SURGE, LEVEL_SHARE * level)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], high.astype(np.int8), [0]])))
+    order = sorted(range(len(size)), key=sums.__getitem__)
+    half = sum(size) / 2
+    level = next(sums[i] for i, upto in zip(order, accumulate(size[i] for i in order), strict=True) if upto >= half)
+    surge = max(LEAST_SURGE, LEVEL_SHARE * level)
+    high = [s >= surge for s in sums]
+    block = list(accumulate(not h for h in high))  # the same for lines with no low one between them
     for least in (PARAGRAPH, SHORT_PARAGRAPH):
-        dense = high & (size >= least) & closed
-        blocks = [(a, b, int(size[a:b][dense[a:b]].sum())) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-        most = max((m for _, _, m in blocks), default=0)
-        if most:
-            kept = [(a, b) for a, b, m in blocks if m >= MASS * most]
-            inside = kept[0][0] + np.flatnonzero(dense[kept[0][0] : kept[-1][1]])
-            return int(inside[0]), int(inside[-1])
+        dense = [i for i, h in enumerate(high) if h and size[i] >= least and closed[i]]
+        if dense:
+            mass: Counter[int] = Counter()
+            for i in dense:
+                mass[block[i]] += size[i]
+            most = max(mass.values())
+            kept = [i for i in dense if mass[block[i]] >= MASS * most]
+            return kept[0], kept[-1]
     return None
 
 
-def article_lines(content: str, title: str | None = None, listed: Callable[[str], bool] = is_furniture) -> np.ndarray:
-    """For each line (separated by line feeds) whether it belongs to the article; blank lines don't.
+class _Each(dict):
+    """What holds for a line, worked out when it is asked for, and once."""
 
-    ``listed`` tells of a line alone that it is furniture.
-    """
-    lines = content.split("\n")
-    out = np.zeros(len(lines), bool)
+    def __init__(self, of: Callable[[int], object]) -> None:
+        self.of = of
+
+    def __missing__(self, k: int) -> object:
+        value = self[k] = self.of(k)
+        return value
+
+
+def _article(lines: list[str], title: str | None, listed: Callable[[str], bool]) -> tuple[list[int], list[bool]]:
+    """The lines with a letter or digit, and for each whether it belongs to the article."""
     rows = [i for i, x in enumerate(lines) if _LETTER.search(x)]
-    if not rows:
-        return out
     n = len(rows)
-    texts, bare = [plain(lines[i]) for i in rows], [_unlinked(lines[i]) for i in rows]
-    size = np.array([len(x) for x in bare])
-    closed = np.array([bool(_ENDED.search(x[-16:])) for x in texts])
+    out = [False] * n
+    if not rows:
+        return rows, out
+    held = [lines[i] for i in rows]
+    bare = [_unlinked(x) for x in held]
+    texts = [plain(x) if "](" in x or "<" in x else b for x, b in zip(held, bare, strict=True)]
+    size = [len(x) for x in bare]
+    # most lines far from the article's ends are never asked about
+    closed, keys = _Each(lambda k: _ended(texts[k])), _Each(lambda k: _key(texts[k]))
     block = text_block(size, closed)
     first, last = block or (n, -1)
     name = _key(title or "")
-    head = next((i for i in range(min(n, first + 1)) if name and _same(_key(texts[i]), name)), None)
+    head = next((i for i in range(min(n, first + 1)) if _same(keys[i], name)), None) if name else None
     if block is None:
         if head is not None:
-            out[rows[head]] = True
-        return out
-    shaped = [_shaped(lines[i], t, b) for i, t, b in zip(rows, texts, bare, strict=True)]
-    known = [listed(lines[i]) for i in rows]
-    again = Counter(_key(t) for t, n_chars, c in list(zip(texts, size, closed, strict=True))[first : last + 1] if not c and n_chars < PARAGRAPH)
-    marked = [bool(_HEADING.match(lines[i]) or _ITEM.match(lines[i])) for i in rows]
-    odd = [shaped[k] or known[k] or (not closed[k] and not marked[k] and again[_key(texts[k])] > 1) for k in range(n)]
+            out[head] = True
+        return rows, out
+    shaped, known = _Each(lambda k: _shaped(held[k], texts[k], bare[k])), _Each(lambda k: listed(held[k]))
+    again = Counter(keys[k] for k in range(first, last + 1) if size[k] < PARAGRAPH and not closed[k])
+    odd = _Each(lambda k: shaped[k] or known[k] or (not closed[k] and again[keys[k]] > 1 and not (_HEADING.match(held[k]) or _ITEM.match(held[k]))))
     # a line that reads on: a sentence, a labelled note, a quotation, an item
-    on = [not odd[k] and bool((size[k] >= PARAGRAPH and closed[k]) or _REFERENCE.match(texts[k]) or _QUOTE_LINE.match(lines[i]) or (size[k] and _ITEM.match(lines[i]))) for k, i in enumerate(rows)]
+    on = _Each(lambda k: not odd[k] and bool((size[k] >= PARAGRAPH and closed[k]) or _REFERENCE.match(texts[k]) or _QUOTE_LINE.match(held[k]) or (size[k] and _ITEM.match(held[k]))))
     # the dive's window: back over furniture, then on over lines that read on
     while last > first and odd[last]:
         last -= 1
@@ -220,20 +251,32 @@ def article_lines(content: str, title: str | None = None, listed: Callable[[str]
     start = head
     if start is None:
         above = [i for i in range(first) if not odd[i]]
-        headings = [i for i in above if _HEADING.match(lines[rows[i]])]
+        headings = [i for i in above if _HEADING.match(held[i])]
         start = headings[0] if headings else above[-1] if above and size[above[-1]] > 15 else first
     for i in range(start, last + 1):
-        out[rows[i]] = not odd[i]
+        out[i] = not odd[i]
     if head is not None:
-        out[rows[head]] = True
+        out[head] = True
+    return rows, out
+
+
+def article_lines(content: str, title: str | None = None, listed: Callable[[str], bool] = is_furniture) -> np.ndarray:
+    """For each line (separated by line feeds) whether it belongs to the article; blank lines don't.
+
+    ``listed`` tells of a line alone that it is furniture; it isn't asked about lines that something else decides.
+    """
+    lines = content.split("\n")
+    out = np.zeros(len(lines), bool)
+    rows, inside = _article(lines, title, listed)
+    out[rows] = inside
     return out
 
 
-def furniture_lines(df: DataFrame, keys: tuple[str, ...] = ("document_id", "crawl_batch_id"), title: str = "title", content: str = "content", unless: Callable[[str | None, str], bool] | None = None) -> DataFrame:
+def furniture_lines(df: DataFrame, keys: tuple[str, ...] = ("document_id", "crawl_batch_id"), title: str = "title", content: str = "content", unless: Callable[[list[str | None], list[str]], list[bool]] | None = None) -> DataFrame:
     """``keys`` and line_no (from 0, blank lines included) of every line with a letter or digit outside the article.
 
-    Null and empty contents have no lines. A repeated row gives its lines again. ``unless`` tells of a title and a
-    content that the row is to be left out.
+    Null and empty contents have no lines. A repeated row gives its lines again. ``unless`` tells of titles and
+    contents which rows are to be left out.
     """
     kept = [f"k{i}" for i in range(len(keys))]
     rows = spread(df.where(F.col(content).isNotNull()).select(*[F.col(k).alias(a) for k, a in zip(keys, kept, strict=True)], F.col(title).alias("t"), F.col(content).alias("c")))
@@ -242,13 +285,14 @@ def furniture_lines(df: DataFrame, keys: tuple[str, ...] = ("document_id", "craw
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, number = [], []
-            for r, (t, c) in enumerate(zip(b.column("t").to_pylist(), b.column("c").to_pylist(), strict=True)):
-                if unless is not None and unless(t, c):
+            titles, contents = b.column("t").to_pylist(), b.column("c").to_pylist()
+            left_out = unless(titles, contents) if unless else [False] * len(titles)
+            for r, (t, c) in enumerate(zip(titles, contents, strict=True)):
+                if left_out[r]:
                     continue
-                inside = article_lines(c, t)
-                for k, line in enumerate(c.split("\n")):
-                    if not inside[k] and _LETTER.search(line):
-                        row.append(r), number.append(k)
+                outside = [k for k, inside in zip(*_article(c.split("\n"), t, is_furniture), strict=True) if not inside]
+                row += [r] * len(outside)
+                number += outside
             yield pa.RecordBatch.from_arrays([*b.select(kept).take(pa.array(row, pa.int64())).columns, pa.array(number, pa.int64())], names=[*kept, "line_no"])
 
     return rows.mapInArrow(run, schema).select(*[F.col(a).alias(k) for k, a in zip(keys, kept, strict=True)], "line_no")

@@ -26,7 +26,7 @@ _KEYS = ("document_id", "crawl_batch_id")
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     corpus = _table(spark, sf, "corpus").select(*_KEYS, "title", "content")
     models = residue.fit(corpus)
-    return pages.furniture_lines(once(corpus), _KEYS, unless=lambda t, c: residue.classify(t, c, models) is not None)
+    return pages.furniture_lines(once(corpus), _KEYS, unless=lambda t, c: [kind is not None for kind in residue.classify_all(t, c, models)])
 
 
 def p1_bodies(spark: SparkSession, sf: str) -> DataFrame:

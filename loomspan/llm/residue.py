@@ -11,7 +11,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from functools import partial
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +22,19 @@ from loomspan.functions.partitions import spread
 from loomspan.llm.pages import is_furniture
 
 N, TABLE_BITS, WINDOW = 4, 18, 28
+#: The place of a run that would go from one line into the next.
+NOWHERE = 1 << TABLE_BITS
+#: Ratios are between -CLIP and CLIP; bounds of their sums are counted in units of which FINE are one.
+CLIP, FINE = 4, 1024
+#: Sums of so many bounds don't fit into half of 64 bits.
+TOO_LONG = 1 << 17
 #: Placeholders: the n-grams of their shapes, and how many of them in a row have a high mean ratio.
 MARK_N, MARK_WINDOW, MARK_RATIO = 3, 3, 2.5
 BACKGROUND = 0.2
 #: Texts are joined to about so many characters before their n-grams are counted.
 AT_ONCE = 1 << 18
+#: Rows of about so many characters are classified together.
+TOGETHER = 1 << 16
 #: Mean log-likelihood ratios from which a window is filler, a line a notice, and a title or words in brackets unfilled.
 FILLER_RATIO, NOTICE_RATIO, TITLE_RATIO = 1.2, 1.0, 2.2
 #: Share of a default title's n-grams that a title must hold.
@@ -145,14 +153,15 @@ tajuk di sini | tajuk halaman | tanpa tajuk | tiada tajuk | masukkan tajuk | jud
 
 #: Words, with what joins them to a name, and numbers: one symbol each in a shape.
 _NAME = re.compile(r"[^\W_]+(?:[_.][^\W_]+)*")
-_MARKS = re.compile(r"[{}<>$%@#|\[\]*~]|__")
+_MARKS = re.compile(r"[{}<>$%@#|\[\]*~_](?:(?<!_)|_)")  # one of them, or two low lines
 _BRACKETS = re.compile(r"\[([^\[\]\n]{3,60})\](?!\()")
-_PATH = re.compile(r"\S*/\S*")
+_PATH = re.compile(r"(?<!\S)\S*/\S*")
 _SPACES = re.compile(r"[^\S\n]+")
 _DIGIT = re.compile(r"[0-9]+")
 #: What characters are, one bit each; `_KINDS` is filled as they are met.
 _IN_NAME, _NUMBER, _UPPER, _LOWER, _JOINS, _SPACE, _MET = (1 << k for k in range(7))
 _KINDS = np.zeros(0x110000, np.uint8)
+_SITE = re.compile(r"\s+[-|–—]\s+")
 _CLOSED = re.compile(r"[.!?؟。！？…][\"'”’»)\]*_\s]*$")
 #: A line of an article: long, and closed like a sentence.
 ARTICLE_LINE = 60
@@ -200,25 +209,33 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _of_lines(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Table places of the runs inside lines, line by line, and how many each line has."""
+#: Of some lines: the table place of the run that begins at each code point (NOWHERE if it isn't inside a line), where
+#: the lines begin, and how many runs each has.
+Places = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _of_lines(codes: np.ndarray, size: int) -> Places:
     breaks = np.flatnonzero(codes == 10)
-    sizes = np.maximum(np.diff(breaks, prepend=-1, append=len(codes)) - size, 0)
-    places = _hashed(codes, size)
-    inside = np.ones(len(places), bool)
+    starts, ends = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(codes)]])
+    places = np.full(len(codes), NOWHERE)
+    runs = _hashed(codes, size)
+    places[: len(runs)] = runs
     for k in range(size):
         at = breaks - k
-        inside[at[(at >= 0) & (at < len(places))]] = False
-    return places[np.flatnonzero(inside)], sizes
-
-
-def _line_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """:func:`_grams` of each :func:`_plain` line of a text, line by line, and how many each line has."""
-    codes = _codes("\n".join([f" {x.lower().strip(_EDGES)} " for x in text.split("\n")]))
-    digit = codes - np.uint32(48) < 10
-    kept = np.flatnonzero(~(digit & np.concatenate([[False], digit[:-1]])))
-    codes = codes[kept]
-    codes[digit[kept]] = 48
+        places[at[at >= 0] if k else at] = NOWHERE
+    return places, starts, np.maximum(ends - starts - (size - 1), 0)
+
+
+def _line_grams(text: str) -> Places:
+    """:func:`_grams` of each :func:`_plain` line of a text."""
+    codes = _codes("\n".join([f" {x.strip(_EDGES)} " for x in text.lower().split("\n")]))
+    digits = np.flatnonzero(codes - np.uint32(48) < 10)
+    if len(digits):
+        codes = codes.copy()
+        codes[digits] = 48
+        kept = np.ones(len(codes), bool)
+        kept[digits[1:][np.diff(digits) == 1]] = False
+        codes = codes[kept]
     return _of_lines(codes, N)
 
 
@@ -233,8 +250,12 @@ def _kinds(codes: np.ndarray) -> np.ndarray:
     return _KINDS[codes] if new else kinds
 
 
-def _line_shapes(text: str) -> tuple[np.ndarray, np.ndarray]:
+def _line_shapes(text: str) -> tuple[Places, Places]:
     """:func:`_shape_grams` of the lines of a text, as they are and as they are in capitals."""
+    return tuple(_of_lines(shape, MARK_N) for shape in _shapes(text))
+
+
+def _shapes(text: str) -> tuple[np.ndarray, np.ndarray]:
     codes = _codes(" " + text.replace("\n", " \n ") + " ")
     kinds = _kinds(codes)
     letter = np.concatenate([[False], (kinds & _IN_NAME) > 0, [False]])
@@ -252,32 +273,47 @@ def _line_shapes(text: str) -> tuple[np.ndarray, np.ndarray]:
         cased = long & ((held & (_UPPER | _LOWER)) > 0)
         shape[at] = np.where(number, 48, np.where(cased & ((held & _LOWER) == 0), 65, 97))
         capitals[at] = np.where(number, 48, np.where(cased, 65, 97))
-    return _of_lines(shape, MARK_N)[0], _of_lines(capitals, MARK_N)[0]
+    return shape, capitals
 
 
 #: The tables of fillers and of notices of one fit.
 Round = tuple[list[np.ndarray], np.ndarray]
 
 
+def _bounds(fillers: Sequence[np.ndarray], notice: np.ndarray) -> np.ndarray:
+    """For each place upper bounds of its ratios, made positive by CLIP: of filler in the upper half of 64 bits, of notice
+    in the lower. Their sums tell cheaply and surely where neither ratio is high."""
+    filler, said = (np.ceil((t.astype(np.float64) + CLIP) * FINE).astype(np.int64) for t in (np.max(fillers, axis=0), notice))
+    return np.append(filler << 32 | said, 0)
+
+
+def _may_reach(sums: np.ndarray, sizes: np.ndarray, ratio: float) -> np.ndarray:
+    """Whether the mean ratio of lines with these sums of bounds may be so high."""
+    return (sizes > 0) & ((sums >= (ratio + CLIP) * FINE * sizes - 1) | (sizes >= TOO_LONG))
+
+
+def _mean(table: np.ndarray, places: np.ndarray) -> float:
+    return float(table[places].sum(dtype=np.float64) / len(places))
+
+
 def count_grams(texts: Iterable[str | None], rounds: Sequence[Round] = ()) -> np.ndarray:
     """How often the lines of texts hold each n-gram; without ``rounds`` also each n-gram of shapes, by fours: four for
     a line as it is and one for the line in capitals. ``rounds`` leave out the lines that look like residue by them."""
-    counts = np.zeros((2, 1 << TABLE_BITS), np.int64)
+    counts = np.zeros((2, NOWHERE + 1), np.int64)
+    bounds = [_bounds(*r) for r in rounds]
 
     def add(text: str) -> None:
-        grams, sizes = _line_grams(text)
-        sizes = sizes[sizes > 0]
-        for fillers, notice in rounds:
-            if not len(sizes):
-                return
-            starts = np.cumsum(sizes) - sizes
-            filler, said = (np.max([np.add.reduceat(t[grams], starts, dtype=np.float64) for t in tables], axis=0) / sizes for tables in (fillers, [notice]))
-            prose = (filler < FILLER_RATIO / 4) & (said < NOTICE_RATIO / 2)
-            grams, sizes = grams[np.repeat(prose, sizes)], sizes[prose]
-        counts[0] += np.bincount(grams, minlength=1 << TABLE_BITS)
+        places, starts, sizes = _line_grams(text)
+        for (fillers, notice), bound in zip(rounds, bounds, strict=True):
+            sums = np.add.reduceat(bound.take(places), starts)
+            for k in np.flatnonzero(_may_reach(sums >> 32, sizes, FILLER_RATIO / 4) | _may_reach(sums & 0xFFFFFFFF, sizes, NOTICE_RATIO / 2)):
+                line = places[starts[k] : starts[k] + sizes[k]]
+                if max(_mean(t, line) for t in fillers) >= FILLER_RATIO / 4 or _mean(notice, line) >= NOTICE_RATIO / 2:
+                    line[:], sizes[k] = NOWHERE, 0
+        counts[0] += np.bincount(places, minlength=NOWHERE + 1)
         if not rounds:
-            for weight, places in zip((4, 1), _line_shapes(text), strict=True):
-                counts[1] += weight * np.bincount(places, minlength=1 << TABLE_BITS)
+            for weight, (places, _, _) in zip((4, 1), _line_shapes(text), strict=True):
+                counts[1] += weight * np.bincount(places, minlength=NOWHERE + 1)
 
     held: list[str] = []
     length = 0
@@ -290,7 +326,7 @@ def count_grams(texts: Iterable[str | None], rounds: Sequence[Round] = ()) -> np
             held, length = [], 0
     if held:
         add("\n".join(held))
-    return counts
+    return counts[:, :NOWHERE]
 
 
 class Models:
@@ -328,7 +364,15 @@ class Models:
         b = b / b.sum()
         # the small model is smoothed by the large one: n-grams it has not seen speak for prose
         a = (1 - BACKGROUND) * a / a.sum() + BACKGROUND * b
-        return np.clip(np.log(a) - np.log(b), -4, 4).astype(np.float32)
+        return np.clip(np.log(a) - np.log(b), -CLIP, CLIP).astype(np.float32)
+
+    @cached_property
+    def mark_ratios(self) -> np.ndarray:
+        return np.append(self.marks.astype(np.float64), -np.inf)  # no window goes from one line into the next
+
+    @cached_property
+    def bounds(self) -> np.ndarray:
+        return _bounds(self.fillers, self.notice)
 
     def windows(self, line: str) -> float:
         """The highest mean ratio of filler in the windows of a line."""
@@ -345,68 +389,134 @@ class Models:
         g = _grams(_plain(text))
         return float(table[g].mean()) if len(g) else -4.0
 
-
-def has_placeholder(text: str | None, models: Models) -> bool:
-    """Whether the shape of some marks, or the words in a pair of brackets, are those of an unfilled placeholder."""
-    if not text:
-        return False
-    for line in text.split("\n"):
-        if not _MARKS.search(line):
-            continue
-        ratios = models.marks[_shape_grams(f" {line} ")]
-        if len(ratios) >= MARK_WINDOW:
-            s = np.concatenate([[0], np.cumsum(ratios, dtype=np.float64)])
-            if (s[MARK_WINDOW:] - s[:-MARK_WINDOW]).max() >= MARK_RATIO * MARK_WINDOW:
-                return True
-        if any(models.mean(models.unfilled, x) >= TITLE_RATIO for x in _BRACKETS.findall(line)):
-            return True
-    return False
-
-
-def is_default_title(title: str | None, models: Models) -> bool:
-    """Whether the whole of a title, without the name of a site behind it, is what a template has before it is filled:
-    its ratio is high, and it covers most of one default title, not just a word of it."""
-    if not title:
-        return False
-    name = re.split(r"\s+[-|–—]\s+", title.strip())[0]
-    held = set(_grams(_plain(name)).tolist())
-    return models.mean(models.titles, name) >= TITLE_RATIO and any(len(held & t) >= TITLE_COVERAGE * len(t) for t in models.title_grams)
-
-
-def classify(title: str | None, content: str | None, models: Models) -> str | None:
-    """``placeholder``, ``filler``, ``notice`` or None."""
-    if has_placeholder(title, models) or is_default_title(title, models) or has_placeholder(content, models):
-        return "placeholder"
-    if title and models.windows(title) >= FILLER_RATIO:
-        return "filler"
-    if not content:
-        return None
-    lines = content.split("\n")
-    flat, sizes = _line_grams(content)
-    if not len(flat):
-        return None
+    def reaching(self, table: np.ndarray, texts: list[str], ratio: float) -> list[int]:
+        """Which of some texts have a mean ratio so high: all are summed at once, those near it are looked at."""
+        if not texts:
+            return []
+        places, starts, sizes = _line_grams("\n".join(["" if "\n" in x else x for x in texts]))
+        near = np.add.reduceat(np.append(table, np.float32(0)).take(places), starts, dtype=np.float64) >= (ratio - 0.01) * np.maximum(sizes, 1)
+        return [k for k, x in enumerate(texts) if (near[k] or "\n" in x) and self.mean(table, x) >= ratio]
+
+
+def _marked(text: str) -> list[str]:
+    """The lines of a text that hold marks."""
+    lines, at = [], 0
+    while at >= 0 and (mark := _MARKS.search(text, at)):
+        begins, at = text.rfind("\n", 0, mark.start()) + 1, text.find("\n", mark.start())
+        lines.append(text[begins:at] if at >= 0 else text[begins:])
+    return lines
+
+
+def placeholders(texts: Sequence[str], models: Models) -> set[int]:
+    """Which texts hold marks whose shape, or words in a pair of brackets that, are those of an unfilled placeholder."""
+    lines, row = [], []
+    for r, text in enumerate(texts):
+        found = _marked(text)
+        lines += found
+        row += [r] * len(found)
+    if not lines:
+        return set()
+    places, starts, _ = _of_lines(_shapes("\n".join(lines))[0], MARK_N)
+    ratios = models.mark_ratios.take(places)
+    n = max(len(ratios) - MARK_WINDOW + 1, 0)
+    high = np.flatnonzero(sum(ratios[k : n + k] for k in range(MARK_WINDOW)) >= MARK_RATIO * MARK_WINDOW)
+    out = {row[k] for k in (np.searchsorted(starts, high, "right") - 1).tolist()}
+    said = [(r, x) for r, line in zip(row, lines, strict=True) if "[" in line and r not in out for x in _BRACKETS.findall(line)]
+    return out | {said[k][0] for k in models.reaching(models.unfilled, [x for _, x in said], TITLE_RATIO)}
+
+
+def default_titles(titles: Sequence[str], models: Models) -> list[int]:
+    """Which titles, without the name of a site behind them, are as a whole what a template has before it is filled:
+    their ratio is high, and they cover most of one default title, not just a word of it."""
+    names = [_SITE.split(t.strip(), maxsplit=1)[0] for t in titles]
+    out = []
+    for k in models.reaching(models.titles, names, TITLE_RATIO):
+        held = set(_grams(_plain(names[k])).tolist())
+        if any(len(held & t) >= TITLE_COVERAGE * len(t) for t in models.title_grams):
+            out.append(k)
+    return out
+
+
+def _filler_lines(bounds: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+    """Which lines may have a window of filler, or be filler if they are shorter than a window and have ``least`` runs."""
+    upto = np.concatenate([[0], np.cumsum(bounds)])
+    short = (sizes >= least) & (sizes < WINDOW)
+    out = short & _may_reach((upto[starts + sizes] - upto[starts]) >> 32, sizes, FILLER_RATIO)
+    high = np.flatnonzero((upto[WINDOW:] - upto[:-WINDOW]) >= int((FILLER_RATIO + CLIP) * FINE * WINDOW - 1) << 32)
+    out[np.searchsorted(starts, high, "right") - 1] = True
+    return out
+
+
+def _is_filler(places: np.ndarray, sizes: np.ndarray, models: Models) -> bool:
+    flat, ends = places[places != NOWHERE], np.cumsum(sizes)
     line_of = np.repeat(np.arange(len(sizes)), sizes)
-    ends = np.cumsum(sizes)
     short = (sizes >= 12) & (sizes < WINDOW)
     for filler in models.fillers:
         s = np.concatenate([[0], np.cumsum(filler[flat], dtype=np.float64)])
         if len(flat) >= WINDOW:
             mean = (s[WINDOW:] - s[:-WINDOW]) / WINDOW
             if ((mean >= FILLER_RATIO) & (line_of[: len(mean)] == line_of[WINDOW - 1 :])).any():
-                return "filler"
+                return True
         if (short & ((s[ends] - s[ends - sizes]) >= FILLER_RATIO * np.maximum(sizes, 1))).any():
-            return "filler"
-    s = np.concatenate([[0], np.cumsum(models.notice[flat], dtype=np.float64)])
-    score = (s[ends] - s[ends - sizes]) / np.maximum(sizes, 1)
-    notice = (sizes >= 3) & (score >= NOTICE_RATIO)
-    for k in np.flatnonzero((sizes >= 3) & ~notice):  # the address that was asked for may stand in the words of the notice
-        if "/" in lines[k]:
-            notice[k] = models.mean(models.notice, _PATH.sub("", lines[k])) >= NOTICE_RATIO
-    if not notice.any():
-        return None
-    article = sum(len(x) for x, is_notice in zip(lines, notice, strict=True) if not is_notice and len(x) >= ARTICLE_LINE and _CLOSED.search(x[-16:]) and not is_furniture(x))
-    said = sum(len(x) for x, is_notice in zip(lines, notice, strict=True) if is_notice)
-    return "notice" if said >= COVERAGE * (said + article) else None
+            return True
+    return False
+
+
+def _classify(titles: list[str], contents: list[str], models: Models) -> list[str | None]:
+    kinds: list[str | None] = [None] * len(titles)
+    for k in {*placeholders(titles, models), *default_titles(titles, models), *placeholders(contents, models)}:
+        kinds[k] = "placeholder"
+    places, starts, sizes = _line_grams("\n".join(["" if "\n" in x else x for x in titles]))
+    may = _filler_lines(models.bounds.take(places), starts, sizes, 8)
+    for k, title in enumerate(titles):
+        if (may[k] or "\n" in title) and kinds[k] is None and models.windows(title) >= FILLER_RATIO:
+            kinds[k] = "filler"
+    places, starts, sizes = _line_grams("\n".join(contents))
+    bounds = models.bounds.take(places)
+    n_lines = np.array([x.count("\n") + 1 for x in contents])
+    upto = np.cumsum(n_lines)  # lines up to the end of each row
+    first = upto - n_lines
+    ends = np.append(starts[1:], len(places))
+    for k in set(np.searchsorted(upto, np.flatnonzero(_filler_lines(bounds, starts, sizes, 12)), "right").tolist()):
+        if kinds[k] is None and _is_filler(places[starts[first[k]] : ends[upto[k] - 1]], sizes[first[k] : upto[k]], models):
+            kinds[k] = "filler"
+    notice = (sizes >= 3) & _may_reach(np.add.reduceat(bounds, starts) & 0xFFFFFFFF, sizes, NOTICE_RATIO)
+    for k in np.flatnonzero(notice):
+        notice[k] = _mean(models.notice, places[starts[k] : starts[k] + sizes[k]]) >= NOTICE_RATIO
+    asked = [(first[k] + i, x) for k, c in enumerate(contents) if "/" in c and kinds[k] is None for i, x in enumerate(c.split("\n")) if "/" in x]
+    asked = [(i, _PATH.sub("", x)) for i, x in asked if sizes[i] >= 3 and not notice[i]]  # the address that was asked for may stand in the words of the notice
+    for k in models.reaching(models.notice, [x for _, x in asked], NOTICE_RATIO):
+        notice[asked[k][0]] = True
+    for k in set(np.searchsorted(upto, np.flatnonzero(notice), "right").tolist()):
+        if kinds[k] is None:
+            article = said = 0
+            for x, is_notice in zip(contents[k].split("\n"), notice[first[k] : upto[k]].tolist(), strict=True):
+                if is_notice:
+                    said += len(x)
+                elif len(x) >= ARTICLE_LINE and _CLOSED.search(x[-16:]) and not is_furniture(x):
+                    article += len(x)
+            if said >= COVERAGE * (said + article):
+                kinds[k] = "notice"
+    return kinds
+
+
+def classify_all(titles: Sequence[str | None], contents: Sequence[str | None], models: Models) -> list[str | None]:
+    """``placeholder``, ``filler``, ``notice`` or None for each row; a null is as an empty text."""
+    out: list[str | None] = []
+    held: list[tuple[str, str]] = []
+    length = 0
+    for t, c in zip(titles, contents, strict=True):
+        held.append((t or "", c or ""))
+        length += len(held[-1][0]) + len(held[-1][1])
+        if length >= TOGETHER:
+            out += _classify(*map(list, zip(*held, strict=True)), models)
+            held, length = [], 0
+    return out + (_classify(*map(list, zip(*held, strict=True)), models) if held else [])
+
+
+def classify(title: str | None, content: str | None, models: Models) -> str | None:
+    """The same for one row."""
+    return classify_all([title], [content], models)[0]
 
 
 def fit(df: DataFrame, content: str = "content") -> Models:
@@ -440,8 +550,7 @@ def residue(df: DataFrame, models: Models | None = None, keys: tuple[str, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kinds = [classify(t, c, models) for t, c in zip(b.column("t").to_pylist(), b.column("c").to_pylist(), strict=True)]
-            found = pa.array(kinds, pa.string())
+            found = pa.array(classify_all(b.column("t").to_pylist(), b.column("c").to_pylist(), models), pa.string())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), found], names=[*kept, "kind"]).filter(found.is_valid())
 
     return rows.mapInArrow(run, schema).select(*[F.col(a).alias(k) for k, a in zip(keys, kept, strict=True)], "kind").distinct()

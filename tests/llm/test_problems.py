@@ -110,6 +110,13 @@ def test_windows_decide(monkeypatch):
     assert pages.text_block(np.zeros(4, int), np.ones(4, bool)) is None
 
 
+def test_lines_far_from_the_article_are_not_judged():
+    asked = []
+    page = "\n".join([*(f"pautan {chr(97 + k)}" for k in range(20)), PAGE, *(f"kisah {chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400))])
+    kept = pages.article_lines(page, "Hukum jual beli", lambda x: asked.append(x) or pages.is_furniture(x))
+    assert len(asked) < 40 and [x for x, ok in zip(page.split("\n"), kept, strict=True) if ok] == [x for x, ok in zip(PAGE.split("\n"), pages.article_lines(PAGE, "Hukum jual beli"), strict=True) if ok]
+
+
 # --- 2 -------------------------------------------------------------------------------------------
 
 
@@ -432,6 +439,27 @@ def test_talk_about_residue_is_none():
     assert residue.classify("Hukum skrip", "\n".join([*PROSE[:6], said]), m) is None
 
 
+def test_rows_are_classified_together(monkeypatch):
+    m, body = residue.Models(PROSE), "\n".join(PROSE[:6])
+    odd = [("x", "404 Not Found"), ("{{ nama }}\nx", body), ("Lorem ipsum dolor sit amet\nelit sed", body), ("x", f"{body}\n[Masukkan tajuk]"), ("x", f"{body}\nLorem ipsum dolor sit amet elit sed tempor nostrud"), ("Untitled\n", body), ("x", "Not found: /a/b-c"), ("x", f"Not found: /a/b-c\n{body}")]
+    rows = [x for o in odd for x in (o, *[("Hukum wakaf", f"{body}\n* [a](b) {{c}} 12/3\n\n")] * 40, (None, None), ("", ""), ("x", "lorem ipsum dolor"), ("x", "sit amet elit sed"))]
+    alone = [residue.classify(t, c, m) for t, c in rows]
+    assert [alone[k * 45] for k in range(len(odd))] == ["notice", "placeholder", "filler", "placeholder", "filler", "placeholder", "notice", None]
+    calls, hashed = [], residue._hashed
+    monkeypatch.setattr(residue, "_hashed", lambda *a: calls.append(1) or hashed(*a))
+    assert residue.classify_all([t for t, _ in rows], [c for _, c in rows], m) == alone
+    assert len(calls) < len(rows) / 3  # a few passes over many rows, not some for each
+
+
+def test_bounds_leave_nothing_out(monkeypatch):
+    texts = [*PROSE[:40], *residue.FILLER, *residue.NOTICES, "404 not found " * 40, "lorem ipsum " * 300]
+    whole = residue.Models(texts)
+    monkeypatch.setattr(residue, "TOO_LONG", 1)  # every line is summed exactly
+    exact = residue.Models(texts)
+    for a, b in zip([*whole.fillers, whole.notice, whole.titles, whole.unfilled, whole.marks], [*exact.fillers, exact.notice, exact.titles, exact.unfilled, exact.marks], strict=True):
+        assert (a == b).all()
+
+
 def test_residue_table(spark):
     df = spark.createDataFrame([("a", "b", "{{x}}", "teks", 1), ("a", "b", "{{x}}", "teks", 1), ("n", "b", None, None, 1)], "document_id string, crawl_batch_id string, title string, content string, kind int")
     assert rows(residue.residue(df), "document_id", "kind") == [("a", "placeholder")]
